@@ -1,0 +1,60 @@
+"""The batch pipeline: stored spans to trees, findings and metrics."""
+
+from __future__ import annotations
+
+import logging
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, functions as F
+
+from spanloom.config import Thresholds
+from spanloom.operators import detect
+from spanloom.operators.assemble import assemble
+from spanloom.operators.summary import run_summaries
+from spanloom.schema import NODE_PAYLOAD
+from spanloom.sources.tables import write_nodes
+
+log = logging.getLogger("spanloom")
+
+
+@dataclass(frozen=True)
+class Scored:
+    """What scoring a set of runs yields."""
+
+    nodes: DataFrame
+    summaries: DataFrame
+    findings: DataFrame
+
+
+def score(
+    spans: DataFrame,
+    limits: Thresholds = Thresholds(),
+    trace_id: str | None = None,
+    carry: tuple[str, ...] = NODE_PAYLOAD,
+    rules: tuple[detect.Rule, ...] = detect.RULES,
+) -> Scored:
+    """Assemble, roll up and check all runs in ``spans``, or one of them.
+
+    A run without spans gives empty frames.
+    """
+
+    if trace_id is not None:
+        spans = spans.where(F.col("trace_id") == F.lit(trace_id))
+    nodes = assemble(spans, carry=carry)
+    summaries = run_summaries(spans)
+    return Scored(nodes, summaries, detect.find_problems(nodes, summaries, limits, rules))
+
+
+def publish(scored: Scored, node_path: str | None, finding_path: str | None, rules=detect.RULES) -> None:
+    """Store trees and findings. A failure to store trees is logged, not raised:
+    they are for display, and scoring must go on."""
+
+    if node_path is not None:
+        try:
+            write_nodes(scored.nodes, node_path)
+        except Exception:  # noqa: BLE001
+            log.exception("could not store tree nodes in %s", node_path)
+    if finding_path is not None:
+        detect.finding_documents(scored.nodes, scored.findings, rules).write.mode("append").parquet(
+            finding_path
+        )
