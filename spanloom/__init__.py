@@ -5,7 +5,7 @@ Layout
 ``sources``    span messages in, span and node tables, JSON out, span views
 ``functions``  column expressions: time, cost, redaction, display text
 ``operators``  tree assembly, run summaries, detection, metrics, reports
-``plans``      the batch pipeline that strings the operators together
+``plans``      batch scoring, which strings the operators together
 ``streaming``  continuous ingest and settle-then-score
 """
 

@@ -54,6 +54,12 @@ def fixed(value: Column, digits: int) -> Column:
     return F.round(value.cast("decimal(28,8)"), digits).cast(f"decimal(28,{digits})").cast("string")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded half-up by its decimal digits, not its binary ones."""
+
+    return F.round(value.cast("decimal(28,8)"), digits).cast("double")
+
+
 def whole(value: Column) -> Column:
     """A number without decimals, ties to even."""
 

@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fixed format: ISO-8601 in extended or basic form. Spark's own cast also takes
-# bare years, bare times and one-digit fields, which the span contract does not.
-_DATE = r"\d{4}-\d{2}-\d{2}|\d{8}"
-_CLOCK = r"\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{4}(?:\d{2}(?:[.,]\d+)?)?"
-_ZONE = r"Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?"
-ISO_PATTERN = rf"^({_DATE})(?:[T ]({_CLOCK})({_ZONE})?)?$"
+# Fixed formats: ISO-8601, extended or basic. Spark's own cast also takes bare
+# years, bare times and one-digit fields, which the span contract does not.
+_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{8})"
+_CLOCK = r"(?:\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{4}(?:\d{2}(?:[.,]\d+)?)?)"
+_ZONE = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)"
+ISO_PATTERN = rf"^{_DATE}(?:[T ]{_CLOCK}{_ZONE}?)?$"
+# What senders write nearly always, and Spark reads as it stands.
+USUAL_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+
+# Steps from any ISO form to the usual one, each a pattern and its replacement.
+_TO_USUAL = (
+    (r"^(\d{4})(\d{2})(\d{2})(?=[T ]|$)", "$1-$2-$3"),
+    (r",", "."),
+    (r"([T ])(\d{2})(\d{2})(\d{2})(?!\d)", "$1$2:$3:$4"),
+    (r"([T ])(\d{2})(\d{2})(?!\d)", "$1$2:$3"),
+    (r"([T ]\d{2})(?=[Z+-]|$)", "$1:00"),
+    (r"([T ]\d{2}:\d{2})(?=[Z+-]|$)", "$1:00"),
+    (r"^([0-9-]{10})$", "$1T00:00:00"),
+    (r"^([^T ]+[T ][0-9:.]+)$", "$1Z"),
+    (r"([T ][0-9:.]+[+-]\d{2})$", "$1:00"),
+    (r"([T ][0-9:.]+[+-]\d{2})(\d{2})(\d{2})$", "$1:$2:$3"),
+)
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -20,28 +36,12 @@ def parse_timestamp(text: Column) -> Column:
     Text without an offset is UTC, whatever the session's time zone is.
     """
 
-    date = F.regexp_replace(
-        F.regexp_extract(text, ISO_PATTERN, 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"
+    usual = text
+    for pattern, replacement in _TO_USUAL:
+        usual = F.regexp_replace(usual, pattern, replacement)
+    return F.when(text.rlike(USUAL_PATTERN), text.try_cast("timestamp")).when(
+        text.rlike(ISO_PATTERN), usual.try_cast("timestamp")
     )
-    raw_clock = F.regexp_extract(text, ISO_PATTERN, 2)
-    clock = F.regexp_replace(raw_clock, r"^(\d{2}):?(\d{2})?:?(\d{2})?", "$1:$2:$3")
-    # Pad the parts that were left out, then undo a doubled colon.
-    clock = (
-        F.when(raw_clock == "", F.lit("00:00:00"))
-        .when(F.length(raw_clock) == 2, F.concat(raw_clock, F.lit(":00:00")))
-        .when(F.length(F.regexp_replace(raw_clock, ":", "")) == 4,
-              F.concat(F.regexp_replace(clock, ":$", ""), F.lit(":00")))
-        .otherwise(F.replace(clock, F.lit(","), F.lit(".")))
-    )
-    raw_zone = F.regexp_extract(text, ISO_PATTERN, 3)
-    zone = (
-        F.when(raw_zone.isin("", "Z"), F.lit("Z"))
-        .when(F.length(raw_zone) == 3, F.concat(raw_zone, F.lit(":00")))
-        .otherwise(F.regexp_replace(raw_zone, r"^(.\d{2}):?(\d{2})(?::?(\d{2}))?$", "$1:$2:$3"))
-    )
-    zone = F.regexp_replace(zone, ":$", "")
-    whole = F.concat(date, F.lit("T"), clock, zone)
-    return F.when(text.rlike(ISO_PATTERN), whole.try_cast("timestamp"))
 
 
 def micros(ts: Column) -> Column:

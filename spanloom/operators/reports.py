@@ -79,7 +79,7 @@ def runs_with_label(spans: DataFrame, label: str) -> DataFrame:
 def recent_spans(spans: DataFrame, limit: int = 50) -> DataFrame:
     picked = newest(spans, limit, "start_time", ("trace_id", "span_id", "seq"))
     return picked.select(
-        "start_time", "agent_name", "step_type", "name", "status", F.round("cost_usd", 4).alias("cost_usd")
+        "start_time", "agent_name", "step_type", "name", "status", text.rounded(F.col("cost_usd"), 4).alias("cost_usd")
     )
 
 
@@ -93,8 +93,8 @@ def run_detail(nodes: DataFrame, trace_id: str | None = None, ordered: bool = Tr
         "agent_name",
         "step_type",
         text.step_detail(F.col("step_type"), F.col("attributes")).alias("detail"),
-        F.round("duration_ms", 1).alias("duration_ms"),
-        F.round("cost_usd", 6).alias("cost_usd"),
+        text.rounded(F.col("duration_ms"), 1).alias("duration_ms"),
+        text.rounded(F.col("cost_usd"), 6).alias("cost_usd"),
         "status",
         "attributes",
     )
@@ -104,7 +104,7 @@ def run_detail(nodes: DataFrame, trace_id: str | None = None, ordered: bool = Tr
 def run_timeline(spans: DataFrame, trace_id: str | None = None, ordered: bool = True) -> DataFrame:
     """Durations over time, in one column per outcome."""
 
-    took = F.round("duration_ms", 2)
+    took = text.rounded(F.col("duration_ms"), 2)
     rows = _one(spans, trace_id).select(
         "trace_id",
         "span_id",

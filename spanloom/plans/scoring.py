@@ -1,4 +1,4 @@
-"""The batch pipeline: stored spans to trees, findings and metrics."""
+"""Batch scoring: stored spans to trees, findings and metrics."""
 
 from __future__ import annotations
 
@@ -45,9 +45,12 @@ def score(
     return Scored(nodes, summaries, detect.find_problems(nodes, summaries, limits, rules))
 
 
-def publish(scored: Scored, node_path: str | None, finding_path: str | None, rules=detect.RULES) -> None:
+def publish(
+    scored: Scored, node_path: str | None, finding_path: str | None, batch: int = 0, rules=detect.RULES
+) -> None:
     """Store trees and findings. A failure to store trees is logged, not raised:
-    they are for display, and scoring must go on."""
+    they are for display, and scoring must go on. Findings go to the folder of
+    their batch and replace what an earlier try of it left there."""
 
     if node_path is not None:
         try:
@@ -55,6 +58,11 @@ def publish(scored: Scored, node_path: str | None, finding_path: str | None, rul
         except Exception:  # noqa: BLE001
             log.exception("could not store tree nodes in %s", node_path)
     if finding_path is not None:
-        detect.finding_documents(scored.nodes, scored.findings, rules).write.mode("append").parquet(
-            finding_path
+        (
+            detect.finding_documents(scored.nodes, scored.findings, rules)
+            .withColumn("batch", F.lit(batch))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(finding_path)
         )

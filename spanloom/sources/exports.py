@@ -9,7 +9,7 @@ from spanloom.operators.reports import PART, joined_pieces
 
 _KEEP_NULLS = {"ignoreNullFields": "false", "timestampFormat": ISO_FORMAT}
 
-_MESSAGE_FIELDS = (
+MESSAGE_FIELDS = (
     "service_name",
     "agent_name",
     "step_type",
@@ -39,7 +39,7 @@ def span_messages(spans: DataFrame) -> DataFrame:
 
     fields = [
         F.expr("try_parse_json(attributes)").alias(f) if f == "attributes" else F.col(f)
-        for f in _MESSAGE_FIELDS
+        for f in MESSAGE_FIELDS
     ]
     return spans.select(
         F.nullif("trace_id", F.lit("")).cast("binary").alias("key"),
@@ -126,9 +126,9 @@ def run_json(nodes: DataFrame, summaries: DataFrame, part: int = PART) -> DataFr
     fragment = f"""
         if(n.order_index >= (part + 1) * {part}, '',
            concat(n.open,
-             CASE WHEN run[i + 1] IS NULL THEN repeat(']}}', n.depth + 1)
-                  WHEN run[i + 1].depth > n.depth THEN ''
-                  ELSE concat(repeat(']}}', n.depth - run[i + 1].depth + 1), ',') END))"""
+             CASE WHEN get(run, i + 1) IS NULL THEN repeat(']}}', n.depth + 1)
+                  WHEN get(run, i + 1).depth > n.depth THEN ''
+                  ELSE concat(repeat(']}}', n.depth - get(run, i + 1).depth + 1), ',') END))"""
     tree = gathered.select(
         "trace_id", "part", F.expr(f"array_join(transform(run, (n, i) -> {fragment}), '')").alias("text")
     )

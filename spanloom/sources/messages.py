@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from spanloom.functions.timing import parse_timestamp
 from spanloom.schema import MAX_TOKENS, REQUIRED_FIELDS, SPAN_COLUMNS, STATUSES, STEP_TYPES
 
-_TEXT_FIELDS = (
+_TEXTS = (
     "trace_id",
     "span_id",
     "parent_span_id",
@@ -19,6 +19,13 @@ _TEXT_FIELDS = (
     "error_message",
     "model",
 )
+_TIMES = ("start_time", "end_time")
+_COUNTS = ("tokens_in", "tokens_out")
+_TYPED = (*_TIMES, *_COUNTS, "duration_ms", "cost_usd")
+_SCALARS = (*_TEXTS, *_TYPED)
+_FIELDS = (*_SCALARS, "attributes", "redacted")
+# JSON texts that do not count as set.
+_UNSET = ("null", "false", "0", "0.0", '""', "{}", "[]")
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, max_per_trigger: int | None = None) -> DataFrame:
@@ -57,93 +64,99 @@ def decode(messages: DataFrame, strict: bool = False) -> DataFrame:
         (F.col("offset") if "offset" in have else F.lit(None)).cast("long").alias("seq"),
         (F.col("timestamp") if "timestamp" in have else F.current_timestamp()).cast("timestamp").alias("ingested_at"),
     )
-    parsed = raw.withColumn("doc", F.expr("try_parse_json(value)")).withColumn(
-        "is_object", F.coalesce(F.expr("schema_of_variant(doc) LIKE 'OBJECT%'"), F.lit(False))
+    doc = raw.selectExpr("*", "try_parse_json(value) AS parsed").selectExpr(
+        "value", "seq", "ingested_at",
+        "if(schema_of_variant(parsed) LIKE 'OBJECT%', parsed, NULL) AS doc",
     )
-    doc = parsed.withColumn("doc", F.when(F.col("is_object"), F.col("doc")))
-    number_kind = lambda f: _kind(f).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-
-    fields: dict[str, Column] = {}
-    problems: list[tuple[Column, str]] = [(~F.col("is_object"), "not a JSON object")]
-    for f in _TEXT_FIELDS:
-        fields[f] = _text(f)
-        problems.append((_kind(f).rlike("^(OBJECT|ARRAY)"), f"{f}: not text"))
-    for f in REQUIRED_FIELDS:
-        problems.append((_kind(f).isNull() | (_kind(f) == "VOID"), f"{f}: missing"))
-    for f in ("start_time", "end_time"):
-        fields[f] = parse_timestamp(_text(f))
-        bad = F.coalesce(_kind(f), F.lit("VOID")) != "VOID"
-        problems.append((bad & ((_kind(f) != "STRING") | fields[f].isNull()), f"{f}: not a timestamp"))
-    fields["duration_ms"] = _text("duration_ms").try_cast("double")
-    problems.append(
-        (
-            (F.coalesce(_kind("duration_ms"), F.lit("VOID")) != "VOID")
-            & (~number_kind("duration_ms")),
-            "duration_ms: not a number",
-        )
+    # Fields as text, and the JSON type of those where it matters: NULL when
+    # absent, VOID for an explicit null.
+    # Taking all fields as one struct walks the document once.
+    as_struct = lambda kind: f"struct<{', '.join(f'{f}: {kind}' for f in _FIELDS)}>"
+    fields = doc.selectExpr(
+        "value",
+        "seq",
+        "ingested_at",
+        "doc IS NOT NULL AS is_object",
+        f"variant_get(doc, '$', '{as_struct('variant')}') AS v",
     )
-    for f in ("tokens_in", "tokens_out"):
-        plain = F.regexp_replace(F.trim(_text(f)), "(?<=[0-9])_(?=[0-9])", "")
-        value = (
-            F.when(_kind(f).isNull(), F.lit(0))
-            .when(_kind(f) == "BOOLEAN", _text(f).try_cast("boolean").cast("long"))
-            .when(number_kind(f), _toward_zero(_text(f)))
-            .when(_kind(f) == "STRING", F.when(plain.rlike("^[+-]?[0-9]+$"), plain.try_cast("long")))
-        )
-        fields[f] = value
-        problems.append((value.isNull(), f"{f}: not an integer"))
-        problems.append(((value < 0) | (value > MAX_TOKENS), f"{f}: out of range"))
-    cost = (
-        F.when(_kind("cost_usd").isNull(), F.lit(0.0))
-        .when(_kind("cost_usd") == "BOOLEAN", _text("cost_usd").try_cast("boolean").cast("double"))
-        .when(number_kind("cost_usd") | (_kind("cost_usd") == "STRING"), F.trim(_text("cost_usd")).try_cast("double"))
+    parts = fields.selectExpr(
+        "value",
+        "seq",
+        "ingested_at",
+        "is_object",
+        *[f"try_variant_get(v.{f}, '$', 'string') AS t_{f}" for f in _SCALARS],
+        *[f"schema_of_variant(v.{f}) AS k_{f}" for f in _TYPED],
+        "to_json(v.attributes) AS attributes",
+        "to_json(v.redacted) AS redacted",
+    )
+    typed = parts.withColumns(
+        {
+            **{f: parse_timestamp(F.col(f"t_{f}")) for f in _TIMES},
+            **{f: _integer(f) for f in _COUNTS},
+            "duration_ms": F.when(_is_number("duration_ms"), F.col("t_duration_ms").try_cast("double")),
+            "cost_usd": _number("cost_usd"),
+        }
     )
-    fields["cost_usd"] = cost
-    problems.append((cost.isNull(), "cost_usd: not a number"))
-    # Totals are exact decimals with ten digits before the point.
-    problems.append((F.isnan(cost) | (F.abs(cost) >= 1e10), "cost_usd: out of range"))
-    fields["attributes"] = F.coalesce(F.to_json(_part("attributes")), F.lit("{}"))
-    fields["redacted"] = _truth("redacted")
-    if strict:
-        problems.append((~fields["step_type"].isin(*STEP_TYPES), "step_type: unknown"))
-        problems.append((~fields["status"].isin(*STATUSES), "status: unknown"))
 
     # Whatever is wrong first is the reason.
-    reason = F.coalesce(*[F.when(bad, F.lit(why)) for bad, why in problems])
-    fields["seq"], fields["ingested_at"] = F.col("seq"), F.col("ingested_at")
-    return doc.select("value", reason.alias("reason"), *[fields[c].alias(c) for c in SPAN_COLUMNS])
-
-
-def _part(field: str) -> Column:
-    return F.expr(f"variant_get(doc, '$.{field}', 'variant')")
-
-
-def _text(field: str) -> Column:
-    return F.expr(f"try_variant_get(doc, '$.{field}', 'string')")
-
+    problems = [("NOT is_object", "not a JSON object")]
+    problems += [(f"t_{f} IS NULL", f"{f}: missing") for f in REQUIRED_FIELDS]
+    problems += [
+        (f"t_{f} IS NOT NULL AND ({f} IS NULL OR k_{f} <> 'STRING')", f"{f}: not a timestamp")
+        for f in _TIMES
+    ]
+    problems.append(("t_duration_ms IS NOT NULL AND duration_ms IS NULL", "duration_ms: not a number"))
+    for f in _COUNTS:
+        problems.append((f"{f} IS NULL", f"{f}: not an integer"))
+        problems.append((f"{f} < 0 OR {f} > {MAX_TOKENS}", f"{f}: out of range"))
+    problems.append(("cost_usd IS NULL", "cost_usd: not a number"))
+    # Totals are exact decimals with ten digits before the point.
+    problems.append(("isnan(cost_usd) OR abs(cost_usd) >= 1e10", "cost_usd: out of range"))
+    if strict:
+        problems.append((f"t_step_type NOT IN {STEP_TYPES}", "step_type: unknown"))
+        problems.append((f"t_status NOT IN {STATUSES}", "status: unknown"))
+    cases = " ".join(f"WHEN {bad} THEN '{why}'" for bad, why in problems)
+    reason = F.expr(f"CASE {cases} END")
+
+    final = {f: F.col(f"t_{f}") for f in _TEXTS}
+    final["attributes"] = F.coalesce("attributes", F.lit("{}"))
+    # Set to anything but false, zero, null or empty.
+    final["redacted"] = ~F.coalesce("redacted", F.lit("null")).isin(*_UNSET)
+    decoded = typed.select(
+        "value", reason.alias("reason"), *[final.get(c, F.col(c)).alias(c) for c in SPAN_COLUMNS]
+    )
+    # Besides giving listeners the counts, observing keeps a later filter on
+    # ``reason`` from being pushed below the parsing, where the whole parse
+    # would be repeated for every condition in it.
+    return decoded.observe(
+        "span_messages", F.count("*").alias("messages"), F.count("reason").alias("quarantined")
+    )
 
-def _kind(field: str) -> Column:
-    """JSON type of a field: NULL when absent, VOID for an explicit null."""
 
-    return F.expr(f"schema_of_variant(variant_get(doc, '$.{field}', 'variant'))")
+def _is_number(field: str) -> Column:
+    return F.col(f"k_{field}").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
 
 
-def _toward_zero(number: Column) -> Column:
-    value = number.try_cast("decimal(38,10)")
-    return F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("long")
+def _integer(field: str) -> Column:
+    """A count as given: absent is 0, fractions are cut, text must be whole."""
 
+    kind, text = F.col(f"k_{field}"), F.col(f"t_{field}")
+    exact = text.try_cast("decimal(38,10)")
+    plain = F.regexp_replace(F.trim(text), "(?<=[0-9])_(?=[0-9])", "")
+    return (
+        F.when(kind.isNull(), F.lit(0))
+        .when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0))
+        .when(_is_number(field), F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact)))
+        .when((kind == "STRING") & plain.rlike("^[+-]?[0-9]+$"), plain.try_cast("decimal(38,0)"))
+    ).try_cast("long")
 
-def _truth(field: str) -> Column:
-    """Whether a field is set to anything but false, zero, null or empty."""
 
-    zero = F.coalesce(_text(field).try_cast("double") == 0, F.lit(False))
-    kind = F.coalesce(_kind(field), F.lit("VOID"))
+def _number(field: str) -> Column:
+    kind, text = F.col(f"k_{field}"), F.col(f"t_{field}")
     return (
-        F.when(kind == "VOID", F.lit(False))
-        .when(kind == "STRING", _text(field) != "")
-        .when(kind == "BOOLEAN", _text(field) == "true")
-        .when(kind.rlike("^(OBJECT|ARRAY)"), ~F.to_json(_part(field)).isin("{}", "[]"))
-        .otherwise(~zero)
+        F.when(kind.isNull(), F.lit(0.0))
+        .when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
+        .when(_is_number(field) | (kind == "STRING"), F.trim(text).try_cast("double"))
     )
 
 

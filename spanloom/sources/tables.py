@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spanloom.operators.dedupe import latest_nodes
-from spanloom.schema import NODE_TABLE_COLUMNS, SPAN_SCHEMA, conform
+from spanloom.schema import NODE_TABLE_COLUMNS, SPAN_COLUMNS, SPAN_SCHEMA, conform
 
 NODE_SCHEMA = T.StructType(
     [
@@ -65,7 +65,7 @@ def read_spans(spark: SparkSession, path: str, since=None, until=None) -> DataFr
         spans = spans.where(F.col("start_date") >= F.lit(since).cast("date"))
     if until is not None:
         spans = spans.where(F.col("start_date") <= F.lit(until).cast("date"))
-    return spans.drop("start_date")
+    return spans.select(*SPAN_COLUMNS)
 
 
 def spans_of_run(spans: DataFrame, trace_id: str) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.config import Thresholds
-from spanloom.plans.pipeline import Scored, publish, score
+from spanloom.operators.skew import keep_or_drop_keys
+from spanloom.plans.scoring import Scored, publish, score
 from spanloom.sources.tables import ensure_node_table
 
 QUIET = "3 seconds"
@@ -113,11 +114,12 @@ def start_watch(
         mark_scored(due, scored_path, batch_id)
         # Read back: from here on the list is fixed, whatever is recomputed.
         due = read_scored(spark, scored_path).where(F.col("batch") == batch_id)
-        if due.isEmpty():
+        n_due = due.count()
+        if n_due == 0:
             return
-        spans = read_spans().join(due.select("trace_id"), "trace_id", "left_semi")
+        spans = keep_or_drop_keys(read_spans(), due.select("trace_id"), n_due, "trace_id", keep=True)
         scored = score(spans, limits)
-        publish(scored, node_path, finding_path)
+        publish(scored, node_path, finding_path, batch_id)
         if on_scored is not None:
             on_scored(scored, batch_id)
 
