@@ -115,17 +115,21 @@ def redact_json(
 
 
 def _json_redactor(extra_keys, extra_patterns, nested_lists):
+    # The closure names nothing of this module but values, so workers can run it
+    # without having the package installed.
     words = tuple(sorted({plain_key(w) for w in (*SENSITIVE_KEYS, *extra_keys)}))
     shapes = tuple(re.compile(p) for p in (*SECRET_PATTERNS, *extra_patterns))
+    blank, dropped = BLANK, re.compile("[^a-z0-9]")
+
+    def is_denied(key):
+        plain = dropped.sub("", key.lower())
+        return any(w in plain for w in words)
 
     def clean(value):
         if isinstance(value, str):
-            return BLANK if any(s.search(value) for s in shapes) else value
+            return blank if any(s.search(value) for s in shapes) else value
         if isinstance(value, dict):
-            return {
-                k: BLANK if any(w in plain_key(k) for w in words) else clean(v)
-                for k, v in value.items()
-            }
+            return {k: blank if is_denied(k) else clean(v) for k, v in value.items()}
         if isinstance(value, list):
             return [v if isinstance(v, list) and not nested_lists else clean(v) for v in value]
         return value

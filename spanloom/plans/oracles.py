@@ -223,10 +223,10 @@ def _sql(select: str, *ctes: str) -> str:
 
 E, O, C, N, S, F, V = _EVENT_SPANS, _ORDER_SPANS, _CONVERSATION_SPANS, _NODES, _SUMMARY, _FINDINGS, _EVIDENCE
 
-_HEAD_LINE = """SELECT trace_id, 0 AS rule_no, 0 AS first_visit, 0 AS part,
+_HEAD_LINE = """SELECT trace_id, 0 AS rule_no, 0 AS first_visit, CAST(0 AS BIGINT) AS part,
   CASE WHEN n IS NULL THEN concat('Trace ', trace_id, ': clean — no findings.') ELSE concat('Trace ', trace_id, ': ', n, ' finding(s)') END AS line
   FROM summaries LEFT JOIN (SELECT trace_id, count(*) AS n FROM found GROUP BY trace_id) USING (trace_id)"""
-_TREE = f"""SELECT trace_id, 1 AS section, 0 AS part, string_agg({_LINE}, chr(10) ORDER BY order_index) AS text FROM nodes GROUP BY trace_id"""
+_TREE = f"""SELECT trace_id, 1 AS section, CAST(0 AS BIGINT) AS part, string_agg({_LINE}, chr(10) ORDER BY order_index) AS text FROM nodes GROUP BY trace_id"""
 _HANDOFF_EVENTS = "SELECT event_id, concat('u', user_id % 7) AS agent_name, 'a2a_handoff' AS step_type, concat('a2a: u', user_id % 7, ' -> ', event_type) AS name, concat('u', user_id % 7) AS a2a_from, event_type AS a2a_to, CASE WHEN event_id % 2 = 0 THEN 'review' END AS a2a_task, CAST(NULL AS VARCHAR) AS a2a_task_id FROM events"
 
 ORACLES = {
@@ -258,12 +258,12 @@ ORACLES = {
     "top_spans": _sql("SELECT trace_id, CAST(cost_rank AS INTEGER) AS cost_rank, span_id, cost_usd FROM tops", E, N, S, F, V),
     "evidence_spans": _sql("SELECT trace_id, rule, first_visit, visit_index, span_id, error_message, cost_usd FROM evidence", E, N, S, F, V),
     "finding_documents": _sql(
-        """SELECT trace_id, rule, severity, first_visit, 0 AS part, span_ids, "count" AS evidence_count,
+        """SELECT trace_id, rule, severity, first_visit, CAST(0 AS BIGINT) AS part, span_ids, "count" AS evidence_count,
         CASE WHEN rule_no = 2 THEN name END AS evidence_tool, CASE WHEN rule_no = 2 THEN first_error END AS first_error,
         CASE WHEN rule_no = 3 THEN first_span END AS priciest FROM documents""", E, N, S, F, V),
     "finding_json": _sql("SELECT trace_id, rule, severity, summary, first_span FROM documents", E, N, S, F, V),
     "finding_lines": _sql(
-        f"""{_HEAD_LINE} UNION ALL SELECT trace_id, rule_no, first_visit, 0,
+        f"""{_HEAD_LINE} UNION ALL SELECT trace_id, rule_no, first_visit, CAST(0 AS BIGINT),
         concat('  [', rpad(upper(severity), 8, ' '), '] ', rule, ': ', summary, chr(10), '             spans: ', replace(span_ids, ',', ', ')) FROM documents""",
         E, N, S, F, V),
     "one_shot_score": _sql(f"SELECT {_FINDING_ROW} FROM found WHERE trace_id IN (SELECT trace_id FROM lastrun)", E, N, S, F, _LAST),
@@ -307,19 +307,19 @@ ORACLES = {
     "run_detail": _sql(
         f"""SELECT trace_id, order_index, concat(repeat('    ', depth), name) AS step, agent_name, step_type, {_DETAIL} AS detail,
         {_ROUND.format('coalesce(duration_ms, 0)', 1)} AS duration_ms, {_ROUND.format('cost_usd', 6)} AS cost_usd, status, attributes FROM nodes""", E, N),
-    "sequence_strip": _sql(f"SELECT trace_id, 0 AS part, string_agg({_BOX}, ' → ' ORDER BY order_index) AS strip FROM nodes GROUP BY trace_id", E, N),
+    "sequence_strip": _sql(f"SELECT trace_id, CAST(0 AS BIGINT) AS part, string_agg({_BOX}, ' → ' ORDER BY order_index) AS strip FROM nodes GROUP BY trace_id", E, N),
     "tree_lines": _sql(f"SELECT trace_id, order_index, {_LINE} AS line FROM nodes", E, N),
     "run_text": _sql(
-        f"""SELECT trace_id, 0 AS section, 0 AS part, concat('Trace ', trace_id, ' -- ', count(*), ' spans', chr(10), '{_RULE}') AS text FROM nodes GROUP BY trace_id
+        f"""SELECT trace_id, 0 AS section, CAST(0 AS BIGINT) AS part, concat('Trace ', trace_id, ' -- ', count(*), ' spans', chr(10), '{_RULE}') AS text FROM nodes GROUP BY trace_id
         UNION ALL {_TREE}
-        UNION ALL SELECT trace_id, 2, 0, concat('{_RULE}', chr(10), 'cost $', {_MONEY.format('total_cost', 4)}, ' | ', total_tokens, ' tokens (', total_tokens_in,
+        UNION ALL SELECT trace_id, 2, CAST(0 AS BIGINT), concat('{_RULE}', chr(10), 'cost $', {_MONEY.format('total_cost', 4)}, ' | ', total_tokens, ' tokens (', total_tokens_in,
           ' in / ', total_tokens_out, ' out)', chr(10), 'wall-clock ',
           CAST(round_even(coalesce(greatest(0.0::DOUBLE, date_diff('microsecond', first_start, last_end) / 1000.0::DOUBLE), 0.0), 0) AS BIGINT), 'ms | compute ',
           CAST(round_even(sum_ms, 0) AS BIGINT), 'ms | ', step_count, ' steps | ', agent_count, ' agents | ', error_count, ' errors') FROM summaries
-        UNION ALL SELECT trace_id, 3, 0, concat('orphaned spans (missing parent): ', string_agg(span_id, ', ' ORDER BY order_index)) FROM nodes WHERE orphaned GROUP BY trace_id""",
+        UNION ALL SELECT trace_id, 3, CAST(0 AS BIGINT), concat('orphaned spans (missing parent): ', string_agg(span_id, ', ' ORDER BY order_index)) FROM nodes WHERE orphaned GROUP BY trace_id""",
         E, N, S),
     "run_json": _sql(
-        """SELECT trace_id, 0 AS part, count(*) AS span_count, any_value(step_count) AS step_count, count(*) FILTER (orphaned) AS orphans,
+        """SELECT trace_id, CAST(0 AS BIGINT) AS part, count(*) AS span_count, any_value(step_count) AS step_count, count(*) FILTER (orphaned) AS orphans,
         count(*) FILTER (depth = 0) AS roots, max(span_id) FILTER (order_index = 0) AS first_root,
         max(span_id) FILTER (order_index = 1 AND depth = 1) AS first_child,
         max(span_id) FILTER (order_index = 2 AND depth = 2) AS first_grandchild, count(*) AS nodes

@@ -12,6 +12,7 @@ from spanloom.operators import detect
 from spanloom.operators.assemble import assemble
 from spanloom.operators.summary import run_summaries
 from spanloom.schema import NODE_PAYLOAD
+from spanloom.session import Workspace
 from spanloom.sources.tables import write_nodes
 
 log = logging.getLogger("spanloom")
@@ -32,17 +33,22 @@ def score(
     trace_id: str | None = None,
     carry: tuple[str, ...] = NODE_PAYLOAD,
     rules: tuple[detect.Rule, ...] = detect.RULES,
+    work: Workspace | None = None,
 ) -> Scored:
     """Assemble, roll up and check all runs in ``spans``, or one of them.
 
-    A run without spans gives empty frames.
+    A run without spans gives empty frames. Trees are read by every rule and
+    for the evidence, findings by several consumers: both are stored once, so
+    that spans are shuffled and assembled once whatever is asked afterwards.
     """
 
     if trace_id is not None:
         spans = spans.where(F.col("trace_id") == F.lit(trace_id))
-    nodes = assemble(spans, carry=carry)
+    work = work or Workspace(spans.sparkSession, "score")
+    nodes = work.keep(assemble(spans, carry=carry, work=work), "nodes")
     summaries = run_summaries(spans)
-    return Scored(nodes, summaries, detect.find_problems(nodes, summaries, limits, rules))
+    findings = work.keep(detect.find_problems(nodes, summaries, limits, rules), "findings")
+    return Scored(nodes, summaries, findings)
 
 
 def publish(

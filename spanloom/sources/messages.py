@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanloom.functions.timing import parse_timestamp
+from spanloom.functions.timing import USUAL_PATTERN, parse_timestamp
 from spanloom.schema import MAX_TOKENS, REQUIRED_FIELDS, SPAN_COLUMNS, STATUSES, STEP_TYPES
 
 _TEXTS = (
@@ -24,8 +24,6 @@ _COUNTS = ("tokens_in", "tokens_out")
 _TYPED = (*_TIMES, *_COUNTS, "duration_ms", "cost_usd")
 _SCALARS = (*_TEXTS, *_TYPED)
 _FIELDS = (*_SCALARS, "attributes", "redacted")
-# JSON texts that do not count as set.
-_UNSET = ("null", "false", "0", "0.0", '""', "{}", "[]")
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, max_per_trigger: int | None = None) -> DataFrame:
@@ -54,8 +52,10 @@ def decode(messages: DataFrame, strict: bool = False) -> DataFrame:
     numbers are 0, explicit nulls are bad. ``strict`` also checks step type and
     status against the contract.
 
-    One pass, no Python: the message is parsed once to a VARIANT and fields are
-    taken from that, which tells absent from null and numbers from texts.
+    One pass, no Python. Fields are taken as text, which settles nearly every
+    message; only where the answer hangs on a value's JSON type (was this 10.5
+    or "10.5"?) is the message parsed a second time, as a VARIANT. Text fields
+    that hold an object keep it as JSON text.
     """
 
     have = set(messages.columns)
@@ -64,37 +64,31 @@ def decode(messages: DataFrame, strict: bool = False) -> DataFrame:
         (F.col("offset") if "offset" in have else F.lit(None)).cast("long").alias("seq"),
         (F.col("timestamp") if "timestamp" in have else F.current_timestamp()).cast("timestamp").alias("ingested_at"),
     )
-    doc = raw.selectExpr("*", "try_parse_json(value) AS parsed").selectExpr(
-        "value", "seq", "ingested_at",
-        "if(schema_of_variant(parsed) LIKE 'OBJECT%', parsed, NULL) AS doc",
+    schema = ", ".join(f"{f} string" for f in (*_FIELDS, "_malformed"))
+    doc = raw.selectExpr(
+        "*",
+        f"from_json(value, '{schema}', map('columnNameOfCorruptRecord', '_malformed')) AS doc",
+        # NULL unless the message is an object.
+        "json_object_keys(value) AS given",
     )
-    # Fields as text, and the JSON type of those where it matters: NULL when
-    # absent, VOID for an explicit null.
-    # Taking all fields as one struct walks the document once.
-    as_struct = lambda kind: f"struct<{', '.join(f'{f}: {kind}' for f in _FIELDS)}>"
-    fields = doc.selectExpr(
+    parts = doc.selectExpr(
         "value",
         "seq",
         "ingested_at",
-        "doc IS NOT NULL AS is_object",
-        f"variant_get(doc, '$', '{as_struct('variant')}') AS v",
-    )
-    parts = fields.selectExpr(
-        "value",
-        "seq",
-        "ingested_at",
-        "is_object",
-        *[f"try_variant_get(v.{f}, '$', 'string') AS t_{f}" for f in _SCALARS],
-        *[f"schema_of_variant(v.{f}) AS k_{f}" for f in _TYPED],
-        "to_json(v.attributes) AS attributes",
-        "to_json(v.redacted) AS redacted",
+        "given",
+        "given IS NOT NULL AND doc._malformed IS NULL AS is_object",
+        *[f"doc.{f} AS t_{f}" for f in _FIELDS],
     )
     typed = parts.withColumns(
         {
-            **{f: parse_timestamp(F.col(f"t_{f}")) for f in _TIMES},
+            **{f: _timestamp(f) for f in _TIMES},
             **{f: _integer(f) for f in _COUNTS},
-            "duration_ms": F.when(_is_number("duration_ms"), F.col("t_duration_ms").try_cast("double")),
+            "duration_ms": F.expr(f"if(t_duration_ms RLIKE r'{_DECIMAL}', double(t_duration_ms), NULL)"),
             "cost_usd": _number("cost_usd"),
+            "redacted": _truth("redacted"),
+            "attributes": F.expr(
+                "coalesce(t_attributes, if(array_contains(given, 'attributes'), 'null', '{}'))"
+            ),
         }
     )
 
@@ -102,7 +96,7 @@ def decode(messages: DataFrame, strict: bool = False) -> DataFrame:
     problems = [("NOT is_object", "not a JSON object")]
     problems += [(f"t_{f} IS NULL", f"{f}: missing") for f in REQUIRED_FIELDS]
     problems += [
-        (f"t_{f} IS NOT NULL AND ({f} IS NULL OR k_{f} <> 'STRING')", f"{f}: not a timestamp")
+        (f"t_{f} IS NOT NULL AND {f} IS NULL", f"{f}: not a timestamp")
         for f in _TIMES
     ]
     problems.append(("t_duration_ms IS NOT NULL AND duration_ms IS NULL", "duration_ms: not a number"))
@@ -119,9 +113,6 @@ def decode(messages: DataFrame, strict: bool = False) -> DataFrame:
     reason = F.expr(f"CASE {cases} END")
 
     final = {f: F.col(f"t_{f}") for f in _TEXTS}
-    final["attributes"] = F.coalesce("attributes", F.lit("{}"))
-    # Set to anything but false, zero, null or empty.
-    final["redacted"] = ~F.coalesce("redacted", F.lit("null")).isin(*_UNSET)
     decoded = typed.select(
         "value", reason.alias("reason"), *[final.get(c, F.col(c)).alias(c) for c in SPAN_COLUMNS]
     )
@@ -133,30 +124,68 @@ def decode(messages: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
-def _is_number(field: str) -> Column:
-    return F.col(f"k_{field}").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+# Fixed formats of numbers in text.
+_WHOLE = r"^[+-]?[0-9]+$"
+_DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _kind(field: str) -> str:
+    """JSON type of a field, from a second parse."""
+
+    return f"schema_of_variant(try_variant_get(try_parse_json(value), '$.{field}', 'variant'))"
+
+
+def _timestamp(field: str) -> Column:
+    """A time given as text; a bare number could pass for a basic ISO date."""
+
+    text = F.col(f"t_{field}")
+    usual = text.rlike(USUAL_PATTERN)
+    return F.when(usual, text.try_cast("timestamp")).when(
+        F.expr(f"{_kind(field)} = 'STRING'"), parse_timestamp(text)
+    )
 
 
 def _integer(field: str) -> Column:
     """A count as given: absent is 0, fractions are cut, text must be whole."""
 
-    kind, text = F.col(f"k_{field}"), F.col(f"t_{field}")
-    exact = text.try_cast("decimal(38,10)")
-    plain = F.regexp_replace(F.trim(text), "(?<=[0-9])_(?=[0-9])", "")
-    return (
-        F.when(kind.isNull(), F.lit(0))
-        .when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0))
-        .when(_is_number(field), F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact)))
-        .when((kind == "STRING") & plain.rlike("^[+-]?[0-9]+$"), plain.try_cast("decimal(38,0)"))
-    ).try_cast("long")
+    t = f"t_{field}"
+    exact = f"try_cast({t} AS decimal(38,10))"
+    plain = f"regexp_replace(trim({t}), '(?<=[0-9])_(?=[0-9])', '')"
+    return F.expr(
+        f"""CASE
+          WHEN {t} RLIKE r'{_WHOLE}' THEN try_cast({t} AS bigint)
+          WHEN {t} IS NULL THEN if(array_contains(given, '{field}'), NULL, 0)
+          WHEN {_kind(field)} = 'BOOLEAN' THEN if({t} = 'true', 1, 0)
+          WHEN {_kind(field)} <> 'STRING' THEN try_cast(if({exact} < 0, ceil({exact}), floor({exact})) AS bigint)
+          WHEN {plain} RLIKE r'{_WHOLE}' THEN try_cast({plain} AS bigint) END"""
+    )
 
 
 def _number(field: str) -> Column:
-    kind, text = F.col(f"k_{field}"), F.col(f"t_{field}")
-    return (
-        F.when(kind.isNull(), F.lit(0.0))
-        .when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
-        .when(_is_number(field) | (kind == "STRING"), F.trim(text).try_cast("double"))
+    t = f"t_{field}"
+    return F.expr(
+        f"""CASE
+          WHEN {t} RLIKE r'{_DECIMAL}' THEN try_cast({t} AS double)
+          WHEN {t} IS NULL THEN if(array_contains(given, '{field}'), NULL, 0D)
+          WHEN trim({t}) RLIKE r'{_DECIMAL}' THEN try_cast(trim({t}) AS double)
+          WHEN {_kind(field)} = 'BOOLEAN' THEN if({t} = 'true', 1D, 0D) END"""
+    )
+
+
+def _truth(field: str) -> Column:
+    """Whether a flag is set to anything but false, zero, null or empty.
+
+    A quoted "false" is a text that is not empty, hence true.
+    """
+
+    t = f"t_{field}"
+    return F.expr(
+        f"""CASE
+          WHEN {t} IS NULL THEN false
+          WHEN {t} = 'true' THEN true
+          WHEN {t} NOT IN ('', 'false', '[]', '{{}}') AND NOT {t} RLIKE r'^-?[0.]+$' THEN true
+          WHEN {t} = '' OR NOT value RLIKE '"{field}"[ ]*:[ ]*"' THEN false
+          ELSE {_kind(field)} = 'STRING' END"""
     )
 
 

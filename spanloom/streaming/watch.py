@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanloom.config import Thresholds
 from spanloom.operators.skew import keep_or_drop_keys
 from spanloom.plans.scoring import Scored, publish, score
+from spanloom.session import Workspace
 from spanloom.sources.tables import ensure_node_table
 
 QUIET = "3 seconds"
@@ -118,10 +119,12 @@ def start_watch(
         if n_due == 0:
             return
         spans = keep_or_drop_keys(read_spans(), due.select("trace_id"), n_due, "trace_id", keep=True)
-        scored = score(spans, limits)
+        work = Workspace(spark, "watch")
+        scored = score(spans, limits, work=work)
         publish(scored, node_path, finding_path, batch_id)
         if on_scored is not None:
             on_scored(scored, batch_id)
+        work.drop()
 
     writer = settled.writeStream.foreachBatch(handle).outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
