@@ -107,7 +107,6 @@ def redact_json(
     suspect = (
         F.contains(attributes, F.lit("\\"))
         | stripped.rlike("|".join(words))
-        | attributes.rlike("[^\\x00-\\x7F]")
         | looks_secret(attributes)
     )
     done = walk(F.when(suspect, attributes))

@@ -50,8 +50,10 @@ def settled_runs(arrivals: DataFrame, quiet: str = QUIET, heartbeat: DataFrame |
     return (
         seen.withWatermark("ingested_at", "0 seconds")
         .groupBy(F.session_window("ingested_at", quiet).alias("session"), "trace_id")
-        .agg(F.count("*").alias("spans"), F.max("ingested_at").alias("last_arrival"))
-        .where("trace_id IS NOT NULL")
+        .agg(F.count("trace_id").alias("spans"), F.max("ingested_at").alias("last_arrival"))
+        # Not "trace_id IS NOT NULL": that would be pushed below the watermark
+        # and keep heartbeats from moving it.
+        .where("spans > 0")
         .select("trace_id", "spans", "last_arrival")
     )
 
