@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanloom.operators.dedupe import last_written_spans
 from spanloom.operators.large_runs import assemble_large
-from spanloom.operators.skew import keep_or_drop_keys, let
+from spanloom.operators.skew import fits_broadcast, keep_or_drop_keys, let
 from spanloom.schema import NODE_PAYLOAD, conform
 from spanloom.session import Workspace
 
@@ -76,10 +76,10 @@ def assemble(
     if large.isEmpty():
         return _assemble_small(spans, carry)
     large = work.keep(large, "large")
-    n_large = large.count()
-    small = keep_or_drop_keys(spans, large, n_large, "trace_id", keep=False)
-    rest = keep_or_drop_keys(spans, large, n_large, "trace_id", keep=True)
-    return _assemble_small(small, carry).unionByName(assemble_large(rest, carry, work, n_large))
+    fits = fits_broadcast(large, "trace_id")
+    small = keep_or_drop_keys(spans, large, fits, "trace_id", keep=False)
+    rest = keep_or_drop_keys(spans, large, fits, "trace_id", keep=True)
+    return _assemble_small(small, carry).unionByName(assemble_large(rest, carry, work, fits))
 
 
 def _large_run_ids(spans, carry, max_rows, max_bytes) -> DataFrame:

@@ -24,15 +24,17 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from spanloom.operators.dedupe import last_written_spans
-from spanloom.operators.skew import BROADCAST_ROWS, number_rows
+from spanloom.operators.skew import number_rows
 from spanloom.session import Workspace
 
 _SUMS = ("entries", "exits")
 
 
 def assemble_large(
-    spans: DataFrame, carry: tuple[str, ...], work: Workspace, n_runs: int
+    spans: DataFrame, carry: tuple[str, ...], work: Workspace, few: bool
 ) -> DataFrame:
+    """Nodes of ``spans``; ``few`` says whether their runs' ids fit a broadcast."""
+
     once = last_written_spans(spans, carry)
     keyed = once.select("trace_id", "span_id", "parent_span_id", "start_time", F.coalesce("seq", F.lit(0)).alias("seq"))
     # Positions follow (run, key), so comparing positions compares keys.
@@ -64,7 +66,7 @@ def assemble_large(
         on_cycle = promoted.where("on_cycle").select("pos", F.lit(True).alias("moved"))
         visits, _ = _rank(_cut(linked, on_cycle, work), rounds, work)
 
-    if n_runs <= BROADCAST_ROWS:
+    if few:
         runs = F.broadcast(runs)
     placed = (
         spot.join(runs, "trace_id")

@@ -13,10 +13,6 @@ from spanloom.operators.detect import CRITICAL, FAILURE, LOOP, RULE_NAMES, SEVER
 COST_BOUNDS = ("0.01", "0.05", "0.1", "0.25", "0.5", "1.0", "2.0", "5.0", "10.0")
 
 
-def _literal_rows(spark, values, column: str) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{column} string")
-
-
 def findings_by_severity(findings: DataFrame, rules=RULE_NAMES) -> DataFrame:
     """Findings per rule and severity, combinations without any shown as 0."""
 
@@ -112,9 +108,10 @@ def alarm_level(value: Column, orange: float | None, red: float) -> Column:
 def alarm_levels(criticals: DataFrame, gauges: DataFrame) -> DataFrame:
     """Traffic lights of the four headline numbers (two one-row inputs)."""
 
+    both = criticals.unionByName(gauges, allowMissingColumns=True)
+    numbers = ("critical_findings", "last_run_cost_usd", "last_run_loops", "last_run_tool_failures")
     # Where each number turns orange and red.
-    both = criticals.crossJoin(gauges)
-    return both.select(
+    return both.agg(*[F.max(c).alias(c) for c in numbers]).select(
         alarm_level(F.col("critical_findings"), None, 1).alias("critical_findings"),
         alarm_level(F.col("last_run_cost_usd"), None, 1).alias("last_run_cost"),
         alarm_level(F.col("last_run_loops"), 5, 10).alias("last_run_loops"),

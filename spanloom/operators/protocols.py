@@ -13,6 +13,17 @@ def _label(name: Column | None, fallback: Column) -> Column:
     return fallback if name is None else F.coalesce(F.nullif(name, F.lit("")), fallback)
 
 
+def _stamped(marks: dict[str, Column | None], attributes: Column | None) -> Column:
+    """Attribute JSON with the protocol's marks; they win over attributes of the same name."""
+
+    entries = [x for k, v in marks.items() if v is not None for x in (F.lit(k), v)]
+    own = F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull())
+    if attributes is not None:
+        more = F.coalesce(attributes, F.create_map().cast("map<string,string>"))
+        own = F.map_concat(F.map_filter(more, lambda k, v: ~k.isin(*marks)), own)
+    return F.to_json(own)
+
+
 def stamp_handoffs(
     df: DataFrame,
     sender: Column,
@@ -20,18 +31,15 @@ def stamp_handoffs(
     task: Column | None = None,
     task_id: Column | None = None,
     name: Column | None = None,
+    attributes: Column | None = None,
 ) -> DataFrame:
     """Make rows handoff spans: agent, step type, label and ``a2a.*`` attributes.
 
-    NULL tasks are left out of the attributes.
+    NULL tasks are left out. ``attributes`` is a map of further ones.
     """
 
-    none = F.lit(None).cast("string")
-    stamped = F.struct(
-        sender.alias("a2a.from"),
-        receiver.alias("a2a.to"),
-        (none if task is None else task).alias("a2a.task"),
-        (none if task_id is None else task_id).alias("a2a.task_id"),
+    stamped = _stamped(
+        {"a2a.from": sender, "a2a.to": receiver, "a2a.task": task, "a2a.task_id": task_id}, attributes
     )
     label = _label(name, F.concat(F.lit("a2a: "), sender, F.lit(" -> "), receiver))
     return df.withColumns(
@@ -39,7 +47,7 @@ def stamp_handoffs(
             "agent_name": sender,
             "step_type": F.lit("a2a_handoff"),
             "name": label,
-            "attributes": F.to_json(stamped),
+            "attributes": stamped,
         }
     )
 
@@ -51,17 +59,18 @@ def stamp_tool_calls(
     tool: Column,
     transport: Column | None = None,
     name: Column | None = None,
+    attributes: Column | None = None,
 ) -> DataFrame:
     """Make rows tool-call spans: agent, step type, label and ``mcp.*`` attributes."""
 
     how = F.lit(DEFAULT_TRANSPORT) if transport is None else F.coalesce(transport, F.lit(DEFAULT_TRANSPORT))
-    stamped = F.struct(server.alias("mcp.server"), tool.alias("mcp.tool"), how.alias("mcp.transport"))
+    stamped = _stamped({"mcp.server": server, "mcp.tool": tool, "mcp.transport": how}, attributes)
     return df.withColumns(
         {
             "agent_name": agent,
             "step_type": F.lit("tool_call"),
             "name": _label(name, F.concat(server, F.lit("."), tool)),
-            "attributes": F.to_json(stamped),
+            "attributes": stamped,
         }
     )
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanloom.session import Workspace
 
-# A side is broadcast only when counted and at most this long.
-BROADCAST_ROWS = 500_000
+# A list of keys is broadcast only when measured and at most this large.
+BROADCAST_BYTES = 32 * 1024 * 1024
 # How many ways the long side of a lookup is spread beyond that.
 SALTS = 64
 
@@ -41,18 +41,26 @@ def number_rows(df: DataFrame, order: list[Column], work: Workspace, into: str =
     )
 
 
-def keep_or_drop_keys(df: DataFrame, keys: DataFrame, n_keys: int, key: str, keep: bool) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is (not) in ``keys``, a table of ``n_keys`` distinct keys.
+def fits_broadcast(keys: DataFrame, key: str) -> bool:
+    """Whether a stored list of keys is small enough to send to every executor."""
 
-    A short list is broadcast. A long one is repeated once per salt and joined
-    on key and salt, so that no key's rows all meet in one task.
+    size = keys.agg(F.sum(F.octet_length(key) + 32)).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
+def keep_or_drop_keys(df: DataFrame, keys: DataFrame, fits: bool, key: str, keep: bool) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is (not) in ``keys``, a list of distinct keys.
+
+    A list that ``fits`` is broadcast. A longer one is repeated once per salt
+    and joined on key and salt, so that no key's rows all meet in one task.
     """
 
     how = "left_semi" if keep else "left_anti"
-    if n_keys <= BROADCAST_ROWS:
+    if fits:
         return df.join(F.broadcast(keys), key, how)
     spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = df.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    # A hash, not a random number: a task that is run again must salt alike.
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
     return salted.join(spread, [key, "_salt"], how).drop("_salt")
 
 

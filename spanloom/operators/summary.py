@@ -70,7 +70,6 @@ def recent_runs(spans: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def orphan_ids(nodes: DataFrame) -> DataFrame:
-    """Orphaned spans, one row each, in key order (``position`` within a run is
-    the order of ``start_time, span_id``)."""
+    """Orphaned spans, one row each; ``order_index`` gives their order in a run."""
 
     return nodes.where("orphaned").select("trace_id", "span_id", "parent_span_id", "order_index")

@@ -190,6 +190,14 @@ gauges AS (SELECT trace_id, CAST(total_cost AS DOUBLE) AS last_run_cost_usd,
   FROM summaries s WHERE trace_id IN (SELECT trace_id FROM lastrun))"""
 
 
+_SESSIONS = """
+sessions AS (SELECT trace_id, count(*) AS spans, max(ingested_at) AS last_arrival FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY trace_id ORDER BY ingested_at, seq) AS session FROM (
+      SELECT *, CASE WHEN ingested_at >= lag(ingested_at) OVER (PARTITION BY trace_id ORDER BY ingested_at, seq) + INTERVAL 20 MINUTE
+                     THEN 1 ELSE 0 END AS fresh FROM spans))
+  GROUP BY trace_id, session)"""
+
+
 def _attr(key):
     return f"""coalesce(json_extract_string(attributes, '$."{key}"'), '')"""
 
@@ -359,11 +367,11 @@ ORACLES = {
         """SELECT trace_id, count(*) AS late_after_score FROM spans JOIN
         (SELECT trace_id, min(ingested_at) + INTERVAL 30 MINUTE AS scored_at FROM spans GROUP BY trace_id) USING (trace_id)
         WHERE ingested_at > scored_at GROUP BY trace_id""", E),
-    "settled_sessions": _sql(
-        f"""SELECT trace_id, count(*) AS spans, {_when('max(ingested_at)', 'last_arrival')} FROM (
-          SELECT *, sum(fresh) OVER (PARTITION BY trace_id ORDER BY ingested_at, seq) AS session FROM (
-            SELECT *, CASE WHEN ingested_at >= lag(ingested_at) OVER (PARTITION BY trace_id ORDER BY ingested_at, seq) + INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS fresh FROM spans))
-        GROUP BY trace_id, session""", E),
+    "settled_sessions": _sql(f"SELECT trace_id, spans, {_when('last_arrival')} FROM sessions", E, _SESSIONS),
+    # A session is closed once the newest arrival of all is past its end.
+    "stream_watch": _sql(
+        """SELECT trace_id, rule, severity, first_visit, "count" FROM found WHERE trace_id IN (SELECT trace_id FROM sessions
+        WHERE last_arrival + INTERVAL 20 MINUTE <= (SELECT max(ingested_at) FROM spans))""", E, N, S, F, _SESSIONS),
     "conversation_costs": _sql("SELECT trace_id, span_id, base_model, tokens_in, tokens_out, cost_usd FROM spans", C),
     "conversation_summary": _sql(f"SELECT {_SUMMARY_ROW} FROM summaries", C, S),
     "redacted_documents": f"""SELECT doc_id, sha256(CASE WHEN hit THEN '[REDACTED]' ELSE text END) AS text_hash, hit AS blanked

@@ -20,7 +20,7 @@ from spanloom.session import Workspace
 from spanloom.sources import exports, messages, tables
 from spanloom.sources.views import conversation_spans, event_spans, order_spans
 from spanloom.streaming.ingest import start_ingest
-from spanloom.streaming.watch import late_spans, settled_runs, unscored
+from spanloom.streaming.watch import late_spans, settled_runs, start_watch, unscored
 
 _TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 DETECT = detect.DETECT_CARRY
@@ -491,6 +491,24 @@ def settled_sessions(spark, sf):
     return _show_times(settled_runs(event_spans(spark, sf), "20 minutes"))
 
 
+def stream_watch(spark, sf):
+    """Settle-then-score as a streaming query: findings of the runs that settled."""
+
+    work = Workspace(spark, "watch")
+    spans = work.keep(event_spans(spark, sf), "spans")
+    stream = spark.readStream.schema(spans.schema).parquet(spans.inputFiles()[0].rsplit("/", 1)[0])
+    query = start_watch(
+        settled_runs(stream, "20 minutes"), lambda: spans, f"{work.root}/scored", f"{work.root}/nodes",
+        f"{work.root}/found", f"{work.root}/check", once=True,
+    )
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return spark.read.parquet(f"{work.root}/found").where("part = 0").select(
+        "trace_id", "rule", "severity", "first_visit", "count"
+    )
+
+
 # --- cost and redaction ----------------------------------------------------
 def conversation_costs(spark, sf):
     return conversation_spans(spark, sf).select(
@@ -585,7 +603,7 @@ QUERIES = {
         recent_traces, recent_spans, run_timeline, run_detail, sequence_strip, tree_lines, run_text, run_json,
         arrivals, handoff_edges, tool_usage, stamped_handoffs, stamped_tool_calls,
         ingest_good, ingest_quarantine, stream_ingest, topic_messages, span_table_by_day, newest_run_spans,
-        new_minus_scored, late_after_score, settled_sessions,
+        new_minus_scored, late_after_score, settled_sessions, stream_watch,
         conversation_costs, conversation_summary,
         redacted_documents, redacted_messages, sensitive_keys, redacted_map, redacted_nested_json,
     )

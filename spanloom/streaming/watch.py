@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.config import Thresholds
-from spanloom.operators.skew import keep_or_drop_keys
+from spanloom.operators.skew import fits_broadcast, keep_or_drop_keys
 from spanloom.plans.scoring import Scored, publish, score
 from spanloom.session import Workspace
 from spanloom.sources.tables import ensure_node_table
@@ -117,10 +117,10 @@ def start_watch(
         mark_scored(due, scored_path, batch_id)
         # Read back: from here on the list is fixed, whatever is recomputed.
         due = read_scored(spark, scored_path).where(F.col("batch") == batch_id)
-        n_due = due.count()
-        if n_due == 0:
+        due = due.select("trace_id")
+        if due.isEmpty():
             return
-        spans = keep_or_drop_keys(read_spans(), due.select("trace_id"), n_due, "trace_id", keep=True)
+        spans = keep_or_drop_keys(read_spans(), due, fits_broadcast(due, "trace_id"), "trace_id", keep=True)
         work = Workspace(spark, "watch")
         scored = score(spans, limits, work=work)
         publish(scored, node_path, finding_path, batch_id)

@@ -214,5 +214,8 @@ def test_stamps(spark):
     got = protocols.stamp_handoffs(df, F.col("a"), F.col("b"), task=F.lit("find"), name=F.col("label")).collect()
     assert [r["name"] for r in got] == ["a2a: x -> y", "own label"]
     assert json.loads(got[0]["attributes"]) == {"a2a.from": "x", "a2a.to": "y", "a2a.task": "find"}
-    tool = protocols.stamp_tool_calls(df, F.lit("agent"), F.col("a"), F.col("b")).first()
-    assert tool["name"] == "x.y" and json.loads(tool["attributes"])["mcp.transport"] == "stdio"
+    more = F.create_map(F.lit("mcp.tool"), F.lit("lost"), F.lit("k"), F.lit("kept"))
+    tool = protocols.stamp_tool_calls(df, F.lit("agent"), F.col("a"), F.col("b"), attributes=more).first()
+    assert tool["name"] == "x.y" and json.loads(tool["attributes"]) == {
+        "k": "kept", "mcp.server": "x", "mcp.tool": "y", "mcp.transport": "stdio",
+    }

@@ -162,13 +162,14 @@ def test_one_run_only(spark):
 def test_key_lists_of_any_length_filter_alike(spark, monkeypatch):
     from spanloom.operators import skew
 
-    rows = spark.range(1000).selectExpr("id % 7 AS k", "id")
-    keys = spark.createDataFrame([(1,), (3,)], "k long")
+    rows = spark.range(1000).selectExpr("string(id % 7) AS k", "id")
+    keys = spark.createDataFrame([("1",), ("3",)], "k string")
+    assert skew.fits_broadcast(keys, "k")
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 10)
+    assert not skew.fits_broadcast(keys, "k")
     for keep in (True, False):
-        monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
-        short = skew.keep_or_drop_keys(rows, keys, 2, "k", keep)
-        monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
-        long = skew.keep_or_drop_keys(rows, keys, 2, "k", keep).select("k", "id")
+        short = skew.keep_or_drop_keys(rows, keys, True, "k", keep)
+        long = skew.keep_or_drop_keys(rows, keys, False, "k", keep).select("k", "id")
         assert sorted(short.collect()) == sorted(long.collect())
 
 
