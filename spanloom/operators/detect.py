@@ -175,7 +175,7 @@ def _spans_of(found: DataFrame, nodes: DataFrame, signature: tuple[str, ...]) ->
     for c in signature:
         match = match & F.col(f"n.{c}").eqNullSafe(F.col(f"f.{c}"))
     return n.join(f, match).select(
-        *[F.col(f"f.{c}") for c in _FINDING_KEY], *[F.col(f"n.{c}") for c in _EVIDENCE]
+        *[F.col(f"f.{c}") for c in (*_FINDING_KEY, "count")], *[F.col(f"n.{c}") for c in _EVIDENCE]
     )
 
 
@@ -191,7 +191,7 @@ def _cost_evidence(found, nodes):
     """The priciest spans; their rank stands in for the visit order."""
 
     top = top_spans(nodes).withColumn("visit_index", F.col("cost_rank").cast("long") - 1)
-    return found.select(*_FINDING_KEY).join(top.select("trace_id", *_EVIDENCE), "trace_id")
+    return found.select(*_FINDING_KEY, "count").join(top.select("trace_id", *_EVIDENCE), "trace_id")
 
 
 RULES: tuple[Rule, ...] = (
@@ -225,6 +225,12 @@ def find_problems(
 def evidence_spans(nodes: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The spans behind each finding, one row each, ordered by ``visit_index``."""
 
+    return _sized_evidence(nodes, findings, rules).drop("count")
+
+
+def _sized_evidence(nodes: DataFrame, findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Evidence spans with the span count of their finding."""
+
     frames = [rule.evidence(findings.where(F.col("rule") == rule.name), nodes) for rule in rules]
     spans = frames[0]
     for more in frames[1:]:
@@ -267,10 +273,8 @@ def finding_documents(nodes: DataFrame, findings: DataFrame, rules=RULES, part:
     rows of a larger one follow each other by ``part``.
     """
 
-    spans = evidence_spans(nodes, findings, rules)
-    head = findings.select(*_FINDING_KEY, "count")
     # Which part a span goes to depends on its finding's size.
-    placed = spans.join(head, list(_FINDING_KEY)).withColumn(
+    placed = _sized_evidence(nodes, findings, rules).withColumn(
         "part",
         F.when(F.coalesce("count", F.lit(0)) <= part, F.lit(0).cast("long")).otherwise(
             F.floor(F.col("visit_index") / part)

@@ -100,10 +100,17 @@ def node_table_rows(spark, sf):
     return rows.drop("written_at")
 
 
+def _stored_trees(spark, sf) -> DataFrame:
+    """Assembled nodes, stored for queries that read them more than once."""
+
+    work = Workspace(spark, "trees")
+    return work.keep(assemble(event_spans(spark, sf), work=work), "nodes")
+
+
 def _two_versions(spark, sf):
     """The node table after each run was stored twice, the second time later."""
 
-    nodes = assemble(event_spans(spark, sf))
+    nodes = _stored_trees(spark, sf)
     old = nodes.withColumns({"status": F.lit("stale"), "order_index": F.col("order_index") + 1})
     first = tables.node_rows(old, "2024-02-01 00:00:00")
     return first.unionByName(tables.node_rows(nodes, "2024-02-02 00:00:00"))
@@ -309,12 +316,12 @@ def tree_lines(spark, sf):
 
 def run_text(spark, sf):
     spans = event_spans(spark, sf)
-    return reports.run_text(assemble(spans), run_summaries(spans))
+    return reports.run_text(_stored_trees(spark, sf), run_summaries(spans))
 
 
 def run_json(spark, sf):
     spans = event_spans(spark, sf)
-    docs = exports.run_json(assemble(spans), run_summaries(spans))
+    docs = exports.run_json(_stored_trees(spark, sf), run_summaries(spans))
     doc = F.col("document")
     inside = lambda path: F.get_json_object(doc, path)
     return docs.select(

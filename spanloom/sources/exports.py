@@ -91,7 +91,7 @@ def run_json(nodes: DataFrame, summaries: DataFrame, part: int = PART) -> DataFr
     node; no tree is built. A run of at most ``part`` nodes is one row (part 0);
     a larger one comes as rows whose texts, in ``part`` order, join to the
     document. ``nodes`` needs the span columns to show; ``attributes`` become
-    nested JSON.
+    nested JSON. It is read several times: pass stored nodes, as ``score`` gives.
     """
 
     hidden = {"trace_id", "order_index", "visit_index", "promoted"}

@@ -27,14 +27,18 @@ def start_ingest(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        # Both outputs read the batch; decoding twice is cheaper than keeping
-        # decoded rows, and needs no memory.
-        decoded = decode(batch, strict)
-        spans = good_spans(decoded).withColumns(
-            {"start_date": F.to_date("start_time"), "batch": F.lit(batch_id)}
-        )
-        _store(spans, span_path, "start_date", "batch")
-        _store(quarantined(decoded).withColumn("batch", F.lit(batch_id)), quarantine_path, "batch")
+        # Both outputs read the batch: keep it decoded, so that the source is
+        # read and parsed once.
+        decoded = decode(batch, strict).persist()
+        try:
+            spans = good_spans(decoded).withColumns(
+                {"start_date": F.to_date("start_time"), "batch": F.lit(batch_id)}
+            )
+            _store(spans, span_path, "start_date", "batch")
+            bad = quarantined(decoded).withColumn("batch", F.lit(batch_id))
+            _store(bad, quarantine_path, "batch")
+        finally:
+            decoded.unpersist()
 
     writer = messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=flush)
