@@ -72,11 +72,15 @@ def _range_of(key: Column, cuts: list[tuple]) -> Column:
     array = _literal([{"p": p, "h": h, "i": i} for p, h, i in cuts], _KEY)
     steps = [1 << b for b in range(len(cuts).bit_length() - 1, -1, -1)]
 
-    def step(at: Column, width: Column) -> Column:
-        there = F.try_element_at(array, at + width)
-        return F.when(there.isNotNull() & (there <= key), at + width).otherwise(at)
+    def search(k: Column) -> Column:
+        def step(at: Column, width: Column) -> Column:
+            there = F.try_element_at(array, at + width)
+            return F.when(there.isNotNull() & (there <= k), at + width).otherwise(at)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+    # Bound as a lambda variable: else the key would be built anew for each step.
+    return F.transform(F.array(key), search)[0]
 
 
 def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
