@@ -8,14 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanloom.llm import exact_dedup, mixing, simhash
+from spanloom.llm import exact_dedup, mixing, packing, simhash, toxicity
 from spanloom.llm.common import documents
+from spanloom.llm.queries import labels
 from spanloom.session import Workspace
 
 # No SQL: fingerprints, the learned filter and the tokenizer have no counterpart there.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones among ``docs``."""
+
+    return toxicity.clean(docs, toxicity.learn(docs, labels(spark, sf_dir)))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
 
@@ -34,10 +41,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeat(mixing.mix(docs, F.array("source")), docs.columns)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in pieces, with the sequence and offset of each."""
+
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
     ("near dedup", drop_near_copies),
     ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 

@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanloom.llm import exact_dedup, mixing, sharding, simhash
+from spanloom.llm import exact_dedup, mixing, packing, pii, quality, secrets, sharding, simhash, suffix_dedup, toxicity
 from spanloom.llm.common import documents
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    n_spans = F.size("spans").cast("long")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), n_spans.alias("n_spans"), "kept_sha256")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, labels(spark, sf_dir), where=toxicity.learning_rows())
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(~toxicity.learning_rows(), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     mixed = mixing.mix(docs, F.array("source"))
@@ -25,15 +49,55 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    judged = quality.judge(docs, quality.learn(docs, labels(spark, sf_dir)))
+    return judged.drop("probability")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.learn(docs))
+    counts = [_count("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, _sha("base").alias("base_sha256"), _line("spans").alias("spans"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = secrets.find(docs, secrets.learn(docs))
+    counts = [_count("base", k).alias(f"n_{k}") for k, *_ in secrets.FORMS]
+    return found.select("doc_id", *counts, _sha("base").alias("base_sha256"), _line("spans").alias("spans"))
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
+def _line(spans: str) -> Column:
+    """kind:start:end of each span, comma-joined."""
+
+    return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')")
+
+
+def _sha(spans: str) -> Column:
+    return F.sha2(F.encode(_line(spans), "utf-8"), 256)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_documents(documents(spark, sf_dir))
     return found.withColumnRenamed("id", "doc_id").withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
 
