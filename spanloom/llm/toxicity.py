@@ -3,12 +3,10 @@
 The kernel counts common subsequences of three letters, each weighted by a
 decay to the power of the stretch it spans, so inserted characters and gaps
 lower the value without losing the match. Words are compared with landmark
-words (Nyström): a word becomes its kernel values with the landmarks times the
-inverse root of the landmarks' own kernel. A sentence has the largest values of
-its words, a text the largest score of its sentences. Landmarks and the machine
-are learnt from a bounded sample of labelled texts: all sentences of clean
-texts, and of each toxic text the sentence that scores highest, chosen again
-after each fit. Margins are calibrated to probabilities.
+words, in whose span the machine is fitted (Nyström). A sentence scores as its
+highest word, a text as its highest sentence. Landmarks and the machine are
+learnt from the sentences of a bounded sample of labelled texts, each word with
+the label of its sentence's text. Margins are calibrated to probabilities.
 """
 
 from __future__ import annotations
@@ -29,12 +27,11 @@ TRAIN_ROWS = 1_500  # labelled rows to learn from, at most so many of each label
 SEED = 29
 LANDMARKS = 24
 MIN_SHARE = 0.01  # of the toxic texts a landmark must occur in
-DECAY = 0.6
+DECAY = 0.8
 REACH = 8  # the longest stretch of a subsequence
 PART = 32  # longer words are compared in overlapping parts
 FLOOR = 0.25  # smaller kernel values count as 0
-ROUNDS = 4
-PENALTY = 2e-4
+PENALTY = 1e-4
 MEMORY = 400_000  # words a Python worker remembers
 
 _LETTERS = 32  # a to z, then other characters
@@ -42,6 +39,7 @@ _SENTENCE = re.compile("[.!?\n]+(?:\\s|$)")
 # Single letters with blanks or marks between them, as in "x y z" or "x.y.z".
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[^\w\n]{1,3}[^\W_](?![^\W_])){2,}")
 _JOIN = re.compile(r"[\W_]+")
+_LIKE = str.maketrans("013457@$", "oieastas")  # digits and marks written for letters
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 _triples: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -128,11 +126,12 @@ class Kernel:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Lower-case words of each sentence, spelled-out words joined."""
+    """Lower-case words of each sentence; also without inner marks, and spelled-out ones joined."""
 
     out = []
     for sentence in _SENTENCE.split(text.lower()):
         words = [w.strip(_EDGE) for w in sentence.split()]
+        words += [_JOIN.sub("", w.translate(_LIKE)) for w in words if not w.isalpha()]
         words += [_JOIN.sub("", m) for m in _SPACED.findall(sentence)] if _SPACED.search(sentence) else []
         out.append(words)
     return out
@@ -154,24 +153,17 @@ class Model:
     def margins(self, texts: list[str]) -> np.ndarray:
         if not hasattr(self, "kernel"):
             self.kernel, self.memory = Kernel(self.landmarks), {}
-        split = [sentences(t) for t in texts]
+        split = [[w for words in sentences(t) for w in words] for t in texts]
         memory = self.memory
-        new = list({w for text in split for words in text for w in words} - memory.keys())
+        new = set().union(*split) - memory.keys()
         if len(memory) + len(new) > MEMORY:
             memory.clear()
-            new = list({w for text in split for words in text for w in words})
+            new = set().union(*split)
+        new = list(new)
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            values = self.kernel.values(some) if self.landmarks else np.zeros((len(some), 0))
-            active = values.any(axis=1)
-            memory.update(zip(some, [v if a else None for v, a in zip(values, active)]))
-        out = np.full(len(texts), self.bias)
-        for i, text in enumerate(split):
-            for words in text:
-                found = [v for v in map(memory.__getitem__, words) if v is not None]
-                if found:
-                    out[i] = max(out[i], np.max(found, axis=0) @ self.weights + self.bias)
-        return out
+            memory.update(zip(some, (self.kernel.values(some) @ self.weights + self.bias).tolist()))
+        return np.array([max(map(memory.__getitem__, words), default=self.bias) for words in split])
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.intercept, -30, 30)))
@@ -203,16 +195,25 @@ def _landmarks(texts: list[list[list[str]]], labels: np.ndarray, share: float) -
     return [w for w, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:LANDMARKS] if s > 3]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Squared hinge loss with an L2 penalty, by accelerated gradient steps."""
+def _svm(k: np.ndarray, own: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Squared hinge loss with the norm in the landmarks' span as penalty.
+
+    ``k`` has kernel values with the landmarks, ``own`` the landmarks' own. In
+    Nyström's coordinates (the inverse root of ``own``) this is a linear
+    machine; here it is solved for the landmarks' coefficients, which are kept
+    at 0 or more: likeness to an insult never speaks for a text. Accelerated
+    projected gradient steps.
+    """
 
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    step = 1 / (2 * np.linalg.norm(x1 * np.sqrt(weight)[:, None], 2) ** 2 + PENALTY)
-    w = ahead = np.zeros(x1.shape[1])
+    x = np.hstack([k, np.ones((len(k), 1))])
+    norm = np.zeros((x.shape[1], x.shape[1]))
+    norm[:-1, :-1] = own
+    step = 1 / (2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + 2 * PENALTY * np.linalg.norm(norm, 2))
+    w = ahead = np.zeros(x.shape[1])
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ ahead))
-        g = -2 * x1.T @ (weight * y * slack) + PENALTY * np.r_[ahead[:-1], 0]
-        new = ahead - step * g
+        slack = np.maximum(0, 1 - y * (x @ ahead))
+        new = ahead - step * (-2 * x.T @ (weight * y * slack) + 2 * PENALTY * norm @ ahead)
+        new[:-1] = np.maximum(new[:-1], 0)
         ahead, w = new + t / (t + 3) * (new - w), new
     return w[:-1], float(w[-1])
 
@@ -233,35 +234,26 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
     if not landmarks:
         return plain
     kernel = Kernel(landmarks)
-    words = list({w for text in split for s in text for w in s})
-    values = dict(zip(words, kernel.values(words)))
     own = kernel.values(landmarks).astype(float)
-    power, axes = np.linalg.eigh((own + own.T) / 2)
-    root = axes @ np.diag(1 / np.sqrt(np.maximum(power, 1e-3))) @ axes.T
-    pooled, owner = [], []
-    for i, text in enumerate(split):
-        rows = {tuple(np.max([values[w] for w in s], axis=0)) for s in text if s}
-        pooled += rows or {(0.0,) * len(landmarks)}
-        owner += [i] * max(len(rows), 1)
-    pooled, owner = np.array(pooled, float), np.array(owner)
-    x, toxic = pooled @ root, y[owner] == 1
-    score = pooled.max(axis=1)
-    for _ in range(ROUNDS):
-        # Of each toxic text its highest sentence; of a clean one all.
-        order = np.lexsort((-score, owner))
-        first = order[np.concatenate([[True], np.diff(owner[order]) != 0])]
-        use = np.zeros(len(x), bool)
-        use[first[toxic[first]]] = True
-        use |= ~toxic
-        sign = np.where(toxic[use], 1.0, -1.0)
-        weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1))
-        w, bias = _svm(x[use], sign, weight)
-        score = x @ w + bias
-    model = Model(landmarks, root @ w, bias, 1.0, 0.0)
-    margins = np.full(len(texts), bias)
-    np.maximum.at(margins, owner, score)
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    model.slope, model.intercept = _calibrate(margins, y, weight)
+    own = (own + own.T) / 2
+    # Every word of a sentence carries its text's label; equal words weigh together.
+    prior = (1 - share) / max((1 - y).sum(), 1), share / max(y.sum(), 1)
+    mass: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, label in zip(split, y):
+        for word in {w for s in text for w in s}:
+            mass[label][word] += prior[label]
+    words = list(mass[0].keys() | mass[1].keys())
+    values = kernel.values(words).astype(float)
+    active = values.any(axis=1)
+    heard = [w for w, a in zip(words, active) if a]
+    k = np.vstack([values[active], values[active], np.zeros((2, len(landmarks)))])
+    weight = np.array([mass[1][w] for w in heard] + [mass[0][w] for w in heard] + [share, 1 - share])
+    sign = np.repeat([1.0, -1.0, 1.0, -1.0], [len(heard), len(heard), 1, 1])
+    w, bias = _svm(k[weight > 0], own, sign[weight > 0], weight[weight > 0] / weight.sum())
+    model = Model(landmarks, w, bias, 1.0, 0.0)
+    margins = model.margins(texts)
+    balance = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    model.slope, model.intercept = _calibrate(margins, y, balance)
     return model
 
 
