@@ -94,6 +94,8 @@ def redact_json(
     ``nested_lists=False`` leaves a list directly inside a list alone, as
     stored data from older emitters had it. ``extra_patterns`` are Python
     regexes; they switch the JVM test off, since Java may read them differently.
+    A text that cannot be walked (nested too deeply, or not valid Unicode) is
+    blanked whole, since it cannot be called clean.
     """
 
     extra_keys, extra_patterns = tuple(extra_keys), tuple(extra_patterns)
@@ -137,7 +139,11 @@ def _json_redactor(extra_keys, extra_patterns, nested_lists):
         if text is None:
             return None
         try:
-            return json.dumps(clean(json.loads(text)), ensure_ascii=False)
+            done = json.dumps(clean(json.loads(text)), ensure_ascii=False)
+            done.encode()  # a lone surrogate has no UTF-8
+            return done
+        except (RecursionError, UnicodeError):
+            return blank
         except ValueError:
             # Not JSON: treat it as one value.
             return clean(text)

@@ -53,11 +53,17 @@ _FINDING_KEY = ("trace_id", "rule", "first_visit")
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule: how to find, and which spans are the evidence of its findings."""
+    """A rule: how to find, and which spans are the evidence of its findings.
+
+    ``particulars`` makes the evidence of a document as JSON from the finding's
+    columns, the spans' error messages and (span_id, cost_usd) pairs; without
+    it the document shows the finding's signature, count, threshold and errors.
+    """
 
     name: str
     find: Callable[[DataFrame, DataFrame, Thresholds], DataFrame]
     evidence: Callable[[DataFrame, DataFrame], DataFrame]
+    particulars: Callable[[Column, Column], Column] | None = None
 
 
 def severity(is_critical: Column) -> Column:
@@ -141,7 +147,7 @@ def _finding(found: DataFrame, rule: str, level: Column, sentence: Column, thres
         "step_type": "string",
         "name": "string",
         "count": "long",
-        "total_cost_usd": "decimal(28,8)",
+        "total_cost_usd": "decimal(38,8)",
     }
     cells = {
         "trace_id": F.col("trace_id"),
@@ -194,10 +200,34 @@ def _cost_evidence(found, nodes):
     return found.select(*_FINDING_KEY, "count").join(top.select("trace_id", *_EVIDENCE), "trace_id")
 
 
+_SHOW_NULLS = {"ignoreNullFields": "false"}
+
+
+def _loop_json(errors: Column, tops: Column) -> Column:
+    threshold = F.col("threshold").cast("int").alias("threshold")
+    return F.to_json(F.struct("agent_name", "step_type", "name", "count", threshold), _SHOW_NULLS)
+
+
+def _failure_json(errors: Column, tops: Column) -> Column:
+    threshold = F.col("threshold").cast("int").alias("threshold")
+    tool = F.col("name").alias("tool")
+    return F.to_json(F.struct("agent_name", tool, "count", threshold, errors.alias("error_messages")), _SHOW_NULLS)
+
+
+def _cost_json(errors: Column, tops: Column) -> Column:
+    total = F.col("total_cost_usd").cast("double").alias("total_cost_usd")
+    return F.to_json(F.struct(total, F.col("threshold").alias("limit_usd"), tops.alias("top_spans")))
+
+
+def _plain_json(errors: Column, tops: Column) -> Column:
+    cells = ("agent_name", "step_type", "name", "count", "threshold")
+    return F.to_json(F.struct(*cells, errors.alias("error_messages")))
+
+
 RULES: tuple[Rule, ...] = (
-    Rule(LOOP, runaway_loops, _loop_evidence),
-    Rule(FAILURE, tool_failures, _failure_evidence),
-    Rule(COST, cost_spikes, _cost_evidence),
+    Rule(LOOP, runaway_loops, _loop_evidence, _loop_json),
+    Rule(FAILURE, tool_failures, _failure_evidence, _failure_json),
+    Rule(COST, cost_spikes, _cost_evidence, _cost_json),
 )
 
 
@@ -238,31 +268,14 @@ def _sized_evidence(nodes: DataFrame, findings: DataFrame, rules: tuple[Rule, ..
     return spans
 
 
-def evidence_json(errors: Column, tops: Column) -> Column:
+def evidence_json(errors: Column, tops: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """A finding's particulars as JSON, shaped by its rule."""
 
-    loop = F.to_json(
-        F.struct("agent_name", "step_type", "name", "count", F.col("threshold").cast("int").alias("threshold")),
-        {"ignoreNullFields": "false"},
-    )
-    failure = F.to_json(
-        F.struct(
-            "agent_name",
-            F.col("name").alias("tool"),
-            "count",
-            F.col("threshold").cast("int").alias("threshold"),
-            errors.alias("error_messages"),
-        ),
-        {"ignoreNullFields": "false"},
-    )
-    cost = F.to_json(
-        F.struct(
-            F.col("total_cost_usd").cast("double").alias("total_cost_usd"),
-            F.col("threshold").alias("limit_usd"),
-            tops.alias("top_spans"),
-        )
-    )
-    return F.when(F.col("rule") == LOOP, loop).when(F.col("rule") == FAILURE, failure).otherwise(cost)
+    shaped = _plain_json(errors, tops)
+    for rule in rules:
+        if rule.particulars is not None:
+            shaped = F.when(F.col("rule") == rule.name, rule.particulars(errors, tops)).otherwise(shaped)
+    return shaped
 
 
 def finding_documents(nodes: DataFrame, findings: DataFrame, rules=RULES, part: int = PART) -> DataFrame:
@@ -270,7 +283,7 @@ def finding_documents(nodes: DataFrame, findings: DataFrame, rules=RULES, part:
 
     Visit indexes are distinct within a run, so ``part`` consecutive ones bound
     every array. A finding of at most ``part`` spans is one row (part 0); the
-    rows of a larger one follow each other by ``part``.
+    rows of a larger one are numbered 0, 1, … in visit order.
     """
 
     # Which part a span goes to depends on its finding's size.
@@ -282,12 +295,15 @@ def finding_documents(nodes: DataFrame, findings: DataFrame, rules=RULES, part:
     )
     item = F.struct("visit_index", "span_id", "error_message", "cost_usd")
     gathered = placed.groupBy(*_FINDING_KEY, "part").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    # Stretches without a span of the finding leave no gap in the numbers.
+    nth = F.row_number().over(Window.partitionBy(*_FINDING_KEY).orderBy("part")) - 1
+    gathered = gathered.withColumn("part", nth.cast("long"))
     documents = findings.join(gathered, list(_FINDING_KEY), "left")
     items = F.coalesce("items", F.array().cast("array<struct<visit_index:bigint,span_id:string,error_message:string,cost_usd:double>>"))
     tops = F.transform(items, lambda s: F.struct(s["span_id"].alias("span_id"), s["cost_usd"].alias("cost_usd")))
     return documents.select(
         *_FINDING_COLUMNS,
-        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("part", F.lit(0).cast("long")).alias("part"),
         F.transform(items, lambda s: s["span_id"]).alias("span_ids"),
-        evidence_json(F.transform(items, lambda s: s["error_message"]), tops).alias("evidence"),
+        evidence_json(F.transform(items, lambda s: s["error_message"]), tops, rules).alias("evidence"),
     )

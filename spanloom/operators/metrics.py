@@ -8,19 +8,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanloom.operators.detect import CRITICAL, FAILURE, LOOP, RULE_NAMES, SEVERITIES
+from spanloom.schema import COST_DECIMAL
 
 # Upper bounds of the run cost histogram, in USD.
 COST_BOUNDS = ("0.01", "0.05", "0.1", "0.25", "0.5", "1.0", "2.0", "5.0", "10.0")
 
 
 def findings_by_severity(findings: DataFrame, rules=RULE_NAMES) -> DataFrame:
-    """Findings per rule and severity, combinations without any shown as 0."""
+    """Findings per rule and severity, combinations without any shown as 0.
+
+    ``rules`` are the rules (or their names) that always show; further rules
+    show with the severities they have.
+    """
 
     spark = findings.sparkSession
     counted = findings.groupBy("rule", "severity").agg(F.count("*").alias("n"))
     # The grid has one row per rule and severity, whatever the data.
-    grid = spark.createDataFrame([(r, s) for r in rules for s in SEVERITIES], "rule string, severity string")
-    return grid.join(F.broadcast(counted), ["rule", "severity"], "left").select(
+    names = [getattr(r, "name", r) for r in rules]
+    grid = spark.createDataFrame([(r, s) for r in names for s in SEVERITIES], "rule string, severity string")
+    return grid.join(counted, ["rule", "severity"], "full").select(
         "rule", "severity", F.coalesce("n", F.lit(0)).cast("long").alias("findings")
     )
 
@@ -37,7 +43,7 @@ def cost_histogram(summaries: DataFrame) -> DataFrame:
     """Cumulative buckets of run costs, with count and sum, in one aggregation."""
 
     total = F.col("total_cost_usd")
-    counts = [F.count_if(total <= F.lit(b).cast("decimal(18,8)")).alias(f"b{i}") for i, b in enumerate(COST_BOUNDS)]
+    counts = [F.count_if(total <= F.lit(b).cast(COST_DECIMAL)).alias(f"b{i}") for i, b in enumerate(COST_BOUNDS)]
     totals = summaries.agg(*counts, F.count("*").alias("n"), F.sum(total).alias("s"))
     buckets = [
         F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("runs")) for i, b in enumerate(COST_BOUNDS)
@@ -77,25 +83,28 @@ def findings_over_time(findings: DataFrame, seen: DataFrame, every: str = "1 day
     """Findings per rule, added up over time.
 
     ``seen`` gives each run's time as ``trace_id, last_start``. The running sum
-    works on one row per rule and interval, not on findings.
+    works on one row per rule and interval, not on findings. Runs without a
+    time form an interval of their own, NULL, before all others.
     """
 
+    timed = findings.join(seen, "trace_id", "left").select("rule", "last_start")
     step = F.window("last_start", every).getField("start")
-    counted = (
-        findings.join(seen, "trace_id")
-        .groupBy("rule", step.alias("interval_start"))
-        .agg(F.count("*").alias("findings"))
-    )
+    dated = timed.where("last_start IS NOT NULL").select("rule", step.alias("interval_start"))
+    undated = timed.where("last_start IS NULL").select("rule", F.col("last_start").alias("interval_start"))
+    counted = dated.unionByName(undated).groupBy("rule", "interval_start").agg(F.count("*").alias("findings"))
     upto = Window.partitionBy("rule").orderBy("interval_start").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return counted.withColumn("findings_total", F.sum("findings").over(upto))
 
 
-def run_costs_over_time(summaries: DataFrame) -> DataFrame:
-    return summaries.select(
+def run_costs_over_time(summaries: DataFrame, ordered: bool = False) -> DataFrame:
+    """What each run cost at its end; sorted for display only if asked for."""
+
+    rows = summaries.select(
         F.col("end_time").alias("time"), "trace_id", F.col("total_cost_usd").cast("double").alias("run_cost_usd")
-    ).orderBy("time", "trace_id")
+    )
+    return rows.orderBy("time", "trace_id") if ordered else rows
 
 
 def alarm_level(value: Column, orange: float | None, red: float) -> Column:

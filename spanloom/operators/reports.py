@@ -20,8 +20,12 @@ def _one(df: DataFrame, trace_id: str | None) -> DataFrame:
     return df if trace_id is None else df.where(F.col("trace_id") == F.lit(trace_id))
 
 
+def _sorted(ordered: bool | None, trace_id: str | None) -> bool:
+    return trace_id is not None if ordered is None else ordered
+
+
 def _cost(column: str = "cost_usd") -> Column:
-    return F.coalesce(column, F.lit(0.0)).cast(COST_DECIMAL)
+    return F.coalesce(F.col(column).try_cast(COST_DECIMAL), F.lit(0))
 
 
 def run_table(spans: DataFrame) -> DataFrame:
@@ -83,8 +87,11 @@ def recent_spans(spans: DataFrame, limit: int = 50) -> DataFrame:
     )
 
 
-def run_detail(nodes: DataFrame, trace_id: str | None = None, ordered: bool = True) -> DataFrame:
-    """The tree as an indented table, newest version of each node."""
+def run_detail(nodes: DataFrame, trace_id: str | None = None, ordered: bool | None = None) -> DataFrame:
+    """The tree as an indented table, newest version of each node.
+
+    Sorted when one run is chosen; all runs are not, unless ``ordered`` says so.
+    """
 
     rows = latest_nodes(_one(nodes, trace_id)).select(
         "trace_id",
@@ -98,11 +105,11 @@ def run_detail(nodes: DataFrame, trace_id: str | None = None, ordered: bool = Tr
         "status",
         "attributes",
     )
-    return rows.orderBy("trace_id", "order_index") if ordered else rows
+    return rows.orderBy("trace_id", "order_index") if _sorted(ordered, trace_id) else rows
 
 
-def run_timeline(spans: DataFrame, trace_id: str | None = None, ordered: bool = True) -> DataFrame:
-    """Durations over time, in one column per outcome."""
+def run_timeline(spans: DataFrame, trace_id: str | None = None, ordered: bool | None = None) -> DataFrame:
+    """Durations over time, in one column per outcome; sorted as ``run_detail``."""
 
     took = text.rounded(F.col("duration_ms"), 2)
     rows = _one(spans, trace_id).select(
@@ -112,7 +119,7 @@ def run_timeline(spans: DataFrame, trace_id: str | None = None, ordered: bool =
         F.when(F.col("status") == "ok", took).alias("ok"),
         F.when(F.col("status") == "error", took).alias("error"),
     )
-    return rows.orderBy("time", "trace_id", "span_id") if ordered else rows
+    return rows.orderBy("time", "trace_id", "span_id") if _sorted(ordered, trace_id) else rows
 
 
 def sequence_strip(nodes: DataFrame, trace_id: str | None = None, part: int = PART) -> DataFrame:

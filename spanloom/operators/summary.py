@@ -12,16 +12,19 @@ def run_summaries(spans: DataFrame) -> DataFrame:
     """One row per run: cost, tokens, time, steps, errors, agents, bounds.
 
     One grouped aggregation. Partial sums are made before the shuffle, so a run
-    with very many spans arrives as one row per task (times its agents).
+    with very many spans arrives as one row per task (times its agents). Costs
+    that are no number or too large for an exact sum are left out of the total
+    and counted in ``unusable_costs``.
     """
 
     spans = conform(spans)
     took = own_duration_ms(F.col("duration_ms"), F.col("start_time"), F.col("end_time"))
     agent = F.when(F.col("agent_name") != "", F.col("agent_name"))
+    # NaN, infinite and overflowing costs become NULL here.
+    exact = F.col("cost_usd").try_cast(COST_DECIMAL)
     totals = spans.groupBy("trace_id").agg(
-        F.coalesce(F.sum(F.coalesce("cost_usd", F.lit(0.0)).cast(COST_DECIMAL)), F.lit(0)).alias(
-            "total_cost_usd"
-        ),
+        F.coalesce(F.sum(exact), F.lit(0)).alias("total_cost_usd"),
+        F.count_if(F.col("cost_usd").isNotNull() & exact.isNull()).alias("unusable_costs"),
         F.sum(F.coalesce("tokens_in", F.lit(0))).alias("total_tokens_in"),
         F.sum(F.coalesce("tokens_out", F.lit(0))).alias("total_tokens_out"),
         F.sum(took.cast(TIME_DECIMAL)).cast("double").alias("sum_step_ms"),
@@ -49,6 +52,7 @@ def run_summaries(spans: DataFrame) -> DataFrame:
         "agent_count",
         "start_time",
         end.alias("end_time"),
+        "unusable_costs",
     )
 
 

@@ -197,6 +197,12 @@ sessions AS (SELECT trace_id, count(*) AS spans, max(ingested_at) AS last_arriva
                      THEN 1 ELSE 0 END AS fresh FROM spans))
   GROUP BY trace_id, session)"""
 
+# After batch k of three, with what arrived by then.
+_SETTLED = """
+arrived AS (SELECT k, trace_id, max(ingested_at) AS last_arrival FROM spans, range(1, 4) b(k) WHERE seq % 3 < k GROUP BY ALL),
+settled AS (SELECT DISTINCT trace_id FROM arrived JOIN (SELECT k, max(last_arrival) AS now FROM arrived GROUP BY k) USING (k)
+  WHERE last_arrival + INTERVAL 20 MINUTE <= now)"""
+
 
 def _attr(key):
     return f"""coalesce(json_extract_string(attributes, '$."{key}"'), '')"""
@@ -281,9 +287,8 @@ ORACLES = {
         LEFT JOIN found f ON f.rule = r.rule AND f.severity = s.severity GROUP BY r.rule, s.severity""", E, N, S, F),
     "critical_findings": _sql("SELECT count(*) FILTER (severity = 'critical') AS critical_findings FROM found", E, N, S, F),
     "findings_over_time": _sql(
-        f"""SELECT rule, {_when('day', 'interval_start')}, findings, CAST(sum(findings) OVER (PARTITION BY rule ORDER BY day) AS BIGINT) AS findings_total
-        FROM (SELECT rule, date_trunc('day', last_start)::TIMESTAMP AS day, count(*) AS findings FROM found JOIN starts USING (trace_id)
-              WHERE last_start IS NOT NULL GROUP BY ALL)""", E, N, S, F, _STARTS),
+        f"""SELECT rule, {_when('day', 'interval_start')}, findings, CAST(sum(findings) OVER (PARTITION BY rule ORDER BY day NULLS FIRST) AS BIGINT) AS findings_total
+        FROM (SELECT rule, date_trunc('day', last_start)::TIMESTAMP AS day, count(*) AS findings FROM found LEFT JOIN starts USING (trace_id) GROUP BY ALL)""", E, N, S, F, _STARTS),
     "runs_evaluated": _sql("SELECT count(*) AS runs_evaluated FROM summaries", E, S),
     "cost_histogram": _sql(
         """SELECT le, count(*) FILTER (total_cost <= bound) AS runs, count(*) AS run_count, round(CAST(sum(total_cost) AS DOUBLE), 6) AS cost_sum
@@ -368,10 +373,18 @@ ORACLES = {
         (SELECT trace_id, min(ingested_at) + INTERVAL 30 MINUTE AS scored_at FROM spans GROUP BY trace_id) USING (trace_id)
         WHERE ingested_at > scored_at GROUP BY trace_id""", E),
     "settled_sessions": _sql(f"SELECT trace_id, spans, {_when('last_arrival')} FROM sessions", E, _SESSIONS),
-    # A session is closed once the newest arrival of all is past its end.
+    # A run has settled once the newest arrival of all is long past its own last one.
     "stream_watch": _sql(
-        """SELECT trace_id, rule, severity, first_visit, "count" FROM found WHERE trace_id IN (SELECT trace_id FROM sessions
-        WHERE last_arrival + INTERVAL 20 MINUTE <= (SELECT max(ingested_at) FROM spans))""", E, N, S, F, _SESSIONS),
+        """SELECT trace_id, rule, severity, first_visit, "count" FROM found WHERE trace_id IN (SELECT trace_id FROM spans
+        GROUP BY trace_id HAVING max(ingested_at) + INTERVAL 20 MINUTE <= (SELECT max(ingested_at) FROM spans))""", E, N, S, F),
+    "stream_watch_batches": _sql(
+        """SELECT trace_id, rule, severity, first_visit, "count" FROM found WHERE trace_id IN (SELECT trace_id FROM settled)""",
+        E, N, S, F, _SETTLED),
+    "stored_run_costs": _sql(
+        """SELECT le, count(*) FILTER (total_cost <= bound) AS runs, count(*) AS run_count, round(CAST(sum(total_cost) AS DOUBLE), 6) AS cost_sum
+        FROM (SELECT * FROM summaries WHERE trace_id IN (SELECT trace_id FROM settled))
+        CROSS JOIN (VALUES ('0.01', 0.01), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0),
+          ('2.0', 2.0), ('5.0', 5.0), ('10.0', 10.0), ('+Inf', 1e12)) b(le, bound) GROUP BY le""", E, S, _SETTLED),
     "conversation_costs": _sql("SELECT trace_id, span_id, base_model, tokens_in, tokens_out, cost_usd FROM spans", C),
     "conversation_summary": _sql(f"SELECT {_SUMMARY_ROW} FROM summaries", C, S),
     "redacted_documents": f"""SELECT doc_id, sha256(CASE WHEN hit THEN '[REDACTED]' ELSE text END) AS text_hash, hit AS blanked

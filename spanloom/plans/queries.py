@@ -18,6 +18,7 @@ from spanloom.plans.scoring import score
 from spanloom.schema import NODE_PAYLOAD
 from spanloom.session import Workspace
 from spanloom.sources import exports, messages, tables
+from spanloom.sources.tables import read_nodes, write_nodes
 from spanloom.sources.views import conversation_spans, event_spans, order_spans
 from spanloom.streaming.ingest import start_ingest
 from spanloom.streaming.watch import late_spans, settled_runs, start_watch, unscored
@@ -53,7 +54,7 @@ def run_summary_orders(spark, sf):
 
 
 def _summary(df):
-    return _show_times(df).withColumns(
+    return _show_times(df).drop("unusable_costs").withColumns(
         {"total_cost_usd": F.col("total_cost_usd").cast("double"), "sum_step_ms": F.round("sum_step_ms", 4)}
     )
 
@@ -264,10 +265,13 @@ def all_runs_table(spark, sf):
 
 
 def run_selector(spark, sf):
+    """Newest runs with a tree in the node table, which holds the failed runs here."""
+
     spans = event_spans(spark, sf)
-    # Failed runs are the ones with an assembled tree here.
     failed = spans.where("status = 'error'").select("trace_id").distinct()
-    return _show_times(reports.run_selector(spans, failed))
+    work = Workspace(spark, "selector")
+    write_nodes(score(spans.join(failed, "trace_id", "left_semi"), work=work).nodes, f"{work.root}/nodes")
+    return _show_times(reports.run_selector(spans, read_nodes(spark, f"{work.root}/nodes")))
 
 
 def spans_of_failed_labels(spark, sf):
@@ -498,22 +502,57 @@ def settled_sessions(spark, sf):
     return _show_times(settled_runs(event_spans(spark, sf), "20 minutes"))
 
 
-def stream_watch(spark, sf):
-    """Settle-then-score as a streaming query: findings of the runs that settled."""
+def _watch(spark, work, spans, arrivals):
+    """Drain a watch over ``arrivals``; the workspace then holds what it stored."""
 
-    work = Workspace(spark, "watch")
-    spans = work.keep(event_spans(spark, sf), "spans")
-    stream = spark.readStream.schema(spans.schema).parquet(spans.inputFiles()[0].rsplit("/", 1)[0])
     query = start_watch(
-        settled_runs(stream, "20 minutes"), lambda: spans, f"{work.root}/scored", f"{work.root}/nodes",
-        f"{work.root}/found", f"{work.root}/check", once=True,
+        arrivals, lambda since, until: spans, f"{work.root}/scored", f"{work.root}/nodes", f"{work.root}/found",
+        f"{work.root}/check", quiet="20 minutes", once=True, summary_path=f"{work.root}/summaries",
     )
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return spark.read.parquet(f"{work.root}/found").where("part = 0").select(
-        "trace_id", "rule", "severity", "first_visit", "count"
-    )
+
+
+def _watched_findings(spark, work):
+    # A large finding has several documents, of one finding.
+    return spark.read.parquet(f"{work.root}/found").select("trace_id", "rule", "severity", "first_visit", "count").distinct()
+
+
+def stream_watch(spark, sf):
+    """Settle-then-score as a streaming query: findings of the runs that settled."""
+
+    work = Workspace(spark, "watch")
+    spans = work.keep(event_spans(spark, sf), "spans")
+    _watch(spark, work, spans, spark.readStream.schema(spans.schema).parquet(f"{work.root}/001-spans"))
+    return _watched_findings(spark, work)
+
+
+def _watched_in_batches(spark, sf):
+    """A watch over three files; later ones bring older arrivals too."""
+
+    work = Workspace(spark, "watch")
+    spans = work.keep(event_spans(spark, sf), "spans")
+    for k in range(3):
+        part = spans.where(F.col("seq") % 3 == k).select("trace_id", "start_time", "ingested_at")
+        part.coalesce(1).write.mode("append").parquet(f"{work.root}/arrivals")
+    stream = spark.readStream.schema("trace_id string, start_time timestamp, ingested_at timestamp")
+    _watch(spark, work, spans, stream.option("maxFilesPerTrigger", 1).parquet(f"{work.root}/arrivals"))
+    return work
+
+
+def stream_watch_batches(spark, sf):
+    """Findings of all runs that settled after any of three batches, each scored once."""
+
+    return _watched_findings(spark, _watched_in_batches(spark, sf))
+
+
+def stored_run_costs(spark, sf):
+    """The cost histogram from the summaries that the watch stored, batch by batch."""
+
+    work = _watched_in_batches(spark, sf)
+    stored = spark.read.parquet(f"{work.root}/summaries")
+    return metrics.cost_histogram(stored).withColumn("cost_sum", F.round("cost_sum", 6))
 
 
 # --- cost and redaction ----------------------------------------------------
@@ -610,7 +649,7 @@ QUERIES = {
         recent_traces, recent_spans, run_timeline, run_detail, sequence_strip, tree_lines, run_text, run_json,
         arrivals, handoff_edges, tool_usage, stamped_handoffs, stamped_tool_calls,
         ingest_good, ingest_quarantine, stream_ingest, topic_messages, span_table_by_day, newest_run_spans,
-        new_minus_scored, late_after_score, settled_sessions, stream_watch,
+        new_minus_scored, late_after_score, settled_sessions, stream_watch, stream_watch_batches, stored_run_costs,
         conversation_costs, conversation_summary,
         redacted_documents, redacted_messages, sensitive_keys, redacted_map, redacted_nested_json,
     )

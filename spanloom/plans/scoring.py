@@ -52,11 +52,17 @@ def score(
 
 
 def publish(
-    scored: Scored, node_path: str | None, finding_path: str | None, batch: int = 0, rules=detect.RULES
+    scored: Scored,
+    node_path: str | None,
+    finding_path: str | None,
+    batch: int = 0,
+    rules=detect.RULES,
+    summary_path: str | None = None,
 ) -> None:
-    """Store trees and findings. A failure to store trees is logged, not raised:
-    they are for display, and scoring must go on. Findings go to the folder of
-    their batch and replace what an earlier try of it left there."""
+    """Store trees, findings and summaries. A failure to store trees is logged,
+    not raised: they are for display, and scoring must go on. Findings and
+    summaries go to the folder of their batch and replace what an earlier try of
+    it left there."""
 
     if node_path is not None:
         try:
@@ -64,11 +70,16 @@ def publish(
         except Exception:  # noqa: BLE001
             log.exception("could not store tree nodes in %s", node_path)
     if finding_path is not None:
-        (
-            detect.finding_documents(scored.nodes, scored.findings, rules)
-            .withColumn("batch", F.lit(batch))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(finding_path)
-        )
+        _store(detect.finding_documents(scored.nodes, scored.findings, rules), finding_path, batch)
+    if summary_path is not None:
+        _store(scored.summaries, summary_path, batch)
+
+
+def _store(rows: DataFrame, path: str, batch: int) -> None:
+    (
+        rows.withColumn("batch", F.lit(batch))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch")
+        .parquet(path)
+    )

@@ -22,7 +22,8 @@ MAX_TOKENS = 4294967295
 
 # Costs are added up as exact decimals, so a run's total (and with it a
 # threshold test) never depends on the order in which tasks finish.
-COST_DECIMAL = "decimal(18,8)"
+# Twenty digits before the point; sums have thirty.
+COST_DECIMAL = "decimal(28,8)"
 TIME_DECIMAL = "decimal(24,6)"
 
 SPAN_SCHEMA = T.StructType(

@@ -31,6 +31,12 @@ MESSAGE_FIELDS = (
 )
 
 
+def json_value(text: str) -> str:
+    """SQL: JSON text as a value; text that is not valid JSON stays, as a JSON string."""
+
+    return f"coalesce(try_parse_json({text}), parse_json(to_json({text}::variant)))"
+
+
 def span_messages(spans: DataFrame) -> DataFrame:
     """Spans as topic records: JSON text keyed by run, so a run keeps one partition.
 
@@ -38,7 +44,7 @@ def span_messages(spans: DataFrame) -> DataFrame:
     """
 
     fields = [
-        F.expr("try_parse_json(attributes)").alias(f) if f == "attributes" else F.col(f)
+        F.expr(json_value("attributes")).alias(f) if f == "attributes" else F.col(f)
         for f in MESSAGE_FIELDS
     ]
     return spans.select(
@@ -64,6 +70,7 @@ def summary_json(summary: DataFrame) -> Column:
     fields = [
         F.col(c).cast("double").alias(c) if c == "total_cost_usd" else F.col(c)
         for c in summary.columns
+        if c != "unusable_costs"
     ]
     return F.to_json(F.struct(*fields), _KEEP_NULLS)
 
@@ -96,7 +103,7 @@ def run_json(nodes: DataFrame, summaries: DataFrame, part: int = PART) -> DataFr
 
     hidden = {"trace_id", "order_index", "visit_index", "promoted"}
     shown = [
-        F.expr("try_parse_json(attributes)").alias(c)
+        F.expr(json_value("attributes")).alias(c)
         if c == "attributes"
         else iso_text(F.col(c)).alias(c)
         if t == "timestamp"

@@ -26,9 +26,15 @@ _SCALARS = (*_TEXTS, *_TYPED)
 _FIELDS = (*_SCALARS, "attributes", "redacted")
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, max_per_trigger: int | None = None) -> DataFrame:
+MAX_PER_TRIGGER = 1_000_000
+
+
+def kafka_stream(spark: SparkSession, servers: str, topic: str, max_per_trigger: int | None = MAX_PER_TRIGGER) -> DataFrame:
     """The span topic from its beginning; the query's checkpoint keeps offsets.
 
+    A batch takes at most ``max_per_trigger`` messages (None: all there are), so
+    the first batches after a long pause stay bounded; the rest follow.
+
     Needs Spark's Kafka package on the class path.
     """
 
@@ -104,8 +110,8 @@ def decode(messages: DataFrame, strict: bool = False) -> DataFrame:
         problems.append((f"{f} IS NULL", f"{f}: not an integer"))
         problems.append((f"{f} < 0 OR {f} > {MAX_TOKENS}", f"{f}: out of range"))
     problems.append(("cost_usd IS NULL", "cost_usd: not a number"))
-    # Totals are exact decimals with ten digits before the point.
-    problems.append(("isnan(cost_usd) OR abs(cost_usd) >= 1e10", "cost_usd: out of range"))
+    # Totals are exact decimals with twenty digits before the point.
+    problems.append(("isnan(cost_usd) OR abs(cost_usd) >= 1e20", "cost_usd: out of range"))
     if strict:
         problems.append((f"t_step_type NOT IN {STEP_TYPES}", "step_type: unknown"))
         problems.append((f"t_status NOT IN {STATUSES}", "status: unknown"))

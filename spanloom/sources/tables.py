@@ -57,17 +57,34 @@ def write_spans(spans: DataFrame, path: str, mode: str = "append") -> None:
 def read_spans(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
     """All stored spans, or those that started on days from ``since`` to ``until``.
 
-    Bounds prune whole days.
+    Bounds prune whole days; spans without a start are read whatever the bounds.
+    Bounds cut runs at midnight: to score runs, use ``read_runs``.
     """
 
     spans = spark.read.schema(_SPAN_FILES).parquet(path)
+    undated = F.col("start_date").isNull()
     if since is not None:
-        spans = spans.where(F.col("start_date") >= F.lit(since).cast("date"))
+        spans = spans.where(undated | (F.col("start_date") >= F.lit(since).cast("date")))
     if until is not None:
-        spans = spans.where(F.col("start_date") <= F.lit(until).cast("date"))
+        spans = spans.where(undated | (F.col("start_date") <= F.lit(until).cast("date")))
     return spans.select(*SPAN_COLUMNS)
 
 
+def read_runs(spark: SparkSession, path: str, since: str, until: str, margin_days: int = 2) -> DataFrame:
+    """All spans of the runs that have one on days from ``since`` to ``until``.
+
+    The bounds choose runs, not spans: a run across midnight comes whole. Its
+    other spans are looked for ``margin_days`` before and after.
+    """
+
+    days = spark.range(1).select(
+        F.date_sub(F.lit(since).cast("date"), margin_days).alias("a"), F.date_add(F.lit(until).cast("date"), margin_days).alias("b")
+    )
+    first, last = days.first()
+    chosen = read_spans(spark, path, since, until).where("start_time IS NOT NULL").select("trace_id").distinct()
+    return read_spans(spark, path, first, last).join(chosen, "trace_id", "left_semi")
+
+
 def spans_of_run(spans: DataFrame, trace_id: str) -> DataFrame:
     """One run's spans in time order, attributes decoded to a map."""
 

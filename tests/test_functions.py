@@ -103,3 +103,10 @@ def test_malformed_settings_are_refused(tmp_path, body):
     file.write_text(body)
     with pytest.raises(ValueError):
         Settings.resolve(file, {})
+
+
+def test_texts_that_cannot_be_walked_are_blanked(spark):
+    deep = "[" * 100_000 + '"token"' + "]" * 100_000
+    rows = [(0, deep), (1, '{"token": "x", "note": "\\ud800"}'), (2, '{"note": "\\u00e9"}')]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", redact.redact_json(F.col("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {0: redact.BLANK, 1: redact.BLANK, 2: '{"note": "é"}'}

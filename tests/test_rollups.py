@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spans import at, frame, misbehaving_run, span
+from spans import FAIL_COST, FAILS, LOOPS, at, frame, misbehaving_run, span
 from spanloom import Thresholds
 from spanloom.operators import detect, metrics
 from spanloom.operators.summary import last_starts, recent_runs, run_summaries
@@ -104,22 +104,24 @@ def test_misbehaving_run(spark):
     rows = s.findings.orderBy("rule_no", "first_visit").collect()
     assert [(r["rule"], r["severity"], r["count"]) for r in rows] == [
         # The failing tool is visited first: last siblings come first.
-        (detect.LOOP, "warning", 6),
-        (detect.LOOP, "critical", 10),
-        (detect.FAILURE, "critical", 6),
+        (detect.LOOP, "warning", FAILS),
+        (detect.LOOP, "critical", LOOPS),
+        (detect.FAILURE, "critical", FAILS),
         (detect.COST, "critical", None),
     ]
     docs = {
         (r["rule"], r["count"]): r
         for r in detect.finding_documents(s.nodes, s.findings).collect()
     }
-    failure = docs[detect.FAILURE, 6]
-    assert failure["span_ids"] == [f"fail{i}" for i in range(5, -1, -1)]
+    failure = docs[detect.FAILURE, FAILS]
+    backwards = range(FAILS - 1, -1, -1)
+    assert failure["span_ids"] == [f"send{i}" for i in backwards]
     evidence = json.loads(failure["evidence"])
-    assert evidence["tool"] == "flaky.api" and evidence["error_messages"] == ["upstream timeout"] * 6
+    assert evidence["tool"] == "parcel.send" and evidence["error_messages"] == [f"depot {i} closed" for i in backwards]
     cost = docs[detect.COST, None]
-    assert cost["span_ids"] == ["root", "fail5", "fail4"]
-    assert json.loads(cost["evidence"])["top_spans"][0] == {"span_id": "root", "cost_usd": 0.4}
+    # Equally dear spans come in visit order.
+    assert cost["span_ids"] == [f"send{i}" for i in backwards][:3]
+    assert json.loads(cost["evidence"])["top_spans"][0] == {"span_id": f"send{FAILS - 1}", "cost_usd": FAIL_COST}
 
 
 def test_large_findings_come_in_parts_that_are_whole(spark):
@@ -127,9 +129,12 @@ def test_large_findings_come_in_parts_that_are_whole(spark):
     whole = detect.finding_documents(s.nodes, s.findings)
     parts = detect.finding_documents(s.nodes, s.findings, part=4)
     assert parts.where(F.size("span_ids") > 4).count() == 0
-    joined = {}
+    joined, numbers = {}, {}
     for r in parts.orderBy("part").collect():
         joined.setdefault((r["rule"], r["first_visit"]), []).extend(r["span_ids"])
+        numbers.setdefault((r["rule"], r["first_visit"]), []).append(r["part"])
+    # The looping lookups are visited late, and still start with part 0.
+    assert all(n == list(range(len(n))) for n in numbers.values())
     assert joined == {(r["rule"], r["first_visit"]): r["span_ids"] for r in whole.collect()}
 
 
@@ -138,11 +143,34 @@ def test_a_rule_can_be_added(spark):
         late = summaries.where("wall_clock_ms > 10").withColumn("first_visit", F.lit(0).cast("long"))
         return detect._finding(late, "slow_run", F.lit("warning"), F.lit("slow"), 10)
 
-    nothing = lambda found, nodes: detect._spans_of(found, nodes.limit(0), ())
-    rules = (*detect.RULES, detect.Rule("slow_run", slow, nothing))
-    s = score(frame(spark, misbehaving_run()), rules=rules)
-    assert s.findings.where("rule = 'slow_run'").count() == 1
-    assert s.findings.agg(F.max("rule_no")).first()[0] == 4
+    def first_spans(found, nodes):
+        return detect._spans_of(found, nodes.where("visit_index < 2"), ())
+
+    def shown(errors, tops):
+        return F.to_json(F.struct(F.col("threshold").alias("limit_ms"), tops["span_id"].alias("spans")))
+
+    for particulars, key in ((shown, "limit_ms"), (None, "threshold")):
+        rules = (*detect.RULES, detect.Rule("slow_run", slow, first_spans, particulars))
+        s = score(frame(spark, misbehaving_run()), rules=rules)
+        assert s.findings.agg(F.max("rule_no")).first()[0] == 4
+        document = one(detect.finding_documents(s.nodes, s.findings, rules).where("rule = 'slow_run'"))
+        assert json.loads(document["evidence"])[key] == 10 and len(document["span_ids"]) == 2
+        counts = {(r["rule"], r["severity"]): r["findings"] for r in metrics.findings_by_severity(s.findings).collect()}
+        assert counts["slow_run", "warning"] == 1 and len(counts) == 7
+        assert metrics.findings_by_severity(s.findings, rules).count() == 8
+
+
+def test_odd_costs_are_reported_not_fatal(spark):
+    odd = [1.5, None, float("nan"), float("inf"), 1e11, 1e40]
+    summary = one(run_summaries(frame(spark, [span("t", f"s{i}", None, i, cost_usd=c) for i, c in enumerate(odd)])))
+    assert float(summary["total_cost_usd"]) == 1e11 + 1.5 and summary["unusable_costs"] == 3
+
+
+def test_findings_of_undated_runs_are_counted(spark):
+    rows = [span("dated", f"s{i}", None, i) for i in range(6)] + [span("undated", f"s{i}", None, None) for i in range(6)]
+    spans = frame(spark, rows)
+    over = metrics.findings_over_time(score(spans).findings, last_starts(spans)).orderBy("interval_start").collect()
+    assert [(r["interval_start"] is None, r["findings"], r["findings_total"]) for r in over] == [(True, 1, 1), (False, 1, 2)]
 
 
 def test_metrics(spark):

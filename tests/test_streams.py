@@ -11,7 +11,7 @@ from spanloom.schema import SPAN_SCHEMA
 from spanloom.sources import tables
 from spanloom.streaming.ingest import start_ingest, without_repeats
 from spanloom.streaming.watch import (
-    ignore_existing, late_spans, mark_scored, read_scored, settled_runs, start_watch, ticks,
+    SCORED_SCHEMA, Pending, ignore_existing, late_spans, mark_scored, read_scored, settled_runs, start_watch, ticks,
 )
 
 
@@ -65,14 +65,14 @@ class Watch:
     def arrive(self, *rows):
         frame(self.spark, rows).coalesce(1).write.mode("append").parquet(self.spans)
 
-    def table(self):
+    def table(self, since=None, until=None):
         return self.spark.read.schema(SPAN_SCHEMA).parquet(self.spans)
 
     def poll(self, node_path=None):
         stream = self.spark.readStream.schema(SPAN_SCHEMA).parquet(self.spans)
         drain(
             start_watch(
-                settled_runs(stream), self.table, self.scored, node_path or self.nodes, self.found, str(self.root / "check"),
+                stream, self.table, self.scored, node_path or self.nodes, self.found, str(self.root / "check"),
                 on_scored=lambda s, i: self.batches.append((s.nodes.count(), runs_evaluated(s.summaries).first()[0])),
                 once=True,
             )
@@ -106,6 +106,38 @@ def test_a_run_is_scored_once_when_it_has_settled(spark, tmp_path):
     assert {r["trace_id"]: r["late_after_score"] for r in late_spans(w.table(), moments).collect()} == {"demo": 1, "other": 1}
 
 
+def test_older_arrivals_in_later_batches_are_scored(spark, tmp_path):
+    """No run is lost: what arrives behind the newest arrival counts like the rest."""
+
+    w = Watch(spark, tmp_path)
+    w.arrive(failing("a", 0, 0), failing("b", 0, 60_000))
+    w.poll()
+    assert w.scored_runs() == ["a"]
+    # Run c is older than all of the batch before.
+    w.arrive(*[failing("c", i, 30_000 + i) for i in range(4)])
+    w.poll()
+    assert w.scored_runs() == ["a", "c"]
+    assert {r["trace_id"] for r in spark.read.parquet(w.found).collect()} == {"c"}
+    # b goes on before it is quiet; it stays open, with d, until e is far ahead.
+    w.arrive(failing("b", 1, 61_000), failing("d", 0, 62_000))
+    w.poll()
+    assert w.scored_runs() == ["a", "c"]
+    w.arrive(failing("e", 0, 90_000))
+    w.poll()
+    assert w.scored_runs() == ["a", "b", "c", "d"]
+    assert [n for n, _ in w.batches] == [1, 4, 3]
+
+
+def test_a_retried_batch_starts_from_the_same_runs(spark, tmp_path):
+    pending = Pending(spark, str(tmp_path / "pending"))
+    none = spark.createDataFrame([], SCORED_SCHEMA)
+    assert pending.advance(frame(spark, [failing("a", 0, 0)]), none, 0, "3 seconds").count() == 0
+    for _ in range(2):
+        later = pending.advance(frame(spark, [failing("b", 0, 10_000)]), none, 1, "3 seconds")
+        assert [(r.trace_id, r.spans) for r in later.collect()] == [("a", 1)]
+    assert pending.advance(frame(spark, [failing("a", 1, 20_000)]), none, 2, "3 seconds").select("trace_id").first()[0] == "b"
+
+
 def test_existing_runs_are_ignored(spark, tmp_path):
     w = Watch(spark, tmp_path)
     w.arrive(failing("old", 0, 0))
