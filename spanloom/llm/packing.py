@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,11 @@ END_ID = 2
 ROWS_A_GROUP = 4096
 # A token's cost is 1 plus this for each token of its piece that it attends to.
 QUADRATIC = 1 / 4096
-# Words whose ids a Python worker remembers; then it starts afresh.
-MEMORY = 500_000
+# Words whose ids a Python worker remembers.
+MEMORY = 600_000
 
 _ODD = re.compile("[\x1c-\x1f\x85\xa0]")  # white space to str.split, maybe not to the tokenizer
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long"
 _OUT = _PIECE + ", sequence_id long, offset long"
 
@@ -47,21 +49,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > MEMORY:
-            self.known.clear()
-        rest = []
+    def _ask(self, parts: set[str], into: dict[str, bytes]) -> None:
+        """Ids of ``parts`` from the tokenizer."""
+
+        rest = list(parts)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for part, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                into[part] = np.array(code.ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str], into: dict[str, bytes]) -> None:
+        """Ids of ``words``. Letters before ASCII marks are split off: the tokenizer splits there too."""
+
+        known, ask, joint = self.known, set(), []
         for word in words:
-            # Letters, then one dot or comma: two pre-tokens, so two known parts.
-            stem = word[:-1]
-            if word[-1] in ".," and stem in self.known and word[-1] in self.known and stem.isalpha():
-                self.known[word] = self.known[stem] + self.known[word[-1]]
+            stem = word.rstrip(_MARKS)
+            if stem and len(stem) < len(word) and stem.isalpha():
+                joint.append((word, stem, word[len(stem) :]))
+                ask.update((stem, word[len(stem) :]))
             else:
-                rest.append(word)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(code.ids, "<u4").tobytes()
+                ask.add(word)
+        found: dict[str, bytes] = {}
+        self._ask(ask - known.keys(), found)
+        into.update(found)
+        for word, stem, tail in joint:
+            into[word] = (known.get(stem) or found[stem]) + (known.get(tail) or found[tail])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = []
@@ -73,14 +85,16 @@ class Encoder:
             except UnicodeEncodeError:
                 plain = False
             split.append(text.lower().split() if plain else [w for w in re.split("[ \t\n\r]+", text) if w])
-        new = set().union(*split) - self.known.keys() if split else set()
-        if new:
-            before = len(self.known)
-            self._learn(new)
-            if len(self.known) < before + len(new):  # it was cleared
-                self._learn(set().union(*split) - self.known.keys())
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        new = set().union(*split) - known.keys()
+        if len(known) + len(new) <= MEMORY:
+            self._learn(new, known)
+            return [b"".join([known[w] for w in words]) for words in split]
+        # Full: the words met first are the frequent ones and stay; others serve this call only.
+        here: dict[str, bytes] = {}
+        self._learn(new, here)
+        both = ChainMap(known, here)
+        return [b"".join([known.get(w) or both[w] for w in words]) for words in split]
 
 
 @functools.cache
