@@ -23,6 +23,7 @@ SEED = 23
 BUCKETS = 1 << 17
 GRAM = 4  # bytes of a character n-gram
 THRESHOLD = 0.5
+CHUNK = 1 << 20  # bytes of text handled at once: arrays take about a hundred times that
 MIN_WORDS = 10
 WINDOW = 5  # words
 MAX_REPEATED = (20, 100)  # repeated words, as a share of all words
@@ -176,21 +177,48 @@ class Model:
 
 
 def _calibrate(margin: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, steps: int = 60) -> tuple[float, float]:
-    """Slope and intercept of a (weighted) logistic fit of the labels to the margins (Newton)."""
+    """Slope and intercept of a (weighted) logistic fit of the labels to the margins.
+
+    Newton steps on the standardised margins, halved until the loss falls; goals
+    a little inside 0 and 1 keep the fit finite where labels are separated.
+    """
 
-    a, b = 1.0, 0.0
     up, down = (label.sum() + 1) / (label.sum() + 2), 1 / (len(label) - label.sum() + 2)
     goal = np.where(label == 1, up, down)
     weight = np.ones(len(label)) if weight is None else weight
+    middle, spread = margin.mean(), margin.std() or 1.0
+    x = np.stack([(margin - middle) / spread, np.ones(len(margin))], axis=1)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - goal * z)).sum() + 1e-3 * w[0] ** 2)
+
+    w = np.zeros(2)
     for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        off = (q - goal) * weight
-        g = np.array([(off * margin).sum(), off.sum()])
-        s = q * (1 - q) * weight + 1e-9
-        h = np.array([[(s * margin * margin).sum(), (s * margin).sum()], [(s * margin).sum(), s.sum()]]) + 1e-3 * np.eye(2)
-        d = np.linalg.solve(h, g)
-        a, b = a - d[0], b - d[1]
-    return float(a), float(b)
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (q - goal)) + np.array([2e-3 * w[0], 0])
+        h = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag([2e-3, 1e-6])
+        step, now = np.linalg.solve(h, g), loss(w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-9:
+            break
+    return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
+
+
+def _weighed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all texts, the text of each, and its share there; one text's arrays at a time."""
+
+    index, owner, value = [], [], []
+    for i, text in enumerate(texts):
+        for found, _ in features(Parsed.of([text])):
+            bucket, count = np.unique(found, return_counts=True)
+            index.append(bucket.astype(np.int32))
+            owner.append(np.full(len(bucket), i, np.int32))
+            value.append((count / max(count.sum(), 1)).astype(np.float32))
+    return np.concatenate(index), np.concatenate(owner), np.concatenate(value)
 
 
 def fit(texts: list[bytes], labels: list[int], rounds: int = 60, rate: float = 2.0, decay: float = 1e-4) -> Model:
@@ -204,13 +232,9 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, rate: float = 2
         # Too little to learn from: the smoothed share of good rows for every text.
         share = (sum(y) + 1) / (len(y) + 2)
         return Model(np.zeros(2 * BUCKETS), 1.0, float(np.log(share / (1 - share))))
-    p = Parsed.of([t for t, h in zip(texts, held) if not h])
-    goal, n = y[~held], int((~held).sum())
-    rows = []
-    for index, text in features(p):
-        share = 1 / np.maximum(np.bincount(text, minlength=n), 1)
-        rows.append((index, text, share[text]))
-    index, text, value = (np.concatenate(x) for x in zip(*rows))
+    goal = y[~held]
+    n = len(goal)
+    index, text, value = _weighed([t for t, h in zip(texts, held) if not h])
     w, seen, bias = np.zeros(2 * BUCKETS), np.full(2 * BUCKETS, 1e-8), 0.0
     weight = np.where(goal == 1, 0.5 / max(goal.sum(), 1), 0.5 / max((1 - goal).sum(), 1)) * n
     for _ in range(rounds):
@@ -221,7 +245,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, rate: float = 2
         w -= rate * step / np.sqrt(seen)
         bias -= g.sum()
     model = Model(w, 1.0, 0.0)
-    margin = model.margin(Parsed.of([t for t, h in zip(texts, held) if h]))
+    margin = np.array([model.margin(Parsed.of([t]))[0] for t, h in zip(texts, held) if h])
     model.slope, model.intercept = _calibrate(margin, y[held])
     return model
 
@@ -261,7 +285,7 @@ def judge(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            for rows, texts in chunks(batch, "t"):
+            for rows, texts in chunks(batch, "t", CHUNK):
                 p = Parsed.of(texts)
                 found = counts(texts, p)
                 failed = (found["n_words"] < MIN_WORDS) | (MAX_REPEATED[1] * found["n_repeat_words"] > MAX_REPEATED[0] * found["n_words"])
