@@ -23,6 +23,18 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def seeded(rows: DataFrame, count: int, seed: int) -> DataFrame:
+    """At most ``count`` of ``rows``, the first in the order of a seeded hash of all columns.
+
+    Only hashes are sorted, so no task gathers whole rows of all partitions;
+    rows that tie with the last hash are alike, and the limit bounds them too.
+    """
+
+    hashed = rows.withColumn("_o", F.xxhash64(F.lit(seed), *rows.columns))
+    last = hashed.select("_o").orderBy("_o").limit(count).agg(F.max("_o")).first()[0]
+    return hashed.where(F.lit(False) if last is None else F.col("_o") <= last).drop("_o").limit(count)
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[slice, list[bytes]]]:
     """Row ranges of a batch with their texts as UTF-8 bytes (null: empty).
 

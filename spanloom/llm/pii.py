@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.llm.common import chunks
+from spanloom.llm.common import chunks, seeded
 
 # Documents with a span, and others, that the network learns from, at most.
 TRAIN_ROWS = 400
@@ -315,9 +315,9 @@ def fit(texts: list[str], steps: int = STEPS) -> Tagger | None:
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = TRAIN_ROWS) -> Tagger | None:
     """A tagger from at most ``rows`` documents with a digit or @, and as many others."""
 
-    marked = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("t"), F.xxhash64(F.lit(SEED), id_column).alias("o"))
+    keyed = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("t"))
     hit = F.col("t").rlike("[0-9@]")
-    some = [marked.where(x).orderBy("o", "t").limit(rows) for x in (hit, ~hit)]
+    some = [seeded(keyed.where(x), rows, SEED) for x in (hit, ~hit)]
     return fit([r.t for r in some[0].unionByName(some[1]).select("t").collect()])
 
 

@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanloom.llm.common import text_or_empty
+from spanloom.llm.common import seeded, text_or_empty
 from spanloom.operators.skew import let
 
 # Documents to learn from, at most so many with a fixed form and so many others.
@@ -33,6 +33,7 @@ _LONG_HEX = r"([0-9a-f]{24,})"
 RANDOM = "random"
 TOKEN = r"([A-Za-z0-9+/_=-]{20,})"
 ORDINARY = r"[A-Za-z0-9+/_=-]{4,}"
+LONGEST_ORDINARY = 20
 LEAST_VALUE = 16  # characters of a value that counts as random
 LEAST_RATIO = 8.0  # natural logarithm
 PRIOR = 4.0  # weight of a character's overall share in its pairs' shares
@@ -100,11 +101,13 @@ def _samples(docs: DataFrame, id_column: str, text_column: str, rows: int) -> Da
 
     text = text_or_empty(text_column)
     hit = text.rlike(_LONG_HEX) | text.rlike(FORMS[0][1]) | text.rlike("AKIA[A-Z0-9]{16}")
-    marked = docs.select(text.alias("text"), hit.alias("hit"), F.xxhash64(F.lit(SEED), id_column).alias("o"))
-    some = [marked.where(x).orderBy("o", "text").limit(rows) for x in (F.col("hit"), ~F.col("hit"))]
-    found = base_spans(some[0].unionByName(some[1]).select("text"))
+    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"))
+    some = [seeded(keyed.where(x), rows, SEED).select("text") for x in (hit, ~hit)]
+    found = base_spans(some[0].unionByName(some[1]))
     values = found.select(F.explode("base.v").alias("v")).distinct().where(F.length("v") >= LEAST_VALUE)
     tokens = found.select(F.explode(F.expr(f"regexp_extract_all(t, {_quoted(ORDINARY)}, 0)")).alias("v"))
+    # A token long enough to be judged is not its own example of an ordinary one.
+    tokens = tokens.where(F.length("v") < LONGEST_ORDINARY)
     others = tokens.distinct().join(values, "v", "left_anti")
     return values.select(F.lit(1).alias("label"), "v").unionByName(others.select(F.lit(0).alias("label"), "v"))
 

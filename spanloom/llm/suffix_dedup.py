@@ -40,8 +40,9 @@ from spanloom.session import Workspace
 
 LENGTH = 50
 NAME = 24  # bytes of the names that are ranked first
-CHUNK = 4 << 20  # bytes of text handled at once
-BUCKET = 16 << 20  # bytes of text a group of names stands for
+CHUNK = 1 << 20  # bytes of text handled at once: a task's arrays take about a hundred times that
+SENT = 2 << 20  # the same where a chunk's names are sent; a larger one sends fewer names twice
+BUCKET = 8 << 20  # bytes of text a group of names stands for
 LEAST_BUCKETS = 32
 LAST_ID = (1 << 63) - 1
 
@@ -118,14 +119,14 @@ class Spans:
         return _mix(whole + (end - begin).astype(np.uint64) * _PAIR[5] + with_name * _PAIR[6])
 
 
-def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of bounded size, with the texts."""
 
     for batch in batches:
         texts = [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()]
         first, held = 0, 0
         for i, text in enumerate(texts):
-            if i > first and (held + len(text) > CHUNK or i - first >= _MANY - 1):
+            if i > first and (held + len(text) > limit or i - first >= _MANY - 1):
                 yield batch.slice(first, i - first), texts[first:i]
                 first, held = i, 0
             held += len(text)
@@ -153,7 +154,7 @@ def _send(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's names, each once, by bucket; and names that the chunk itself has twice."""
 
-        for part, texts in _parts(batches, "text"):
+        for part, texts in _parts(batches, "text", SENT):
             ids = part.column(0).to_numpy()
             _, _, owner, _, _, name = runs(texts)
             entry = np.unique((name << _SHORT) | owner.astype(np.uint64))
