@@ -8,8 +8,9 @@ takes its tag from the window in which it lies deepest, and spans are read from
 the tags of the whole text. A span counts if, read back to the plain form, it is
 one of the kind.
 
-A span holds a digit, an @ or the word "dot" by definition of its kinds, so
-windows are laid over every stretch that has one within ``MARGIN`` characters.
+The windows lie on a fixed grid over the whole text. Those that cannot touch a
+span that counts are not run: every such span, of any length, lies in one of
+``_possible``'s stretches, so the spans found are those of all windows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ SEED = 37
 HIDDEN = 12
 WINDOW = 128
 OVERLAP = 48
-MARGIN = 40
 STEPS = 220
 BATCH = 48
 RATE = 0.03
@@ -44,7 +44,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
-_TRIGGER = re.compile(r"[0-9@]|\bdot\b", re.IGNORECASE)
+# Of the spans that _valid accepts: all characters of an address, and what each
+# address has; all characters from a card's or phone's first digit on; what no ip holds.
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+@\s\[\](){}<>-]+")
+_AT = re.compile(r"@|\bat\b", re.IGNORECASE)
+_NUMBER = re.compile(r"[0-9][0-9\s().+/_-]*")
+_DIGITS = re.compile("[0-9]+")
+_WORD = re.compile("[A-Za-z]{4,}")
+_STRIPPED = " \n\t,;:"  # at both ends of a tagged stretch; on the right also a full stop
 
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 _CLASSES = 130
@@ -321,22 +328,61 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return fit([r.t for r in some[0].unionByName(some[1]).select("t").collect()])
 
 
+def _possible(text: str) -> list[tuple[int, int]]:
+    """Stretches, by start, one of which holds all of any span that ``_valid`` accepts."""
+
+    out = []
+    if _AT.search(text):
+        out += [m.span() for m in _ADDRESS.finditer(text) if _AT.search(text, *m.span())]
+    if _DIGIT.search(text) is None:
+        return out
+    for m in _NUMBER.finditer(text):
+        if len(_NOT_DIGIT.sub("", m.group())) >= 8:
+            a = m.start()
+            while a and (text[a - 1] in "().+/_-" or text[a - 1].isspace()):
+                a -= 1
+            out.append((a, m.end()))
+    # Four numbers or more without a word of four letters between them.
+    runs = [m.span() for m in _DIGITS.finditer(text)]
+    first = 0
+    for i in range(1, len(runs) + 1):
+        if i == len(runs) or _WORD.search(text, runs[i - 1][1], runs[i][0]):
+            if i - first >= 4:
+                after = _WORD.search(text, runs[i - 1][1])
+                out.append((_word_before(text, runs[first][0]), after.start() + 3 if after else len(text)))
+            first = i
+    return sorted(out)
+
+
+def _word_before(text: str, at: int) -> int:
+    """Where the last three letters of the last word of four begin before ``at``; else 0."""
+
+    size = 64
+    while True:
+        words = [m.end() for m in _WORD.finditer(text, max(0, at - size), at)]
+        if words or size >= at:
+            return words[-1] - 3 if words else 0
+        size *= 4
+
+
 def _layout(text: str) -> list[tuple[int, int]]:
-    """Windows (start, end) over the stretches around triggers, with overlaps."""
+    """The windows (start, end) of the grid that touch a possible span.
 
-    out, stretches = [], []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = b
-        else:
-            stretches.append([a, b])
-    for a, b in stretches:
-        while True:
-            out.append((a, min(a + WINDOW, b)))
-            if a + WINDOW >= b:
-                break
-            a += WINDOW - OVERLAP
+    Also the character before and after it, stripped ones apart, is looked at: a
+    tagged stretch that goes on there does not count.
+    """
+
+    stride, last = WINDOW - OVERLAP, max(0, -((WINDOW - len(text)) // (WINDOW - OVERLAP)))
+    out, done = [], -1
+    for a, b in _possible(text):
+        while a and text[a - 1] in _STRIPPED:
+            a -= 1
+        while b < len(text) and text[b] in _STRIPPED + ".":
+            b += 1
+        a, b = max(0, a - 1), min(len(text), b + 1)
+        for n in range(max(done + 1, -((WINDOW - 1 - a) // stride), 0), min(last, (b - 1) // stride) + 1):
+            out.append((n * stride, min(n * stride + WINDOW, len(text))))
+            done = n
     return out
 
 
@@ -381,7 +427,7 @@ def spans_of(texts: list[str], model: Tagger | None) -> list[tuple[list, list]]:
         added = []
         for kind, a, b in more:
             inner = text[a:b]
-            a, b = a + len(inner) - len(inner.lstrip(" \n\t,;:")), b - len(inner) + len(inner.rstrip(" \n\t,;:."))
+            a, b = a + len(inner) - len(inner.lstrip(_STRIPPED)), b - len(inner) + len(inner.rstrip(_STRIPPED + "."))
             if a < b and _valid(kind, text[a:b]) and not any(x < b and a < y for x, y in held):
                 added.append((kind, a, b))
         out.append((own, sorted(own + added)))

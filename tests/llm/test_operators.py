@@ -395,6 +395,34 @@ def test_personal_data(docs_of, odd_texts):
     assert pii.find(docs_of([]), None).count() == 0 and pii.fit(["no spans"]) is None
 
 
+def test_personal_data_anywhere_in_a_text(monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8)))
+    texts = [" ".join([word() for _ in range(20)] + [f"{word()}.{word()}@{word()}.com"] + [word() for _ in range(9)]) for _ in range(150)]
+    model = pii.fit(texts)
+    mails = [f"{word()}.{word()}(at){word()}.com" for _ in range(40)]
+    mails += [f"{word()}.{'x'.join(word() for _ in range(9))} [at] {word()} [dot] com" for _ in range(10)]
+    parts = [" ".join(word() for _ in range(n % 50)) for n in range(50)]
+    found = pii.spans_of([f"{part} {mail} {part}" for part, mail in zip(parts, mails)], model)
+    assert sum((0, len(p) + 1, len(p) + 1 + len(m)) in spans for p, m, (_, spans) in zip(parts[:40], mails, found)) >= 20
+    bits = ["at", "@", " ", ".", "dot", "(", "a", "b1", "john", "12", "345", "6789", "+1", "-", ", ", "é", "[", "]", "AT", "\n", "_", "the"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(14))
+        held = pii._possible(text)
+        for a, b in itertools.combinations(range(len(text) + 1), 2):
+            if any(pii._valid(k, text[a:b]) for k in range(len(pii.KINDS))):
+                assert any(x <= a and b <= y for x, y in held), (text, a, b)
+    # The same as from all windows of the grid, also with a model that tags at random.
+    mixed = ["".join(rng.choice([*bits, word(), f" {mails[0]} "]) for _ in range(rng.randrange(300))) for _ in range(40)]
+    wild = pii.Tagger(np.random.default_rng(5)).light()
+    wild.p["out"] *= 9
+    own = [pii.spans_of(mixed, m) for m in (model, wild)]
+    stride = pii.WINDOW - pii.OVERLAP
+    every = lambda t: [(a, min(a + pii.WINDOW, len(t))) for a in range(0, max(1, len(t) - pii.OVERLAP), stride)]
+    monkeypatch.setattr(pii, "_layout", every)
+    assert own == [pii.spans_of(mixed, m) for m in (model, wild)]
+
+
 # Quality
 
 
