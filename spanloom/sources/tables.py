@@ -70,18 +70,17 @@ def read_spans(spark: SparkSession, path: str, since=None, until=None) -> DataFr
     return spans.select(*SPAN_COLUMNS)
 
 
-def read_runs(spark: SparkSession, path: str, since: str, until: str, margin_days: int = 2) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, since: str, until: str) -> DataFrame:
     """All spans of the runs that have one on days from ``since`` to ``until``.
 
-    The bounds choose runs, not spans: a run across midnight comes whole. Its
-    other spans are looked for ``margin_days`` before and after.
+    The bounds choose runs, not spans: each run comes whole, however long it
+    lasts. Its first and last day are read from all days' run ids first, so only
+    days between these are read in full.
     """
 
-    days = spark.range(1).select(
-        F.date_sub(F.lit(since).cast("date"), margin_days).alias("a"), F.date_add(F.lit(until).cast("date"), margin_days).alias("b")
-    )
-    first, last = days.first()
     chosen = read_spans(spark, path, since, until).where("start_time IS NOT NULL").select("trace_id").distinct()
+    days = spark.read.schema(_SPAN_FILES).parquet(path).select("trace_id", "start_date").where("start_date IS NOT NULL")
+    first, last = days.join(chosen, "trace_id", "left_semi").agg(F.min("start_date"), F.max("start_date")).first()
     return read_spans(spark, path, first, last).join(chosen, "trace_id", "left_semi")
 
 

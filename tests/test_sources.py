@@ -126,6 +126,16 @@ def test_span_table(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(trace_id), EqualTo(trace_id,a)]" in plan
 
 
+def test_long_runs_are_read_whole(spark, tmp_path):
+    day = 86_400_000
+    rows = [span("a", f"s{n}", None, n * day) for n in (0, 4, 9)] + [span("b", "x", None, 0), span("a", "u", None, None), span("c", "y", None, 12 * day)]
+    path = str(tmp_path / "spans")
+    tables.write_spans(frame(spark, rows), path)
+    got = tables.read_runs(spark, path, "2025-03-18", "2025-03-18").collect()
+    assert sorted(r["span_id"] for r in got) == ["s0", "s4", "s9", "u"]
+    assert tables.read_runs(spark, path, "2024-01-01", "2024-01-02").count() == 0
+
+
 def test_node_table_keeps_the_newest_version(spark, tmp_path):
     path, packed = str(tmp_path / "nodes"), str(tmp_path / "packed")
     tables.ensure_node_table(spark, path)
