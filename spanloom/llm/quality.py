@@ -221,8 +221,14 @@ def _weighed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(owner), np.concatenate(value)
 
 
-def fit(texts: list[bytes], labels: list[int], rounds: int = 60, rate: float = 2.0, decay: float = 1e-4) -> Model:
-    """Adagrad on the mean log loss; every fourth row only calibrates."""
+def fit(
+    texts: list[bytes], labels: list[int], rounds: int = 60, rate: float = 2.0, decay: float = 1e-4, share: float | None = None
+) -> Model:
+    """Adagrad on the mean log loss; every fourth row only calibrates.
+
+    ``share`` is how many of all texts are good, if the given ones were chosen
+    by label.
+    """
 
     order = np.random.default_rng(SEED).permutation(len(texts))
     y = np.array(labels, float)[order]
@@ -230,7 +236,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, rate: float = 2
     held = np.arange(len(texts)) % 4 == 0
     if len(texts) < 8 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         # Too little to learn from: the smoothed share of good rows for every text.
-        share = (sum(y) + 1) / (len(y) + 2)
+        share = (sum(y) + 1) / (len(y) + 2) if share is None else min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(2 * BUCKETS), 1.0, float(np.log(share / (1 - share))))
     goal = y[~held]
     n = len(goal)
@@ -246,7 +252,10 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, rate: float = 2
         bias -= g.sum()
     model = Model(w, 1.0, 0.0)
     margin = np.array([model.margin(Parsed.of([t]))[0] for t, h in zip(texts, held) if h])
-    model.slope, model.intercept = _calibrate(margin, y[held])
+    given = y.mean()
+    share = given if share is None else min(max(share, 1e-6), 1 - 1e-6)
+    balance = np.where(y[held] == 1, share / given, (1 - share) / (1 - given))
+    model.slope, model.intercept = _calibrate(margin, y[held], balance)
     return model
 
 
@@ -267,7 +276,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     found = labelled_sample(docs, labels, "quality", rows, SEED)
-    return fit([bytes(r.t) for r in found], [r.y for r in found])
+    # The sample bounds each label by itself; how many are good is counted over all labelled documents.
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    share = known.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.avg("y")).first()[0]
+    return fit([bytes(r.t) for r in found], [r.y for r in found], share=share)
 
 
 def judge(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:

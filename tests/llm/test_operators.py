@@ -451,6 +451,16 @@ def test_quality(spark, docs_of, odd_texts, sample):
     assert quality.fit([], []).probability(quality.Parsed.of([b"x"]))[0] == pytest.approx(0.5)
 
 
+def test_quality_keeps_the_natural_share(spark, docs_of):
+    rng = random.Random(17)
+    text = lambda: " ".join(rng.choice("one two three four five six seven".split()) for _ in range(30))
+    docs = docs_of([(i, text()) for i in range(800)])
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(800)] + [(9000 + i, 0) for i in range(800)], "doc_id long, quality int")
+    for rows in (40, 800):
+        judged = quality.judge(docs, quality.learn(docs, labels, rows)).collect()
+        assert np.mean([r.probability for r in judged]) == pytest.approx(0.9, abs=0.06)
+
+
 # Secrets
 
 
