@@ -16,15 +16,16 @@ span that counts are not run: every such span, of any length, lies in one of
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from spanloom.llm.common import chunks, seeded
 
-# Documents with a span, and others, that the network learns from, at most.
+# Documents with a span of each kind, with only other digits or @, and others, that the network learns from, at most.
 TRAIN_ROWS = 400
 SEED = 37
 HIDDEN = 12
@@ -319,13 +320,46 @@ def fit(texts: list[str], steps: int = STEPS) -> Tagger | None:
     return model.light()
 
 
+def _of_each_kind(keyed: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` of the (id, t) with each kind of base span, and of those with a digit or @ but no span.
+
+    All rows are looked at, so a kind that any of them holds has its examples
+    however rare it is. Only hashes are ranked, the first of each task before
+    they are shuffled.
+    """
+
+    hashed = keyed.where(F.col("t").rlike("[0-9@]")).withColumn("o", F.xxhash64(F.lit(SEED), "id", "t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch, "t"):
+                hashes, found = batch.column(0)[part].to_pylist(), []
+                for o, text in zip(hashes, texts):
+                    found += [(o, k) for k in {k for k, _, _ in base_spans(text.decode())} or {len(KINDS)}]
+                yield pa.record_batch([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["o", "kind"])
+
+    kinds = hashed.select("o", "t").mapInArrow(run, "o long, kind long")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("o"))
+    # Rows that tie are alike, so equal hashes of a kind are one example.
+    chosen = kinds.distinct().withColumn("n", place).where(F.col("n") <= rows).select("o").distinct()
+    return hashed.join(F.broadcast(chosen), "o").dropDuplicates(["o"]).select("id", "t")
+
+
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = TRAIN_ROWS) -> Tagger | None:
-    """A tagger from at most ``rows`` documents with a digit or @, and as many others."""
+    """A tagger from at most ``rows`` documents of each kind of span, as many with
+    a digit or @ but no span, and as many others.
+
+    Warns of kinds that no document holds: the network does not learn these.
+    """
 
     keyed = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("t"))
-    hit = F.col("t").rlike("[0-9@]")
-    some = [seeded(keyed.where(x), rows, SEED) for x in (hit, ~hit)]
-    return fit([r.t for r in some[0].unionByName(some[1]).select("t").collect()])
+    others = seeded(keyed.where(~F.col("t").rlike("[0-9@]")), rows, SEED)
+    texts = [r.t for r in _of_each_kind(keyed, rows).unionByName(others).select("t").collect()]
+    held = {k for t in texts for k, _, _ in base_spans(t)}
+    missing = [name for k, name in enumerate(KINDS) if k not in held]
+    if missing:
+        warnings.warn(f"No document holds {', '.join(missing)} in a fixed form: the tagger learns no example of it", stacklevel=2)
+    return fit(texts)
 
 
 def _possible(text: str) -> list[tuple[int, int]]:

@@ -423,6 +423,18 @@ def test_personal_data_anywhere_in_a_text(monkeypatch):
     assert own == [pii.spans_of(mixed, m) for m in (model, wild)]
 
 
+def test_personal_data_learns_from_rare_spans(docs_of, monkeypatch):
+    rare = {0: "a.b@mail.example.com", 1: "10.20.30.40", 2: "4111 1111 1111 1111", 3: "+1 (234) 555-6789"}
+    rows = [(i, f"order {i} of 2023") for i in range(600)] + [(600 + i, "no number here") for i in range(50)]
+    rows += [(700 + k, f"call or write {x}") for k, x in rare.items()] + [(701, f"call or write {rare[1]}")]
+    monkeypatch.setattr(pii, "fit", lambda texts: texts)
+    texts = pii.learn(docs_of(rows), rows=5)
+    assert {k for t in texts for k, _, _ in pii.base_spans(t)} == set(rare)
+    assert len(texts) == 4 + 5 + 5 and len(pii.learn(docs_of(rows), rows=1)) == 4 + 1 + 1
+    with pytest.warns(UserWarning, match="card"):
+        pii.learn(docs_of([r for r in rows if r[0] != 702]), rows=5)
+
+
 # Quality
 
 
