@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanloom.llm import exact_dedup, mixing, packing, pii, quality, secrets, sharding, simhash, suffix_dedup, toxicity
+from spanloom.llm import alignment, exact_dedup, minhash, mixing, packing, pii, quality, secrets, sharding, simhash, suffix_dedup
+from spanloom.llm import toxicity, whitening
 from spanloom.llm.common import documents
 
 
@@ -88,6 +89,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = whitening.learn(rows)
+    error = None if model is None else whitening.identity_error(rows, model)
+    n, error = F.lit(model.n if model else 0).cast("long"), F.lit(error).cast("double")
+    found = whitening.whiten(rows, model).withColumns({"n": n, "identity_error": error})
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(documents(spark, sf_dir))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,6 +117,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
+    "op12_minhash": op12_minhash,
+    "op13_alignment": op13_alignment,
 }
 
 _OP4 = r"""
@@ -140,4 +161,22 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
-ORACLES = {"op4_mixing": _OP4, "op6_exact_dedup": _OP6}
+_OP12 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+    ELSE list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), i -> array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+g AS (SELECT doc_id, len(shingles) AS n, hash(unnest(shingles)) AS h FROM s),
+e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS least FROM r GROUP BY x)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, least(doc_id, coalesce(c.least, doc_id)) AS component_id,
+  doc_id <= coalesce(c.least, doc_id) AS kept
+FROM s LEFT JOIN c ON s.doc_id = c.x
+"""
+
+ORACLES = {"op4_mixing": _OP4, "op6_exact_dedup": _OP6, "op12_minhash": _OP12}
