@@ -5,7 +5,7 @@ One pass over the texts gives each row its shingle set's digest, the minima of
 each minimum, packed into eight longs. Equal sets are one vertex from there on.
 
 Candidates share a band. Their similarity is estimated by counting equal groups
-of bits, corrected for the groups that agree by chance; pairs that lie six
+of bits, corrected for the groups that agree by chance; pairs that lie five
 standard errors below the threshold go, all others are confirmed on the sets.
 
 Bands may be hot, so pairs come in two steps. First each member of a band meets
@@ -13,8 +13,10 @@ its band's centre (the member with the smallest id), and the confirmed pairs are
 contracted to classes. Only bands that still hold several classes are left. There
 each member outside the band's largest class meets all members of other classes,
 in blocks of bounded size that many tasks share, so that no link is lost and no
-band's pairs within a class are formed. A pair within 85 % shares no band in
-about one of 2 * 10**10 cases.
+band's pairs within a class are formed. Shingles that no other set left has bound
+from above what two sets can share, which spares the pairs of texts that were
+edited too much to be near any other. A pair within 85 % shares no band in about
+one of 2 * 10**10 cases.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ SHINGLE = 5  # words
 NEAR_PERCENT = 85
 MINIMA, BAND = 128, 4
 BITS = 4  # kept of each minimum
-SLACK = 6  # standard errors of the estimate
+SLACK = 5  # standard errors of the estimate
 BLOCK = 2_048  # members of a band that one task compares with as many others
 ROWS_A_GROUP = 100_000
 # As measured, so many candidates are sent to every task; beyond, texts are joined by shuffle.
@@ -180,12 +182,9 @@ def least_estimate(percent: int) -> float:
     return percent / 100 - SLACK * (p * (1 - p) / MINIMA) ** 0.5 / (1 - _CHANCE)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, text_column: str, shingle: int, percent: int, work: Workspace) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets are near."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose full ``sets`` are near."""
 
-    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    wanted = work.keep(vertices.join(ends, "v", "left_semi").select("v", "d1", "d2", "th"), "wanted")
-    sets = work.keep(_sets_of(docs, wanted, text_column, shingle), "sets")
     first = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa"))
     second = sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -199,10 +198,19 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """(v, own): how many shingles of a set another of ``sets`` has too, where not all."""
+
+    alone = sets.select("v", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("v").alias("v"))
+    alone = alone.where("c = 1").groupBy("v").agg(F.count("*").alias("alone"))
+    return sets.select("v", F.size("shingles").alias("n")).join(alone, "v", "left").select("v", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("own"))
+
+
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) of pairs across classes within a band that may be near.
 
-    ``members`` are stored rows (band, v, n, bits, class).
+    ``members`` are stored rows (band, v, n, own, bits, class); two sets share at
+    most the lesser of their ``own``.
     """
 
     spark = members.sparkSession
@@ -215,7 +223,7 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     i, j = F.pmod("h", "nb").cast("int"), F.pmod("h", "na").cast("int")
     every = F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), j.alias("j")
     few = F.lit(1).alias("side"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j")
-    keep = ["band", "v", "n", "bits", "class"]
+    keep = ["band", "v", "n", "own", "bits", "class"]
     dealt = placed.select(*keep, *every).unionByName(placed.where(F.col("class") != F.col("top")).select(*keep, *few))
     rows = members.count()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_GROUP))
@@ -225,7 +233,7 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
         if not table.num_rows:
             return
-        band, v, n, label, side, i, j = (table[c].to_numpy() for c in ("band", "v", "n", "class", "side", "i", "j"))
+        band, v, n, own, label, side, i, j = (table[c].to_numpy() for c in ("band", "v", "n", "own", "class", "side", "i", "j"))
         bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(v), -1)
         order = np.lexsort([side, j, i, band])
         same = (np.diff(band[order]) == 0) & (np.diff(i[order]) == 0) & (np.diff(j[order]) == 0)
@@ -237,8 +245,8 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
                 other = label[every] != label[k]
                 # Both may be among the few: then one of them asks.
                 other &= (v[every] > v[k]) | ~np.isin(v[every], v[few])
-                fit = 100 * np.minimum(n[every], n[k]) >= percent * np.maximum(n[every], n[k])
-                at = every[other & fit]
+                most = np.minimum(own[every], own[k])
+                at = every[other & (100 * most >= percent * (n[every] + n[k] - most))]
                 x = bits[at] ^ bits[k]
                 folded = x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)
                 differ = np.bitwise_count(folded & np.uint64(_LOW)).sum(axis=1, dtype=np.int64)
@@ -253,6 +261,13 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """The members of bands in which more than one class is left."""
+
+    mixed = members.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
+    return members.join(mixed, "band")
+
+
 def near_copies(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -282,7 +297,10 @@ def near_copies(
     )
     # Written, the numbers stay as they are.
     sets = work.keep(once.withColumn("v", F.monotonically_increasing_id()), "distinct")
-    vertices = sets.select("v", "d1", "d2", "th")
+
+    def full_sets(of: DataFrame) -> DataFrame:
+        wanted = work.keep(sets.select("v", "d1", "d2", "th").join(of, "v", "left_semi"), "wanted")
+        return work.keep(_sets_of(docs, wanted, text_column, shingle), "sets")
 
     banded = sets.select("v", "n", "least", F.explode("bands").alias("band"))
     rank = F.struct(F.coalesce("least", F.lit((1 << 63) - 1)).alias("i"), "v", "n")
@@ -293,17 +311,20 @@ def near_copies(
     bits = sets.select(F.col("v").alias("a"), F.col("bits").alias("ba"))
     other = sets.select(F.col("v").alias("b"), F.col("bits").alias("bb"))
     met = work.keep(met.join(bits, "a").join(other, "b").where(estimate("ba", "bb") >= floor).select("a", "b"), "pairs")
-    links = work.keep(confirmed(met, docs, vertices, text_column, shingle, percent, work), "links")
+    ends = met.select(F.col("a").alias("v")).unionByName(met.select(F.col("b").alias("v"))).distinct()
+    links = work.keep(confirmed(met, full_sets(ends), percent), "links")
     stars = components(links, work)
 
     classes = sets.select("v", "n", "bits", "bands").join(stars, F.col("v") == F.col("a"), "left")
     classes = classes.select("v", "n", "bits", "bands", F.coalesce("b", "v").alias("class"))
     members = classes.select("v", "class", F.explode("bands").alias("band"))
-    mixed = members.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-    left = members.join(mixed, "band").join(sets.select("v", "n", "bits"), "v").select("band", "v", "n", "bits", "class")
-    cross = _cross_pairs(work.keep(left, "left"), percent)
-    cross = work.keep(cross.join(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
-    more = work.keep(confirmed(cross, docs, vertices, text_column, shingle, percent, work), "more")
+    left = work.keep(_several(members), "left")
+    shingles = full_sets(left.select("v").distinct())
+    may = sets.select("v", "n", "bits").join(_shared(shingles), "v").where(100 * F.col("own") >= percent * F.col("n"))
+    left = work.keep(_several(left.join(may, "v")), "near")
+    done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = work.keep(_cross_pairs(left, percent).join(done, ["a", "b"], "left_anti"), "cross")
+    more = work.keep(confirmed(cross, shingles, percent), "more")
     # Stars are links already: what the second step adds joins whole classes.
     stars = components(stars.unionByName(more), work)
 
