@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from spanloom.llm.common import chunks
@@ -31,14 +32,15 @@ from spanloom.session import Workspace
 A_FILE, A_RANKS, B_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 HEAD_PAIRS = 1_000_000  # counts that every task gets: 16 bytes each
 LONG_WORD = 1_000  # code points; beyond, only the exact tokenizer's merging stays fast
+CHUNK_BYTES = 6 << 20  # text whose distinct words are encoded once
+WORDS_AT_ONCE = 256  # distinct words in one call of the tokenizers
 LARGE_GROUP = 4_096  # links of a group that are listed one by one
-KEPT_BYTES = 96 << 20  # words whose ids a Python worker remembers, as a rough size
 
 # Characters whose class (letter, number, space) no Unicode version has changed.
 _USUAL = re.compile("[^\t\n\r\x20-\x7e¡-ɏ‐-‧]")
 
 # A blank beside other white space; where there is none, both sides begin a token at each blank.
-_WIDE = re.compile("[\t\n\r ] | [\t\n\r]|^ | $")
+_WIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 
 _STORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<{kind}>, times array<long>"
 
@@ -78,8 +80,6 @@ class Coder:
             known = all(c in symbols for c in entry)
             self.bytes_a.append(bytes(symbols[c] for c in entry) if known else entry.encode())
         self.fast = self._same_vocabulary(a_ranks) if a_ranks else None
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.room = KEPT_BYTES
 
         self.b = sentencepiece.SentencePieceProcessor(model_file=_place(b_file))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
@@ -120,56 +120,60 @@ class Coder:
             return None
         return first.astype("<i4"), np.array(b, "<i4")
 
-    def _learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes]] | None:
-        """Ids of words, remembered as long as there is room, which keeps the frequent ones."""
+    def _words(self, words: pa.Array) -> list[pa.ListArray] | None:
+        """Ids of distinct words on either side, each as if behind a blank."""
 
-        both = self._whole(" ".join(words), True)
-        if both is None:
+        given = words.to_pylist()
+        parts = [self._whole(" ".join(given[at : at + WORDS_AT_ONCE]), True) for at in range(0, len(given), WORDS_AT_ONCE)]
+        if any(part is None for part in parts):
             return None
-        ends = np.cumsum([1 + len(w.encode()) for w in words])
+        ends = np.cumsum(pc.binary_length(words).to_numpy() + 1)
         sides = []
-        for ids, length in zip(both, (self.length_a, self.length_b)):
-            cuts = [0, *(4 * (np.searchsorted(np.cumsum(length[ids]), ends) + 1)).tolist()]
-            whole = ids.tobytes()
-            sides.append([whole[x:y] for x, y in zip(cuts, cuts[1:])])
-        new = dict(zip(words, zip(*sides)))
-        size = sum(300 + len(w) for w in words)
-        if size <= self.room:
-            self.room -= size
-            self.known.update(new)
-        return new
-
-    def ids(self, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        """Both id arrays, or None where a text has no tokens by the rule of ``align``.
+        for ids, length in zip((np.concatenate(x) for x in zip(*parts)), (self.length_a, self.length_b)):
+            cuts = np.searchsorted(np.cumsum(length[ids]), ends) + 1
+            sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]).astype(np.int32)), pa.array(ids)))
+        return sides
+
+    def ids(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Both id arrays of each text, or None where it has no tokens by the rule of ``align``.
 
         The first side cuts texts at blanks before it merges, and no entry of the
         second has a blank behind another character. So where blanks stand alone, a
-        text's ids are those of its words, one after the other.
+        text's ids are those of its words, one after the other, and each distinct
+        word of ``texts`` is encoded once.
         """
 
-        if not raw:
-            return None
-        text = raw.decode()
+        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+        decoded = [raw.decode() for raw in texts]
+        plain = []
+        if self.fast is not None:
+            usual = (i for i, t in enumerate(decoded) if t and _USUAL.search(t) is None)
+            plain = [i for i in usual if not any(x in f" {decoded[i]} " for x in _WIDE)]
+        split = pc.split_pattern(pa.array([decoded[i] for i in plain], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        known = None
+        if len(words) and pc.max(pc.utf8_length(words)).as_py() < LONG_WORD:
+            known = self._words(words)
+        if known is None:
+            plain = []
+        else:
+            first = split.offsets.to_numpy()
+            sides = []
+            for side in known:
+                taken = side.take(coded.indices)
+                sides.append((taken.values.to_numpy().astype(np.int64), taken.offsets.to_numpy()[first]))
+            for k, i in enumerate(plain):
+                out[i] = tuple(ids[ends[k] : ends[k + 1]] for ids, ends in sides)
+        for i in set(range(len(texts))).difference(plain):
+            both = self._one(decoded[i]) if texts[i] else None
+            out[i] = None if both is None else tuple(x.astype(np.int64) for x in both)
+        return out
+
+    def _one(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         usual = self.fast is not None and _USUAL.search(text) is None
-        if usual and _WIDE.search(text) is None:
-            words = text.split(" ")
-            known = self.known
-            try:
-                found = list(map(known.__getitem__, words))
-            except KeyError:
-                unseen = [w for w in set(words) if w not in known]
-                usual = max(map(len, unseen)) < LONG_WORD
-                if usual:
-                    here = self._learn(unseen)
-                    if here is None:
-                        return None
-                    found = [known.get(w) or here[w] for w in words]
-            if usual:
-                return tuple(np.frombuffer(b"".join(side), "<i4").astype(np.int64) for side in zip(*found))
         usual = usual and " " * LONG_WORD not in text and "\n" * LONG_WORD not in text
-        usual = usual and max(map(len, text.split()), default=0) < LONG_WORD
-        both = self._whole(text, usual)
-        return None if both is None else tuple(x.astype(np.int64) for x in both)
+        return self._whole(text, usual and max(map(len, text.split()), default=0) < LONG_WORD)
 
 
 @functools.cache
@@ -278,10 +282,9 @@ def texts_links(docs: DataFrame, files: tuple[str, str | None, str], id_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(*files)
         for batch in batches:
-            for rows, texts in chunks(batch, "t"):
+            for rows, texts in chunks(batch, "t", CHUNK_BYTES):
                 out: list[tuple] = []
-                for raw in texts:
-                    ids = code.ids(raw)
+                for ids in code.ids(texts):
                     if ids is None:
                         out.append((0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)))
                         continue

@@ -104,19 +104,18 @@ def test_exact_tokenizer_alone(docs_of, sides):
     assert got(docs_of(rows), a_ranks=None) == wanted(rows, sides)
 
 
-def test_words_are_remembered_within_bounds():
-    """However little a worker may remember, the ids are the exact tokenizer's."""
+def test_word_by_word_or_whole():
+    """Ids put together from a chunk's words are the exact tokenizer's."""
 
     rng = random.Random(11)
     files = alignment.A_FILE, alignment.A_RANKS, alignment.B_FILE
-    small, plain = alignment.Coder(*files), alignment.Coder(files[0], None, files[2])
-    small.room = 4_000
-    for _ in range(400):
-        text = "".join(rng.choice(ODD) for _ in range(rng.randint(1, 60))).encode()
-        one, two = small.ids(text), plain.ids(text)
-        assert (one is None) == (two is None)
-        assert one is None or all(map(np.array_equal, one, two))
-    assert 0 <= small.room < 4_000
+    by_word, plain = alignment.Coder(*files), alignment.Coder(files[0], None, files[2])
+    for _ in range(60):
+        texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 60))).encode() for _ in range(20)]
+        texts += [" ".join(rng.choice(["the", "don't", "xq1", "Émile,", "12.5", "a\nb"]) for _ in range(9)).encode()]
+        for one, two in zip(by_word.ids(texts), plain.ids(texts), strict=True):
+            assert (one is None) == (two is None)
+            assert one is None or all(map(np.array_equal, one, two))
 
 
 def test_runs_are_skipped():
