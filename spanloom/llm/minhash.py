@@ -209,8 +209,9 @@ def _shared(sets: DataFrame) -> DataFrame:
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) of pairs across classes within a band that may be near.
 
-    ``members`` are stored rows (band, v, n, own, bits, class); two sets share at
-    most the lesser of their ``own``.
+    ``members`` are stored rows (band, v, n, own, bits, bands, class); two sets
+    share at most the lesser of their ``own``. A pair comes once, from the first of
+    the bands that it shares: since its classes differ, all of these are left.
     """
 
     spark = members.sparkSession
@@ -223,7 +224,7 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     i, j = F.pmod("h", "nb").cast("int"), F.pmod("h", "na").cast("int")
     every = F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), j.alias("j")
     few = F.lit(1).alias("side"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j")
-    keep = ["band", "v", "n", "own", "bits", "class"]
+    keep = ["band", "v", "n", "own", "bits", "bands", "class"]
     dealt = placed.select(*keep, *every).unionByName(placed.where(F.col("class") != F.col("top")).select(*keep, *few))
     rows = members.count()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_GROUP))
@@ -234,7 +235,8 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         if not table.num_rows:
             return
         band, v, n, own, label, side, i, j = (table[c].to_numpy() for c in ("band", "v", "n", "own", "class", "side", "i", "j"))
-        bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(v), -1)
+        bits, bands = (table[c].combine_chunks().flatten().to_numpy().reshape(len(v), -1) for c in ("bits", "bands"))
+        bits = bits.view(np.uint64)
         order = np.lexsort([side, j, i, band])
         same = (np.diff(band[order]) == 0) & (np.diff(i[order]) == 0) & (np.diff(j[order]) == 0)
         for block in np.split(order, np.flatnonzero(~same) + 1):
@@ -251,6 +253,8 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
                 folded = x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)
                 differ = np.bitwise_count(folded & np.uint64(_LOW)).sum(axis=1, dtype=np.int64)
                 at = at[((1 - differ / MINIMA) - _CHANCE) / (1 - _CHANCE) >= floor]
+                first = (bands[at] == bands[k]).argmax(axis=1)
+                at = at[bands[k, first] == band[k]]
                 out_a.append(np.full(len(at), v[k]))
                 out_b.append(v[at])
             if out_a:
@@ -320,7 +324,7 @@ def near_copies(
     members = classes.select("v", "class", F.explode("bands").alias("band"))
     left = work.keep(_several(members), "left")
     shingles = full_sets(left.select("v").distinct())
-    may = sets.select("v", "n", "bits").join(_shared(shingles), "v").where(100 * F.col("own") >= percent * F.col("n"))
+    may = sets.select("v", "n", "bits", "bands").join(_shared(shingles), "v").where(100 * F.col("own") >= percent * F.col("n"))
     left = work.keep(_several(left.join(may, "v")), "near")
     done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = work.keep(_cross_pairs(left, percent).join(done, ["a", "b"], "left_anti"), "cross")
