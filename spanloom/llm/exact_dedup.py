@@ -22,6 +22,7 @@ from spanloom.llm.common import SPACES, text_or_empty
 PREFIX = 48  # code points of a text in a splitter, which the driver holds
 SAMPLES = 16  # sampled rows a range
 ROWS_A_RANGE = 50_000
+MOST_RANGES = 4_096  # beyond, ranges grow, which external sorting takes care of
 SEED = 11
 LAST_ID = (1 << 63) - 1  # rows without an id come last
 
@@ -94,44 +95,41 @@ def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     ours = ("keep_id", "group_size", "kept", "text_sha256")
     docs = docs.drop(*ours)
-    norm = normalised(text_or_empty(text_column))
+    # Input columns travel in one struct, so that none can clash with a helper.
+    given = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"), F.struct(*docs.columns).alias("row"))
+    norm = normalised(F.col("text"))
     rows = docs.count()
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(8 * tasks, -(-rows // ROWS_A_RANGE))
-    cuts = _splitters(docs.select(id_column, text_column), norm, id_column, ranges, rows)
+    ranges = max(8 * tasks, min(MOST_RANGES, -(-rows // ROWS_A_RANGE)))
+    cuts = _splitters(given.select("id", "text"), norm, "id", ranges, rows)
 
-    keyed = docs.withColumn("_key", _key(norm, id_column)).withColumn("_range", _range_of(F.col("_key"), cuts))
-    touched = sorted({(p, h) for p, h, _ in cuts})
+    keyed = given.withColumn("key", _key(norm, "id"))
     at_cut = F.lit(False)
-    if touched:
-        hashes = F.from_json(F.lit(json.dumps(sorted({h for _, h in touched}))), "array<bigint>")
-        at_cut = F.array_contains(hashes, F.col("_key.h"))
+    if cuts:
+        hashes = F.from_json(F.lit(json.dumps(sorted({h for _, h, _ in cuts}))), "array<bigint>")
+        at_cut = F.array_contains(hashes, F.col("key.h"))
     # Whole groups of the texts that a splitter touches: at most one hash a splitter.
     spread = (
-        docs.withColumn("_key", _key(norm, id_column))
-        .where(at_cut)
+        keyed.where(at_cut)
         .groupBy(F.sha2(F.encode(norm, "utf-8"), 256).alias("text_sha256"))
-        .agg(F.min(id_column).alias("_least"), F.count("*").alias("_all"))
+        .agg(F.min("id").alias("least"), F.count("*").alias("all"))
     )
 
-    sorted_rows = keyed.drop("_key").repartition("_range").withColumn("_norm", norm)
-    equal = Window.partitionBy("_range", "_norm")
-    by_id = equal.orderBy(F.col(id_column).asc_nulls_last())
+    dealt = keyed.select("id", "text", "row", _range_of(F.col("key"), cuts).alias("range"))
+    sorted_rows = dealt.repartition("range").withColumn("norm", norm)
+    equal = Window.partitionBy("range", "norm")
+    by_id = equal.orderBy(F.col("id").asc_nulls_last())
     found = (
-        sorted_rows.withColumn("_place", F.row_number().over(by_id))
-        .withColumn("_here", F.count("*").over(equal))
-        .withColumn("_first", F.min(id_column).over(equal))
-        .withColumn("text_sha256", F.sha2(F.encode("_norm", "utf-8"), 256))
-        .drop("_norm", "_range")
-    )
-    keep = F.when(F.col("_all").isNull(), F.col("_first")).otherwise(F.col("_least"))
-    return (
-        found.join(F.broadcast(spread), "text_sha256", "left")
-        .withColumn("keep_id", keep)
-        .withColumn("group_size", F.coalesce("_all", "_here"))
-        .withColumn("kept", (F.col("_place") == 1) & F.col(id_column).eqNullSafe(F.col("keep_id")))
-        .select(*docs.columns, *ours)
+        sorted_rows.withColumn("place", F.row_number().over(by_id))
+        .withColumn("here", F.count("*").over(equal))
+        .withColumn("first", F.min("id").over(equal))
+        .select("id", "row", "place", "here", "first", F.sha2(F.encode("norm", "utf-8"), 256).alias("text_sha256"))
     )
+    keep = F.when(F.col("all").isNull(), F.col("first")).otherwise(F.col("least")).alias("keep_id")
+    size = F.coalesce("all", "here").alias("group_size")
+    marked = found.join(F.broadcast(spread), "text_sha256", "left").select("id", "row", "place", keep, size, "text_sha256")
+    kept = (F.col("place") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))
+    return marked.select("row.*", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

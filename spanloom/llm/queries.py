@@ -167,7 +167,7 @@ WITH RECURSIVE w AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN []
-    ELSE list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), i -> array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+    ELSE list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
 g AS (SELECT doc_id, len(shingles) AS n, hash(unnest(shingles)) AS h FROM s),
 e AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.h = b.h AND a.doc_id <> b.doc_id
