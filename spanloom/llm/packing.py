@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,8 @@ END_ID = 2
 ROWS_A_GROUP = 4096
 # A token's cost is 1 plus this for each token of its piece that it attends to.
 QUADRATIC = 1 / 4096
-# Words whose ids a Python worker remembers.
-MEMORY = 600_000
+# Words whose ids a Python worker remembers, 200 bytes each or so.
+MEMORY = 300_000
 
 _ODD = re.compile("[\x1c-\x1f\x85\xa0]")  # white space to str.split, maybe not to the tokenizer
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -64,7 +63,8 @@ class Encoder:
         known, ask, joint = self.known, set(), []
         for word in words:
             stem = word.rstrip(_MARKS)
-            if stem and len(stem) < len(word) and stem.isalpha():
+            # Letters of Latin-1 join with no mark behind them.
+            if stem and len(stem) < len(word) and stem.isalpha() and max(stem) <= "ÿ":
                 joint.append((word, stem, word[len(stem) :]))
                 ask.update((stem, word[len(stem) :]))
             else:
@@ -81,20 +81,19 @@ class Encoder:
             text = raw.decode()
             try:
                 text.encode("latin-1")
-                plain = _ODD.search(text) is None
+                # Lower-casing must not make a special token of what is none.
+                plain = _ODD.search(text) is None and "<|" not in text
             except UnicodeEncodeError:
                 plain = False
             split.append(text.lower().split() if plain else [w for w in re.split("[ \t\n\r]+", text) if w])
-        known = self.known
-        new = set().union(*split) - known.keys()
-        if len(known) + len(new) <= MEMORY:
-            self._learn(new, known)
-            return [b"".join([known[w] for w in words]) for words in split]
+        known, words = self.known, set().union(*split)
+        new = {w for w in words if w not in known}
         # Full: the words met first are the frequent ones and stay; others serve this call only.
-        here: dict[str, bytes] = {}
+        here = known if len(known) + len(new) <= MEMORY else {}
         self._learn(new, here)
-        both = ChainMap(known, here)
-        return [b"".join([known.get(w) or both[w] for w in words]) for words in split]
+        # The call's own words: far fewer, so that looking them up stays in the cache.
+        own = {w: known.get(w) or here[w] for w in words}
+        return [b"".join(map(own.__getitem__, words)) for words in split]
 
 
 @functools.cache
@@ -180,10 +179,14 @@ def pack(
     Columns: doc_id, start, length, ids, doc_tokens, sequence_id, offset. Each
     id of each row lies in exactly one piece. A null or empty text is its end id
     alone. Repeated rows are packed each; null ids stay null. Input columns
-    besides id and text play no part. An empty table gives an empty result.
+    besides id and text play no part. An empty table gives an empty result. A
+    text of any length is cut into pieces; a group holds about ``rows_a_group``
+    rows, or as many full sequences at most.
     """
 
-    groups = max(1, -(-docs.count() // rows_a_group))
+    # A token has a byte at least.
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.col(text_column).cast("string"))).alias("bytes")).first()
+    groups = max(1, -(-size.rows // rows_a_group), -(-(size.bytes or 0) // (rows_a_group * capacity)))
     cut = pieces(docs, tokenizer, capacity, id_column, text_column)
     grouped = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
 
