@@ -32,7 +32,7 @@ REACH = 8  # the longest stretch of a subsequence
 PART = 32  # longer words are compared in overlapping parts
 FLOOR = 0.25  # smaller kernel values count as 0
 PENALTY = 1e-4
-MEMORY = 400_000  # words a Python worker remembers
+MEMORY = 200_000  # words a Python worker remembers
 
 _LETTERS = 32  # a to z, then other characters
 _SENTENCE = re.compile("[.!?\n]+(?:\\s|$)")
@@ -154,16 +154,15 @@ class Model:
         if not hasattr(self, "kernel"):
             self.kernel, self.memory = Kernel(self.landmarks), {}
         split = [[w for words in sentences(t) for w in words] for t in texts]
-        memory = self.memory
-        new = set().union(*split) - memory.keys()
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = set().union(*split)
-        new = list(new)
+        words = set().union(*split)
+        new = [w for w in words if w not in self.memory]
+        # Full: the words met first are the frequent ones and stay; others serve this call only.
+        here = self.memory if len(self.memory) + len(new) <= MEMORY else {}
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            memory.update(zip(some, (self.kernel.values(some) @ self.weights + self.bias).tolist()))
-        return np.array([max(map(memory.__getitem__, words), default=self.bias) for words in split])
+            here.update(zip(some, (self.kernel.values(some) @ self.weights + self.bias).tolist()))
+        own = {w: self.memory[w] if w in self.memory else here[w] for w in words}
+        return np.array([max(map(own.__getitem__, words), default=self.bias) for words in split])
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.intercept, -30, 30)))
