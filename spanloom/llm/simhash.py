@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.llm.common import chunks
 from spanloom.llm.components import components
@@ -36,7 +36,9 @@ BITS = 64
 FOLDS = ((8, 1_000_000), (16, 250_000_000), (32, None))  # bits of the fold, up to so many fingerprints
 VARIANTS_AT_ONCE = 4_000_000
 
-_FP = pa.schema([("_id", pa.int64()), ("fp", pa.int64())])
+LAST_ID = (1 << 63) - 1  # rows without an id come last
+
+_FP = pa.schema([("_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
@@ -61,16 +63,21 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the signed 64-bit fingerprint of each row's whole text."""
+    """(_id, th, fp): the signed 64-bit fingerprint of each row's whole text, and the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in chunks(batch, "t"):
                 fps = np.array([fingerprint_of(t, shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.record_batch([batch.column(0)[rows], pa.array(fps)], schema=_FP)
+                yield pa.record_batch([batch.column(0)[rows], batch.column(1)[rows], pa.array(fps)], schema=_FP)
+
+    text = F.col(text_column).cast("string")
+    given = docs.select(F.col(id_column).cast("long").alias("_id"), _text_hash(text).alias("th"), text.alias("t"))
+    return given.mapInArrow(run, "_id long, th long, fp long")
+
 
-    given = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("t"))
-    return given.mapInArrow(run, "_id long, fp long")
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def errors(radius: int) -> np.ndarray:
@@ -180,22 +187,38 @@ def near_copies(
     play no part. An empty table gives an empty result.
     """
 
+    rows, classes = _classes(docs, id_column, text_column, shingle, distance, work)
+    component = F.col("first.id").alias("component")
+    return rows.join(classes, "fp").select(F.col("_id").alias("id"), "fp", component)
+
+
+def _classes(docs, id_column, text_column, shingle, distance, work) -> tuple[DataFrame, DataFrame]:
+    """Rows with fingerprints, and for each fingerprint its class's root and first row (by id, then text)."""
+
     work = work or Workspace(docs.sparkSession, "simhash")
     rows = work.keep(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
-    distinct = work.keep(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")
+    rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "th")
+    distinct = work.keep(rows.groupBy("fp").agg(F.min(rank).alias("least")), "distinct")
     stars = components(links(distinct, distance), work)
     named = distinct.join(stars, distinct.fp == stars.a, "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = named.join(least, "root").select("fp", "component")
-    return rows.join(classes, "fp").select(F.col("_id").alias("id"), "fp", "component")
+    first = named.groupBy("root").agg(F.min("least").alias("first"))
+    # Stored, so that the join with all rows is one that splits a fingerprint held by very many.
+    return rows, work.keep(named.join(first, "root").select("fp", "root", "first"), "classes")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their class: one document of each class.
+    """One document of each class, with the columns of ``docs``: that with the smallest id.
 
-    Rows without an id stay only if their class has no id at all.
+    Rows without an id come last. Rows are told apart by id and text; of rows
+    equal in both, one stays where theirs is the one to stay. Texts of any length
+    count whole. An empty table gives an empty result.
     """
 
-    found = near_copies(docs, id_column, text_column).where(F.col("id").eqNullSafe(F.col("component")))
-    ids = found.select("id").distinct()
-    return docs.join(ids, docs[id_column].cast("long").eqNullSafe(ids["id"]), "left_semi")
+    rows, classes = _classes(docs, id_column, text_column, SHINGLE, DISTANCE, None)
+    key = F.coalesce(F.col("id"), F.lit(LAST_ID)).alias("key")
+    stay = classes.select("root", "first.*").distinct().select(key, "th")
+    text = F.col(text_column).cast("string")
+    given = docs.select(
+        F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("key"), _text_hash(text).alias("th"), F.struct(*docs.columns).alias("row")
+    )
+    return given.join(stay, ["key", "th"], "left_semi").dropDuplicates(["key", "th"]).select("row.*")
