@@ -78,13 +78,20 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _is_byte(digits: str) -> bool:
+    """At most 255, however many zeros lead and however long the run is."""
+
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed forms, by kind, then start; code points."""
 
     out = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text) is None:
         return out
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))] if "." in text else []
+    out += [(1, *m.span()) for m in _IP.finditer(text) if all(_is_byte(x) for x in m.group().split("."))] if "." in text else []
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _NOT_DIGIT.sub("", m.group())

@@ -18,7 +18,8 @@ from spanloom.operators.skew import number_rows
 from spanloom.session import Workspace
 
 SHARDS = 24
-ROUNDS = 12
+ROUNDS = 24
+FULL = 16  # a shard takes no more rows when less than this part of its room is left
 SETTLED = 0.001  # share of linked rows that still move when the rounds end
 LAW = "rows"
 
@@ -43,8 +44,9 @@ def _wishes(state: DataFrame, full: list[int]) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("shard", rank.alias("r")))).alias("all"),  # at most one a shard
     )
     own = F.element_at("all", F.col("shard"))
-    return state.join(best, "hub").select(
-        "pos", "hub", "shard", F.when(F.col("best") > own, F.col("best.shard")).otherwise(F.col("shard")).alias("wish")
+    size = F.aggregate(F.map_values("all"), F.lit(0).cast("long"), lambda s, r: s + r["n"])
+    return state.join(best.withColumn("size", size), "hub").select(
+        "pos", "hub", "size", "shard", F.when(F.col("best") > own, F.col("best.shard")).otherwise(F.col("shard")).alias("wish")
     )
 
 
@@ -55,7 +57,7 @@ def propagate(linked: DataFrame, room: list[int], work: Workspace, rounds: int =
     held = {r.shard: r["count"] for r in linked.groupBy("shard").count().collect()}
     total = sum(held.values())
     for turn in range(rounds):
-        full = [j for j in range(shards) if held.get(j, 0) >= room[j]]
+        full = [j for j in range(shards) if room[j] - held.get(j, 0) <= room[j] // FULL]
         wishes = work.keep(_wishes(linked, full), f"wishes{turn}")
         # Never more than shards squared rows.
         asked = {(r.shard, r.wish): r["count"] for r in wishes.where("wish != shard").groupBy("shard", "wish").count().collect()}
@@ -66,8 +68,11 @@ def propagate(linked: DataFrame, room: list[int], work: Workspace, rounds: int =
         accepted = [min(1.0, free[j] / into[j]) if into[j] else 0.0 for j in range(shards)]
         if sum(into) <= SETTLED * total:
             return linked
-        # A hub moves whole or not, unless it alone would overfill the shard.
-        draw = F.pmod(F.xxhash64("pos", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+        # A small hub goes there whole or not at all. Of a large one the share that fits goes, and
+        # since all its rows wish for the same shard, it fills one shard after the other.
+        small = F.col("size") * FULL <= max(room)
+        of = F.when(small, F.xxhash64("hub", F.lit(turn))).otherwise(F.xxhash64("pos", F.lit(turn)))
+        draw = F.pmod(of, F.lit(1 << 20)) / float(1 << 20)
         goes = draw < F.element_at(_numbers(accepted), F.col("wish") + 1)
         moved = wishes.select("pos", "hub", F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
         linked = work.keep(moved, f"shards{turn}")

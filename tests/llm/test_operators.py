@@ -554,3 +554,38 @@ def test_pipeline(spark, sample):
     assert max(copies.values()) <= 2
     rows = corpus_pipeline.run(spark, SF)
     assert sum(r.length for r in rows.collect()) == sum(whole.values())
+
+
+def test_one_of_each_class_stays_by_row(docs_of):
+    """Null and repeated ids: rows are kept by class, not by id."""
+
+    same = "a b c d e f"
+    rows = [(None, same), (5, same), (1, same), (1, same), (5, "quite another text of its own here"), (None, "no id and no copy of it"), (None, None)]
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(docs_of(rows, "row", "key", "th", "fp", "root")).collect())
+    assert got == Counter({(1, same): 1, (5, rows[4][1]): 1, (None, rows[5][1]): 1, (None, None): 1})
+    assert simhash.keep_one(docs_of(rows).limit(0)).count() == 0
+
+
+def test_very_long_digit_runs(docs_of):
+    """Parts of an address are compared without reading thousands of digits as a number."""
+
+    long = "9" * 5000
+    text = f"{long}.2.3.4 {'0' * 5000}12.2.3.4 1.2.3.256 1.2.3.255"
+    spans = [s for s in pii.base_spans(text) if s[0] == 1]
+    assert [text[a:b][-9:] for _, a, b in spans] == ["012.2.3.4", "1.2.3.255"]
+
+
+def test_ids_of_words_as_the_tokenizer_gives_them():
+    """Special tokens in any case, marks behind letters, letters that lower-case to more than one."""
+
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    coder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    bits = list("ab cé,.'!İßñ\u0301\u0307Ω 漢ǅ") + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "İ.", "don't", " 12 ", "ﬁ"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    for text, ids in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
