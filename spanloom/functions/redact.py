@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterable
 
 import pandas as pd
@@ -94,8 +95,10 @@ def redact_json(
     ``nested_lists=False`` leaves a list directly inside a list alone, as
     stored data from older emitters had it. ``extra_patterns`` are Python
     regexes; they switch the JVM test off, since Java may read them differently.
-    A text that cannot be walked (nested too deeply, or not valid Unicode) is
-    blanked whole, since it cannot be called clean.
+    Numbers of any length stay as they are. A text that cannot be walked (nested
+    too deeply, or not valid Unicode) is blanked whole, since it cannot be called
+    clean, and so is one that begins like JSON, does not parse, and names a denied
+    key: another reader may be less strict.
     """
 
     extra_keys, extra_patterns = tuple(extra_keys), tuple(extra_patterns)
@@ -138,15 +141,31 @@ def _json_redactor(extra_keys, extra_patterns, nested_lists):
     def clean_text(text):
         if text is None:
             return None
+        # Python reads no more than so many digits as a number; longer ones stand aside.
+        aside = {}
+
+        def number(digits):
+            if len(digits) <= 4000:
+                return int(digits)
+            name = uuid.uuid4().hex
+            aside[name] = digits
+            return name
+
         try:
-            done = json.dumps(clean(json.loads(text)), ensure_ascii=False)
+            done = json.dumps(clean(json.loads(text, parse_int=number)), ensure_ascii=False)
             done.encode()  # a lone surrogate has no UTF-8
-            return done
         except (RecursionError, UnicodeError):
             return blank
-        except ValueError:
+        except json.JSONDecodeError:
+            if text.lstrip()[:1] in ("{", "[") and is_denied(text):
+                return blank
             # Not JSON: treat it as one value.
             return clean(text)
+        except ValueError:
+            return blank
+        for name, digits in aside.items():
+            done = done.replace(f'"{name}"', digits)
+        return done
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:

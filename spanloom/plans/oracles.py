@@ -356,6 +356,14 @@ ORACLES = {
         f"""SELECT seq, CASE WHEN seq % 50 IN (4, 5) THEN 'not a JSON object' WHEN seq % 50 = 7 THEN 'agent_name: missing'
           WHEN start_time IS NULL THEN 'start_time: missing' WHEN seq % 50 = 1 THEN 'tokens_in: not an integer'
           ELSE 'tokens_out: not an integer' END AS reason FROM spans WHERE NOT ({_GOOD})""", E),
+    "stream_quarantine": _sql(
+        f"""SELECT seq, CASE WHEN seq % 50 IN (4, 5) THEN 'not a JSON object' WHEN seq % 50 = 7 THEN 'agent_name: missing'
+          WHEN start_time IS NULL THEN 'start_time: missing' WHEN seq % 50 = 1 THEN 'tokens_in: not an integer'
+          ELSE 'tokens_out: not an integer' END AS reason FROM spans WHERE NOT ({_GOOD})""", E),
+    "store_versions": _sql(
+        f"""SELECT version, folders, count(*) AS spans, count(DISTINCT trace_id) AS runs, CAST(sum(seq) AS BIGINT) AS seq_sum
+        FROM spans CROSS JOIN (VALUES ('batches', CAST(4 AS BIGINT)), ('merged', 1)) v(version, folders) WHERE {_GOOD} GROUP BY version, folders""", E),
+    "stream_without_repeats": _sql("SELECT trace_id, span_id, seq FROM spans WHERE span_id IS NOT NULL", E),
     "topic_messages": _sql(
         """SELECT trace_id AS key, span_id, status, json_extract_string(attributes, '$."mcp.tool"') AS tool,
         strftime(start_time, '%Y-%m-%dT%H:%M:%S.%fZ') AS start_time FROM spans""", E),
@@ -380,6 +388,14 @@ ORACLES = {
     "stream_watch_batches": _sql(
         """SELECT trace_id, rule, severity, first_visit, "count" FROM found WHERE trace_id IN (SELECT trace_id FROM settled)""",
         E, N, S, F, _SETTLED),
+    "watch_timers": _sql("""SELECT trace_id, rule, severity, first_visit, "count" FROM found""", E, N, S, F),
+    "watch_ignoring_existing": _sql(
+        """SELECT trace_id, bool_or(seq < 24 * 100) AS ignored FROM spans GROUP BY trace_id
+        HAVING bool_or(seq < 24 * 100) OR max(ingested_at) + INTERVAL 20 MINUTE <= (SELECT max(ingested_at) FROM spans)""", E),
+    "node_table_snapshots": _sql(
+        """SELECT step, written, count(*) AS nodes, CAST(sum(order_index) AS BIGINT) AS places FROM (
+          SELECT order_index, step, CASE WHEN step = 3 AND order_index % 5 = 0 THEN 'third' WHEN step > 0 AND order_index % 3 = 0 THEN 'second' ELSE 'first' END AS written
+          FROM nodes CROSS JOIN (VALUES (CAST(0 AS BIGINT)), (1), (2), (3)) t(step)) GROUP BY step, written""", E, N),
     "stored_run_costs": _sql(
         """SELECT le, count(*) FILTER (total_cost <= bound) AS runs, count(*) AS run_count, round(CAST(sum(total_cost) AS DOUBLE), 6) AS cost_sum
         FROM (SELECT * FROM summaries WHERE trace_id IN (SELECT trace_id FROM settled))
@@ -397,6 +413,8 @@ ORACLES = {
         FROM (SELECT concat(event_type, CASE event_id % 5 WHEN 0 THEN 'Token' WHEN 1 THEN '-API-Key' WHEN 2 THEN '_count' WHEN 3 THEN ' passwd' ELSE '_id' END) AS key FROM events)
         GROUP BY ALL""",
     "redacted_map": """SELECT event_id, '[REDACTED]' AS user_password, CASE WHEN event_id % 3 = 0 THEN '[REDACTED]' ELSE props END AS note, event_type AS kind FROM events""",
+    "redacted_hard_json": """SELECT event_id, FALSE AS leaks, CAST(CASE WHEN event_id % 3 = 0 THEN 5000 ELSE 0 END AS BIGINT) AS digits,
+        CAST(CASE WHEN event_id % 3 = 1 THEN 40 ELSE 0 END AS BIGINT) AS levels FROM events""",
     "redacted_nested_json": """SELECT event_id, event_type AS name, '[REDACTED]' AS session,
         CASE WHEN event_id % 4 = 0 THEN '[REDACTED]' ELSE 'plain' END AS tag, CASE WHEN event_id % 5 = 0 THEN '[REDACTED]' ELSE 'inner' END AS inner_tag,
         CAST(user_id AS VARCHAR) AS n FROM events""",

@@ -6,6 +6,9 @@ results compare value by value with another engine's.
 
 from __future__ import annotations
 
+import functools
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.functions import redact, timing
@@ -20,8 +23,9 @@ from spanloom.session import Workspace
 from spanloom.sources import exports, messages, tables
 from spanloom.sources.tables import read_nodes, write_nodes
 from spanloom.sources.views import conversation_spans, event_spans, order_spans
-from spanloom.streaming.ingest import start_ingest
-from spanloom.streaming.watch import late_spans, settled_runs, start_watch, unscored
+from spanloom.streaming.ingest import start_ingest, without_repeats
+from spanloom.streaming.timers import scored_runs, start_timed_watch
+from spanloom.streaming.watch import ignore_existing, late_spans, read_scored, settled_runs, start_watch, unscored
 
 _TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 DETECT = detect.DETECT_CARRY
@@ -435,15 +439,85 @@ def ingest_quarantine(spark, sf):
     return bad.select("seq", "reason")
 
 
-def stream_ingest(spark, sf):
-    """The same ingest as a streaming query that drains the table's messages."""
+def _message_stream(spark, sf, files=4):
+    """The messages in files of one batch each, as a stream."""
 
     work = Workspace(spark, "stream")
     landed = _messages(spark, sf)
-    stream = spark.readStream.schema(landed.schema).parquet(landed.inputFiles()[0].rsplit("/", 1)[0])
-    query = start_ingest(stream, f"{work.root}/spans", f"{work.root}/bad", f"{work.root}/check", once=True)
+    for k in range(files):
+        part = landed.where(F.pmod(F.xxhash64("offset"), F.lit(files)) == k)
+        part.coalesce(1).write.mode("append").parquet(f"{work.root}/topic")
+    return work, spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{work.root}/topic")
+
+
+def _drain(query):
     query.awaitTermination()
-    return _good(tables.read_spans(spark, f"{work.root}/spans"))
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def stream_ingest(spark, sf):
+    """The same ingest as a streaming query of four bounded batches, merged after every second."""
+
+    work, stream = _message_stream(spark, sf)
+    store = tables.SpanStore(spark, f"{work.root}/store")
+    _drain(start_ingest(stream, store, f"{work.root}/check", once=True, compact_every=2))
+    return _good(store.spans())
+
+
+def stream_quarantine(spark, sf):
+    """Refused messages of the same store, from one read of each batch."""
+
+    work, stream = _message_stream(spark, sf)
+    store = tables.SpanStore(spark, f"{work.root}/store")
+    _drain(start_ingest(stream, store, f"{work.root}/check", once=True))
+    return store.refused().select("seq", "reason")
+
+
+def store_versions(spark, sf):
+    """Rows, runs and data folders of each version: four batches, a merge after the third and the last."""
+
+    work, stream = _message_stream(spark, sf)
+    store = tables.SpanStore(spark, f"{work.root}/store")
+    _drain(start_ingest(stream, store, f"{work.root}/check", once=True))
+    store.compact()
+    numbers = store.table.versions()
+    first, merged = store.table.version(numbers[0]), store.table.version(numbers[-1])
+    # A reader of a version before the merge sees the same rows as one after it.
+    shown = [("batches", numbers[-2]), ("merged", numbers[-1])]
+    rows = [
+        store.spans(version=n).agg(F.count("*").alias("spans"), F.count_distinct("trace_id").alias("runs"), F.sum("seq").alias("seq_sum"))
+        .select(F.lit(name).alias("version"), F.lit(len(store.table.version(n).parts)).cast("long").alias("folders"), "*")
+        for name, n in shown
+    ]
+    assert len(first.parts) == 1 and sum(p.files for p in merged.parts) < sum(p.files for p in store.table.version(numbers[-2]).parts)
+    return rows[0].unionByName(rows[1])
+
+
+def stream_without_repeats(spark, sf):
+    """Messages sent twice, the copies in another batch and partly after a restart, kept once."""
+
+    work = Workspace(spark, "repeats")
+    spans = event_spans(spark, sf).where("span_id IS NOT NULL").select("trace_id", "span_id", "seq", "ingested_at")
+    spans = work.keep(spans, "spans")
+
+    def send(k):
+        # Copies come a file after their originals: every third span, by its place.
+        fresh, again = spans.where(F.col("seq") % 3 == k), spans.where((F.col("seq") % 3 == k - 1) & (F.col("seq") % 2 == 0))
+        fresh.unionByName(again).coalesce(1).write.mode("append").parquet(f"{work.root}/topic")
+
+    def run():
+        stream = spark.readStream.schema(spans.schema).option("maxFilesPerTrigger", 1).parquet(f"{work.root}/topic")
+        once = without_repeats(stream, "400 days").writeStream.format("parquet").option("path", f"{work.root}/once")
+        _drain(once.option("checkpointLocation", f"{work.root}/check").trigger(availableNow=True).start())
+
+    send(0)
+    send(1)
+    run()
+    send(2)
+    send(3)
+    run()
+    return spark.read.schema(spans.schema).parquet(f"{work.root}/once").select("trace_id", "span_id", "seq")
 
 
 def topic_messages(spark, sf):
@@ -555,6 +629,66 @@ def stored_run_costs(spark, sf):
     return metrics.cost_histogram(stored).withColumn("cost_sum", F.round("cost_sum", 6))
 
 
+def watch_timers(spark, sf):
+    """Findings of all runs, each scored once when its own timer fired, over three files of arrivals."""
+
+    work = Workspace(spark, "timers")
+    spans = work.keep(event_spans(spark, sf), "spans")
+    for k in range(3):
+        part = spans.where(F.col("seq") % 3 == k).select("trace_id", "start_time", "ingested_at")
+        part.coalesce(1).write.mode("append").parquet(f"{work.root}/arrivals")
+    stream = spark.readStream.schema("trace_id string, start_time timestamp, ingested_at timestamp")
+    stream = stream.option("maxFilesPerTrigger", 1).parquet(f"{work.root}/arrivals")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    query = start_timed_watch(
+        stream, lambda since, until: spans, f"{work.root}/nodes", f"{work.root}/found", f"{work.root}/check",
+        quiet=timedelta(seconds=2), every="1 second",
+    )
+    runs = spans.select("trace_id").distinct().count()
+    try:
+        # Silence settles them: the state then marks every run, and a batch has stored them.
+        for _ in range(600):
+            if query.awaitTermination(1) or query.lastProgress and query.lastProgress["batchId"] > 2 and not query.status["isTriggerActive"]:
+                if scored_runs(spark, f"{work.root}/check").count() == runs:
+                    break
+    finally:
+        query.stop()
+        if before is not None:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    if query.exception() is not None:
+        raise query.exception()
+    return _watched_findings(spark, work)
+
+
+def watch_ignoring_existing(spark, sf):
+    """A watch that starts when half of the runs exist: they are never scored."""
+
+    work = Workspace(spark, "ignore")
+    spans = work.keep(event_spans(spark, sf), "spans")
+    ignore_existing(spans.where("seq < 24 * 100"), f"{work.root}/scored")
+    _watch(spark, work, spans, spark.readStream.schema(spans.schema).parquet(f"{work.root}/001-spans"))
+    return read_scored(spark, f"{work.root}/scored").select("trace_id", (F.col("batch") < 0).alias("ignored"))
+
+
+def node_table_snapshots(spark, sf):
+    """A node table of two versions, merged, then a third: newest rows as of each of them."""
+
+    work = Workspace(spark, "snapshots")
+    path = f"{work.root}/nodes"
+    nodes = work.keep(assemble(event_spans(spark, sf), work=work), "nodes")
+    renamed = lambda name, part: nodes.where(part).withColumn("name", F.lit(name))
+    made = [write_nodes(nodes, path, "2026-01-01 00:00:00")]
+    made.append(write_nodes(renamed("second", "order_index % 3 = 0"), path, "2026-01-02 00:00:00"))
+    made.append(tables.compact_nodes(spark, path))
+    made.append(write_nodes(renamed("third", "order_index % 5 = 0"), path, "2026-01-03 00:00:00"))
+    shown = [
+        read_nodes(spark, path, version).groupBy(F.when(F.col("name").isin("second", "third"), F.col("name")).otherwise("first").alias("written"))
+        .agg(F.count("*").alias("nodes"), F.sum("order_index").alias("places")).select(F.lit(step).cast("long").alias("step"), "*")
+        for step, version in enumerate(made)
+    ]
+    return functools.reduce(DataFrame.unionByName, shown)
+
+
 # --- cost and redaction ----------------------------------------------------
 def conversation_costs(spark, sf):
     return conversation_spans(spark, sf).select(
@@ -636,6 +770,23 @@ def redacted_nested_json(spark, sf):
     )
 
 
+def redacted_hard_json(spark, sf):
+    """JSON with a number of 5,000 digits, a key forty levels down, or a comma too many."""
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    secret = F.concat(F.lit('{"user_password":"pw-'), F.col("event_id").cast("string"), F.lit('"'))
+    number = F.concat(secret, F.lit(',"n":'), F.repeat(F.lit("7"), 5000), F.lit("}"))
+    deep = F.concat(F.repeat(F.lit('{"a":'), 40), secret, F.repeat(F.lit("}"), 41))
+    text = F.when(F.col("event_id") % 3 == 0, number).when(F.col("event_id") % 3 == 1, deep).otherwise(F.concat(secret, F.lit(",}")))
+    clean = e.select("event_id", redact.redact_json(text).alias("clean"))
+    return clean.select(
+        "event_id",
+        F.contains("clean", F.lit("pw-")).alias("leaks"),
+        F.length(F.regexp_extract("clean", "(7{100,})", 1)).cast("long").alias("digits"),
+        F.regexp_count("clean", F.lit('"a":')).cast("long").alias("levels"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -648,9 +799,10 @@ QUERIES = {
         recent_runs_table, all_runs_table, run_selector, spans_of_failed_labels, runs_of_newest_label,
         recent_traces, recent_spans, run_timeline, run_detail, sequence_strip, tree_lines, run_text, run_json,
         arrivals, handoff_edges, tool_usage, stamped_handoffs, stamped_tool_calls,
-        ingest_good, ingest_quarantine, stream_ingest, topic_messages, span_table_by_day, newest_run_spans,
+        ingest_good, ingest_quarantine, stream_ingest, stream_quarantine, store_versions, stream_without_repeats, topic_messages, span_table_by_day, newest_run_spans,
         new_minus_scored, late_after_score, settled_sessions, stream_watch, stream_watch_batches, stored_run_costs,
+        watch_timers, watch_ignoring_existing, node_table_snapshots,
         conversation_costs, conversation_summary,
-        redacted_documents, redacted_messages, sensitive_keys, redacted_map, redacted_nested_json,
+        redacted_documents, redacted_messages, sensitive_keys, redacted_map, redacted_nested_json, redacted_hard_json,
     )
 }

@@ -58,15 +58,16 @@ def publish(
     batch: int = 0,
     rules=detect.RULES,
     summary_path: str | None = None,
+    stream: str | None = None,
 ) -> None:
     """Store trees, findings and summaries. A failure to store trees is logged,
     not raised: they are for display, and scoring must go on. Findings and
     summaries go to the folder of their batch and replace what an earlier try of
-    it left there."""
+    it left there; trees of a ``stream``'s batch are stored once."""
 
     if node_path is not None:
         try:
-            write_nodes(scored.nodes, node_path)
+            write_nodes(scored.nodes, node_path, stream=stream, batch=batch)
         except Exception:  # noqa: BLE001
             log.exception("could not store tree nodes in %s", node_path)
     if finding_path is not None:

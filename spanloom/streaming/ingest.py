@@ -1,57 +1,55 @@
-"""Continuous ingest: messages to the span table and the quarantine."""
+"""Continuous ingest: messages to the span store."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanloom.sources.messages import decode, good_spans, quarantined
+from spanloom.functions.redact import redact_json
+from spanloom.sources.messages import decode
+from spanloom.sources.tables import SpanStore
 
 FLUSH = "2 seconds"
+NAME = "ingest"
 
 
 def start_ingest(
     messages: DataFrame,
-    span_path: str,
-    quarantine_path: str,
+    store: SpanStore,
     checkpoint: str,
     flush: str = FLUSH,
     once: bool = False,
     strict: bool = False,
+    redact: bool = False,
+    compact_every: int | None = None,
+    name: str = NAME,
 ) -> StreamingQuery:
     """Decode a stream of messages and append them, one micro-batch at a time.
 
-    Rows are never deduplicated here. Each batch owns the folders named after
-    its id, and rewrites them if it is run again after a failure, so a batch is
-    stored once however often it is tried. ``once`` drains what there is.
+    Good and refused messages of a batch go to the store in one write, which
+    reads and parses the batch once. The store records the batch under ``name``
+    (one for each query and checkpoint), so a batch is stored once however often
+    it is tried. Rows are never deduplicated here. ``ingested_at`` is the time at
+    which the batch is stored, on Spark's clock: the sender's may be wrong, and a
+    run is quiet only when nothing is stored for it any more.
+
+    ``redact`` blanks secrets in attributes before they are stored, and marks the
+    spans so. ``compact_every`` merges small files after so many batches; other
+    processes may call ``store.compact`` instead. ``once`` drains what there is.
+    How much a batch takes is the source's setting (``sources.messages``).
     """
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        # Both outputs read the batch: keep it decoded, so that the source is
-        # read and parsed once.
-        decoded = decode(batch, strict).persist()
-        try:
-            spans = good_spans(decoded).withColumns(
-                {"start_date": F.to_date("start_time"), "batch": F.lit(batch_id)}
-            )
-            _store(spans, span_path, "start_date", "batch")
-            bad = quarantined(decoded).withColumn("batch", F.lit(batch_id))
-            _store(bad, quarantine_path, "batch")
-        finally:
-            decoded.unpersist()
-
-    writer = messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=flush)
-    return writer.queryName("spanloom-ingest").start()
-
+    def take(batch: DataFrame, batch_id: int) -> None:
+        spans = decode(batch, strict).withColumn("ingested_at", F.current_timestamp())
+        if redact:
+            spans = spans.withColumns({"attributes": redact_json(F.col("attributes")), "redacted": F.lit(True)})
+        store.append(spans, name, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            store.compact()
 
-def _store(rows: DataFrame, path: str, *folders: str) -> None:
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*folders)
-        .parquet(path)
-    )
+    writer = messages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=flush)
+    return writer.queryName(f"spanloom-{name}").start()
 
 
 def without_repeats(spans: DataFrame, within: str = "10 minutes") -> DataFrame:

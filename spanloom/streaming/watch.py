@@ -179,7 +179,8 @@ def start_watch(
 
     ``arrivals`` is a stream of spans (``trace_id``, ``ingested_at`` and, to
     prune by day, ``start_time``), ticks among them if wanted. ``read_spans``
-    gives the span table as it is now, between two days if they are not None.
+    gives the span table as it is now, between two days if they are not None, and
+    spans without a start whatever the days.
     Summaries are stored at ``summary_path`` by batch, replaced on a retry, so
     that counters and histograms need not go back to spans. ``on_scored``
     receives each batch's results.
@@ -201,7 +202,7 @@ def start_watch(
         work = Workspace(spark, "watch")
         try:
             scored = score(spans, limits, rules=rules, work=work)
-            publish(scored, node_path, finding_path, batch_id, rules, summary_path)
+            publish(scored, node_path, finding_path, batch_id, rules, summary_path, stream="watch")
             if on_scored is not None:
                 on_scored(scored, batch_id)
         finally:

@@ -27,6 +27,29 @@ def clean(spark, values, **options):
     return [json.loads(r[0]) for r in df.select(redact.redact_json(F.col("a"), **options)).collect()]
 
 
+def test_json_that_is_hard_to_read(spark):
+    """Numbers of thousands of digits, deep nesting and broken JSON leak nothing."""
+
+    long = "1" * 6000
+    given = [
+        '{"password":"hunter2","n":' + long + "}",
+        '{"n":-' + long + ',"note":"plain token"}',
+        '{"a":' * 40 + '{"password":"hunter2"}' + "}" * 40,
+        '{"a":' * 90_000 + '{"password":"hunter2"}' + "}" * 90_000,
+        '{"password":"hunter2",}',
+        "{nope, a plain text",
+        "[password of nobody",
+    ]
+    df = spark.createDataFrame([(v,) for v in given], "a string")
+    got = [r[0] for r in df.select(redact.redact_json(F.col("a"))).collect()]
+    blank = redact.BLANK
+    assert got[0] == '{"password": "' + blank + '", "n": ' + long + "}"
+    assert got[1] == '{"n": -' + long + ', "note": "plain token"}'
+    assert got[2] == '{"a": ' * 40 + '{"password": "' + blank + '"}' + "}" * 40
+    assert "hunter2" not in got[3]
+    assert got[4:] == [blank, given[5], blank]
+
+
 def test_values(spark):
     df = spark.createDataFrame([(v,) for v in SECRETS + PLAIN], "v string")
     got = [r[0] for r in df.select(redact.redact_value(F.col("v"))).collect()]

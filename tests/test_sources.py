@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from spans import at, frame, misbehaving_run, span
 from spanloom.operators import protocols, reports
@@ -11,6 +11,7 @@ from spanloom.operators.assemble import assemble
 from spanloom.operators.summary import run_summaries
 from spanloom.plans.scoring import score
 from spanloom.sources import exports, messages, tables
+from spanloom.sources.versions import Part, Version, VersionedTable, small_groups
 
 GOOD = {
     "trace_id": "run-7",
@@ -120,7 +121,11 @@ def test_span_table(spark, tmp_path):
     assert tables.read_spans(spark, path, since="2025-03-15").count() == 1
     # Bounds that choose runs bring the part before midnight too.
     assert tables.read_runs(spark, path, "2025-03-15", "2025-03-15").count() == 2
-    got = tables.spans_of_run(tables.read_spans(spark, path), "a").collect()
+    # No day holds a span without a start.
+    tables.write_spans(frame(spark, [span("a", "u", None, None)]), path)
+    assert tables.read_spans(spark, path, since="2025-03-15").count() == 1
+    assert tables.read_spans(spark, path, since="2025-03-15", undated=True).count() == 2
+    got = tables.spans_of_run(tables.read_spans(spark, path, since="2025-03-14"), "a").collect()
     assert [r["span_id"] for r in got] == ["y", "x"] and got[1]["attributes"] == {}
     plan = tables.read_spans(spark, path).where("trace_id = 'a'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(trace_id), EqualTo(trace_id,a)]" in plan
@@ -137,7 +142,7 @@ def test_long_runs_are_read_whole(spark, tmp_path):
 
 
 def test_node_table_keeps_the_newest_version(spark, tmp_path):
-    path, packed = str(tmp_path / "nodes"), str(tmp_path / "packed")
+    path = str(tmp_path / "nodes")
     tables.ensure_node_table(spark, path)
     tables.ensure_node_table(spark, path)
     assert tables.read_nodes(spark, path).count() == 0
@@ -149,8 +154,65 @@ def test_node_table_keeps_the_newest_version(spark, tmp_path):
     assert [(r["span_id"], r["depth"], r["name"], r["duration_ms"]) for r in got] == [
         ("root", 0, "step", 0.0), ("c1", 1, "step", 0.0), ("g1", 2, "step", 0.0), ("c2", 1, "step", 0.0),
     ]
-    tables.compact_nodes(spark, path, packed)
-    assert spark.read.parquet(packed).count() == 4
+    table = tables.node_table(spark, path)
+    assert table.read().count() == 8
+    merged = tables.compact_nodes(spark, path)
+    assert table.read().count() == 4 and table.read(merged - 1).count() == 8
+    assert tables.read_nodes(spark, path).orderBy("order_index").collect() == got
+    # A batch that is tried again is not stored twice; a third version wins.
+    newest = nodes.where("span_id = 'g1'").withColumn("name", F.lit("new"))
+    assert tables.write_nodes(newest, path, "2026-01-03 00:00:00", "watch", 4) == merged + 1
+    assert tables.write_nodes(newest, path, "2026-01-03 00:00:00", "watch", 4) is None
+    assert [r["name"] for r in tables.read_nodes(spark, path).orderBy("order_index").collect()] == ["step", "step", "new", "step"]
+    assert [r["name"] for r in tables.read_nodes(spark, path, 1).orderBy("order_index").collect()] == ["old"] * 4
+
+
+NUMBERS = T.StructType([T.StructField("n", T.LongType())])
+
+
+def numbers(table):
+    return sorted(r.n for r in table.read().collect())
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    """Two writers at once, a write that dies half-way, and what vacuum leaves."""
+
+    table, rows = VersionedTable(spark, str(tmp_path / "t"), NUMBERS), lambda *n: spark.createDataFrame([(i,) for i in n], NUMBERS)
+    assert table.versions() == [] and numbers(table) == []
+    assert table.append(rows(1, 2)) == 0
+
+    # Another writer commits between the look at the newest version and the commit.
+    raced = []
+
+    def change(now):
+        if not raced:
+            raced.append(VersionedTable(spark, table.path, NUMBERS).append(rows(3)))
+        return Version((*now.parts, part), now.batches)
+
+    part = table.write_part(rows(4))
+    assert numbers(table) == [1, 2]  # written, in no version
+    assert table.commit(change) == 2 and raced == [1]
+    assert numbers(table) == [1, 2, 3, 4] and sorted(r.n for r in table.read(1).collect()) == [1, 2, 3]
+
+    lost = table.write_part(rows(99))  # its writer dies here
+    old = table.version().parts
+    assert table.replace(old[:2], rows(1, 2, 3)) == 3
+    with pytest.raises(RuntimeError, match="another writer"):
+        table.replace(old[:2], rows(0))
+    assert numbers(table) == [1, 2, 3, 4]
+    assert table.append(rows(), "s", 0) == 4 and table.append(rows(7), "s", 0) is None
+    assert table.vacuum(keep=1) == 0  # young folders stay
+    assert table.vacuum(keep=1, grace_seconds=0) == 5
+    assert table.versions() == [4] and numbers(table) == [1, 2, 3, 4]
+    assert lost.folder not in {p.folder for p in table.version().parts}
+
+
+def test_small_parts_are_grouped_by_size():
+    part = lambda name, size, day: Part(name, 1, size, 1, day, day)
+    parts = (part("a", 60, "2026-01-01"), part("b", 50, "2026-01-02"), part("c", 30, "2026-01-03"), part("d", 100, "2026-01-01"), part("e", 99, "2026-01-09"))
+    groups = small_groups(parts, 100)
+    assert [[p.folder for p in g] for g in groups] == [["a", "c"]]
+    assert part("a", 1, "2026-01-05").may_hold("2026-01-05", None) and not part("a", 1, "2026-01-05").may_hold(None, "2026-01-04")
 
 
 def nested(nodes):

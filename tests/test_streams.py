@@ -1,6 +1,8 @@
 """Streaming ingest and the settle-then-score watch, over file streams."""
 
 import json
+import time
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from spans import at, frame, span
 from spanloom.operators.metrics import runs_evaluated
 from spanloom.schema import SPAN_SCHEMA
 from spanloom.sources import tables
+from spanloom.sources.messages import decode
 from spanloom.streaming.ingest import start_ingest, without_repeats
+from spanloom.streaming.timers import open_runs, scored_runs, settled_by_timer, start_timed_watch, use_rocksdb
 from spanloom.streaming.watch import (
     SCORED_SCHEMA, Pending, ignore_existing, late_spans, mark_scored, read_scored, settled_runs, start_watch, ticks,
 )
@@ -28,28 +32,70 @@ def drain(query):
     assert query.exception() is None
 
 
-def test_ingest_stores_good_and_bad(spark, tmp_path):
-    inbox, good, bad, check = (str(tmp_path / d) for d in ("in", "good", "bad", "check"))
-    schema = "value string, offset long, timestamp timestamp"
+MESSAGES = "value string, offset long, timestamp timestamp"
+
+
+class Inbox:
+    """A topic of files, and a store fed from it."""
 
-    def send(*texts):
+    def __init__(self, spark, root, **how):
+        self.spark, self.root, self.how = spark, root, how
+        self.store = tables.SpanStore(spark, str(root / "store"))
+
+    def send(self, *texts):
         rows = [(t, i, at(i)) for i, t in enumerate(texts)]
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
+        self.spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(str(self.root / "in"))
+
+    def ingest(self):
+        stream = self.spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(str(self.root / "in"))
+        drain(start_ingest(stream, self.store, str(self.root / "check"), once=True, **self.how))
 
-    def ingest():
-        drain(start_ingest(spark.readStream.schema(schema).parquet(inbox), good, bad, check, once=True))
 
-    send(message(0), message(1), "{nope", message(2, tokens_in=None))
-    ingest()
+def test_ingest_stores_good_and_bad(spark, tmp_path):
+    box = Inbox(spark, tmp_path)
+    box.send(message(0), message(1), "{nope", message(2, tokens_in=None))
+    box.ingest()
     # A copy is kept: nothing is deduplicated on the way in.
-    send(message(1), message(3))
-    ingest()
-    ingest()
-    spans = tables.read_spans(spark, good)
-    assert sorted(r["span_id"] for r in spans.collect()) == ["s0", "s1", "s1", "s3"]
-    refused = {r["reason"] for r in spark.read.parquet(bad).collect()}
-    assert refused == {"not a JSON object", "tokens_in: not an integer"}
-    assert tables.read_spans(spark, good, since="2026-01-02").count() == 3
+    box.send(message(1), message(3))
+    box.ingest()
+    box.ingest()
+    assert sorted(r["span_id"] for r in box.store.spans().collect()) == ["s0", "s1", "s1", "s3"]
+    refused = {(r["reason"], r["value"] is None) for r in box.store.refused().collect()}
+    assert refused == {("not a JSON object", False), ("tokens_in: not an integer", False)}
+    assert box.store.spans(since="2026-01-02").count() == 3
+    # The store's clock, not the sender's.
+    assert box.store.spans().where("ingested_at < current_timestamp() - INTERVAL 1 HOUR").count() == 0
+    assert len(box.store.table.version().parts) == 2
+
+
+def test_a_batch_is_stored_once_and_merges_keep_rows(spark, tmp_path):
+    box = Inbox(spark, tmp_path, compact_every=3)
+    for k in range(4):
+        box.send(*[message(10 * k + i) for i in range(4)], "{nope")
+        box.ingest()
+    before = box.store.table.version(2)
+    after = box.store.table.version()
+    # Batches 0 to 2 were merged into one part, by day; batch 3 came after.
+    assert [p.rows for p in before.parts] == [5, 5, 5] and sorted(p.rows for p in after.parts) == [5, 15]
+    assert sum(p.files for p in after.parts) < 4 * before.parts[0].files
+    assert box.store.spans().count() == 16 and box.store.refused().count() == 4
+    assert box.store.spans(version=2).count() == 12
+
+    decoded = decode(spark.createDataFrame([(message(99), 0, at(0))], MESSAGES))
+    assert box.store.append(decoded, "ingest", 3) is None  # tried again, after its commit
+    assert box.store.spans().count() == 16
+    assert box.store.append(decoded, "another", 3) is not None
+    assert box.store.compact() and box.store.compact() == []
+    assert box.store.spans().count() == 17
+    assert sorted(r.span_id for r in box.store.runs("2026-01-01", "2026-01-01").collect()) == sorted(r.span_id for r in box.store.spans().collect())
+
+
+def test_secrets_are_blanked_on_the_way_in(spark, tmp_path):
+    box = Inbox(spark, tmp_path, redact=True)
+    box.send(message(0, attributes={"password": "hunter2", "note": "plain"}))
+    box.ingest()
+    (row,) = box.store.spans().collect()
+    assert json.loads(row.attributes) == {"password": "[REDACTED]", "note": "plain"} and row.redacted
 
 
 def failing(trace_id, i, ms):
@@ -199,3 +245,85 @@ def test_repeats_can_be_dropped(spark, tmp_path):
     )
     drain(query)
     assert sorted(r["span_id"] for r in spark.table("once").collect()) == ["s0", "s1"]
+
+
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before, parts = spark.conf.get(key, None), spark.conf.get("spark.sql.shuffle.partitions")
+    use_rocksdb(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_timers_settle_runs_once(spark, tmp_path, rocksdb):
+    """Open runs are in the state; a timer settles each; stragglers count as late and are not scored again."""
+
+    w = Watch(spark, tmp_path)
+    check = str(tmp_path / "check")
+
+    def start(quiet):
+        stream = spark.readStream.schema(SPAN_SCHEMA).parquet(w.spans)
+        return start_timed_watch(
+            stream, w.table, w.nodes, w.found, check, timedelta(seconds=quiet), every="500 milliseconds",
+            on_scored=lambda s, i: w.batches.append(sorted(r[0] for r in s.summaries.select("trace_id").collect())),
+        )
+
+    def until(holds):
+        for _ in range(120):
+            if (said := holds()) or query.exception() is not None:
+                break
+            time.sleep(0.5)
+        assert query.exception() is None
+        return said
+
+    # Arrivals of a sender whose clock is years behind: only Spark's own clock counts.
+    w.arrive(failing("demo", 0, 0), failing("demo", 1, 500), failing("other", 0, 86_400_000 * 400), span(None, "x"))
+    query = start(3600)
+    try:
+        assert until(lambda: (query.lastProgress or {}).get("batchId", -1) >= 1)
+    finally:
+        query.stop()
+    assert {(r.trace_id, r.spans) for r in open_runs(spark, check).collect()} == {("demo", 2), ("other", 1)}
+    assert scored_runs(spark, check).count() == 0 and w.batches == []
+
+    # After a restart the state is there; more spans of a run put its timer off, on the new quiet time.
+    w.arrive(*[failing("demo", i, 1000 + i) for i in range(2, 8)], failing("third", 0, 5))
+    query = start(1)
+    try:
+        assert until(lambda: sum(w.batches, []).count("demo") == 1 and "third" in sum(w.batches, []))
+        w.arrive(failing("demo", 9, 2_000))
+        assert until(lambda: scored_runs(spark, check).where("late = 1").count() == 1)
+    finally:
+        query.stop()
+    assert {r.trace_id for r in open_runs(spark, check).collect()} == {"other"}
+    assert {(r.trace_id, r.late) for r in scored_runs(spark, check).collect()} == {("demo", 1), ("third", 0)}
+    assert sorted(sum(w.batches, [])) == ["demo", "third"]
+    found = {(r["trace_id"], r["rule"]) for r in spark.read.parquet(w.found).collect()}
+    assert ("demo", "runaway_loop") in found
+
+
+def test_marks_may_expire(spark, tmp_path, rocksdb):
+    """With an expiry a run that comes back much later is scored once more."""
+
+    w = Watch(spark, tmp_path)
+    w.arrive(failing("demo", 0, 0))
+    settled = settled_by_timer(spark.readStream.schema(SPAN_SCHEMA).parquet(w.spans), timedelta(seconds=1), timedelta(seconds=2))
+    query = (
+        settled.writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "check"))
+        .trigger(processingTime="500 milliseconds").start()
+    )
+    try:
+        for count in (1, 2):
+            for _ in range(80):
+                if spark.table("expiring").count() >= count:
+                    break
+                time.sleep(0.5)
+            if count == 1:
+                time.sleep(4)
+                w.arrive(failing("demo", 1, 9))
+        assert [(r.trace_id, r.spans, str(r.first_day)) for r in spark.table("expiring").collect()] == [("demo", 1, "2025-03-14")] * 2
+    finally:
+        query.stop()
