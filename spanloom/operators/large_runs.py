@@ -4,11 +4,15 @@ Walking round a forest, entering and leaving each node once, gives a linked
 list per run. A node's place in the layout is the number of entries before its
 own; its place in the visiting order (siblings reversed) is the number of exits
 after its own; its depth is entries minus exits. All three are suffix sums over
-the list, found by pointer doubling: every element joins the element it points
-to, adds that one's sums, and adopts its pointer, so the reach doubles per
-round. Each element is pointed to by at most one other, hence the joins have no
-hot key whatever the tree looks like: one parent with a billion children, or a
-chain of a billion, costs the same.
+the list, found by contraction: in each round the elements whose hash exceeds
+that of both neighbours leave the list (a third of all, no two of them next to
+each other), and the one before takes over their sums and pointer. When the list
+is short it is ranked by pointer doubling, and the elements that left are filled
+in, round by round backwards, each from the element it pointed to. A round costs
+two thirds of the one before, so all of them together write a few times the input
+however deep the trees are. Each element is pointed to by at most one other, hence
+the joins have no hot key whatever the tree looks like: one parent with a billion
+children, or a chain of a billion, costs the same.
 
 Elements that still point somewhere after enough rounds run in circles: their
 component has no root. Only for those, ancestors are walked to find the spans
@@ -28,6 +32,8 @@ from spanloom.operators.skew import number_rows
 from spanloom.session import Workspace
 
 _SUMS = ("entries", "exits")
+# Elements of all lists together that pointer doubling ranks without contraction.
+SPARSE = 1_000_000
 
 
 def assemble_large(
@@ -158,6 +164,76 @@ def _rank(linked: DataFrame, rounds: int, work: Workspace) -> tuple[DataFrame, b
     )
     steps = work.keep(chain.select(F.inline(F.array(entering, leaving))), "steps")
 
+    steps = _suffix_sums(steps, rounds, work)
+    circling = not steps.where("to IS NOT NULL").isEmpty()
+    ranked = steps.select(
+        F.floor(F.col("id") / 2).cast("long").alias("pos"),
+        (F.col("id") % 2 == 1).alias("leaving"),
+        "to",
+        *_SUMS,
+    )
+    return ranked, circling
+
+
+def _suffix_sums(steps: DataFrame, rounds: int, work: Workspace) -> DataFrame:
+    """Stored list elements (id, to, entries, exits) with the sums from each to its list's end.
+
+    ``to`` is NULL in the result but where a list has no end.
+    """
+
+    rest, left = _contract(steps, work)
+    if left:
+        rounds = min(rounds, rest.count().bit_length() + 1)
+    ranked = _double(rest, rounds, work)
+    # Backwards: what an element pointed to when it left is ranked by then.
+    for k, gone in reversed(list(enumerate(left))):
+        ahead = ranked.select(F.col("id").alias("to"), F.lit(True).alias("found"), F.col("to").alias("_to"), *[F.col(c).alias(f"_{c}") for c in _SUMS])
+        filled = gone.join(ahead, "to", "left").select(
+            "id", F.when(F.col("found"), F.col("_to")).alias("to"), *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in _SUMS]
+        )
+        # Only the new ones are written.
+        ranked = ranked.unionByName(work.keep(filled, f"filled{k}"))
+    return ranked
+
+
+def _contract(steps: DataFrame, work: Workspace) -> tuple[DataFrame, list[DataFrame]]:
+    """The elements that stay, and by round those that left, with their sums and pointers then."""
+
+    count = steps.count()
+    if count <= SPARSE:
+        return steps, []
+    before = steps.where("to IS NOT NULL").select(F.col("to").alias("id"), F.col("id").alias("from"))
+    live = work.keep(steps.join(before, "id", "left"), "live0")
+    left = []
+    while count > SPARSE:
+        turn = len(left)
+        # A hash and the id: never equal. A list's first element has none before it and stays.
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c))
+        leaves = F.col("from").isNotNull() & (rank("id") > rank("from")) & (F.col("to").isNull() | (rank("id") > rank("to")))
+        gone = live.where(leaves)
+        over = gone.select(F.col("from").alias("id"), F.lit(True).alias("over"), F.col("to").alias("_to"), *[F.col(c).alias(f"_{c}") for c in _SUMS])
+        back = gone.where("to IS NOT NULL").select(F.col("to").alias("id"), F.col("from").alias("_from"))
+        stay = live.where(~leaves).join(over, "id", "left").join(back, "id", "left")
+        live = work.keep(
+            stay.select(
+                "id",
+                F.when(F.col("over"), F.col("_to")).otherwise(F.col("to")).alias("to"),
+                *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in _SUMS],
+                F.coalesce("_from", "from").alias("from"),
+            ),
+            f"live{turn + 1}",
+        )
+        now = live.count()
+        if now == count:
+            break
+        count = now
+        left.append(gone.drop("from"))
+    return live.drop("from"), left
+
+
+def _double(steps: DataFrame, rounds: int, work: Workspace) -> DataFrame:
+    """Pointer doubling: every element adopts the sums and the pointer of the one it points to."""
+
     for _ in range(rounds):
         moving = steps.where("to IS NOT NULL")
         if moving.isEmpty():
@@ -174,15 +250,7 @@ def _rank(linked: DataFrame, rounds: int, work: Workspace) -> tuple[DataFrame, b
         )
         done = steps.where("to IS NULL").select("id", "to", *_SUMS)
         steps = work.keep(hopped.unionByName(done), "steps")
-
-    circling = not steps.where("to IS NOT NULL").isEmpty()
-    ranked = steps.select(
-        F.floor(F.col("id") / 2).cast("long").alias("pos"),
-        (F.col("id") % 2 == 1).alias("leaving"),
-        "to",
-        *_SUMS,
-    )
-    return ranked, circling
+    return steps
 
 
 def _promoted(linked: DataFrame, ranked: DataFrame, rounds: int, work: Workspace) -> DataFrame:

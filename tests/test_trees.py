@@ -5,7 +5,9 @@ import random
 import pytest
 
 from spans import frame, misbehaving_run, span
+from spanloom.operators import large_runs
 from spanloom.operators.assemble import assemble
+from spanloom.session import Workspace
 
 PLACES = ("order_index", "visit_index", "depth", "orphaned", "promoted")
 
@@ -120,6 +122,45 @@ def test_all_ways_place_spans_like_the_literal_walk(spark, runs, max_rows):
     assert any(p[4] for w in want.values() for p in w.values())
 
 
+def test_contracted_lists_place_spans_like_the_literal_walk(spark, runs, monkeypatch):
+    """Lists contracted as far as they go, circles among them."""
+
+    monkeypatch.setattr(large_runs, "SPARSE", 0)
+    spans = frame(spark, [r for rows in runs.values() for r in rows])
+    got = placed(assemble(spans, carry=(), max_rows=0))
+    assert got == {t: w for t, w in ((t, walk(rows)) for t, rows in runs.items()) if w}
+
+
+@pytest.mark.parametrize("sparse", [0, 50, 10**6])
+def test_suffix_sums_of_lists(spark, monkeypatch, sparse):
+    """One long list, many short ones and circles; what is written does not grow with the length."""
+
+    monkeypatch.setattr(large_runs, "SPARSE", sparse)
+    work = Workspace(spark)
+    rng, rows, want = random.Random(6), [], {}
+    ids = rng.sample(range(10**6), 6000)
+    lists = [ids[:4000]] + [ids[at : at + 5] for at in range(4000, 5900, 5)]
+    for one in lists:
+        rows += [(a, b, a % 3, 1) for a, b in zip(one, [*one[1:], None])]
+        entries = exits = 0
+        for a in reversed(one):
+            entries, exits = entries + a % 3, exits + 1
+            want[a] = (entries, exits)
+    for circle in (ids[5900:5901], ids[5901:5903], ids[5903:]):
+        rows += [(a, b, 1, 1) for a, b in zip(circle, [*circle[1:], circle[0]])]
+    rng.shuffle(rows)
+    steps = work.keep(spark.createDataFrame(rows, "id long, to long, entries long, exits long"), "steps")
+    written = []
+    kept = Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df, name="t": written.append(r := kept(self, df, name)) or r)
+    got = large_runs._suffix_sums(steps, 14, work).collect()
+    assert {r.id: (r.entries, r.exits) for r in got if r.to is None} == want
+    assert {r.id for r in got if r.to is not None} == set(ids[5900:])
+    if sparse == 50:
+        # Doubling alone writes twelve times the list or more.
+        assert sum(r.count() for r in written) < 6 * len(rows)
+
+
 def test_runs_with_too_many_bytes_take_the_large_way(spark):
     rows = misbehaving_run()
     for r in rows:
