@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.llm.common import chunks
+from spanloom.llm.common import byte_symbols, chunks
 from spanloom.session import Workspace
 
 A_FILE, A_RANKS, B_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -55,14 +55,6 @@ def _place(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_symbols() -> dict[str, int]:
-    """Byte-level entries: printable bytes stand for themselves, the rest for 256 and on."""
-
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Coder:
     """Token ids of both tokenizers, and the bytes of each id."""
 
@@ -73,7 +65,7 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.exact = Tokenizer.from_file(_place(a_file))
         self.exact.encode_special_tokens = True  # their strings in a text are plain text
-        symbols = _byte_symbols()
+        symbols = byte_symbols()
         self.bytes_a: list[bytes] = []
         for i in range(self.exact.get_vocab_size()):
             entry = self.exact.id_to_token(i) or ""

@@ -58,3 +58,11 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     ends = np.cumsum([0] + [len(t) for t in texts], dtype=np.int64)
     return np.frombuffer(b"".join(texts), np.uint8), ends
+
+
+def byte_symbols() -> dict[str, int]:
+    """Byte-level entries: printable bytes stand for themselves, the rest for 256 and on."""
+
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}

@@ -11,89 +11,116 @@ is cut, so only a group's last few tokens of room stay empty.
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.llm.common import chunks
+from spanloom.llm.common import byte_symbols, chunks
 
 CAPACITY = 4096
 END_ID = 2
 ROWS_A_GROUP = 4096
 # A token's cost is 1 plus this for each token of its piece that it attends to.
 QUADRATIC = 1 / 4096
-# Words whose ids a Python worker remembers, 200 bytes each or so.
-MEMORY = 300_000
+LONG_WORD = 1_000  # code points; beyond, only the tokenizer's own merging stays fast
+CHUNK_BYTES = 6 << 20  # text whose distinct words are encoded once
 
-_ODD = re.compile("[\x1c-\x1f\x85\xa0]")  # white space to str.split, maybe not to the tokenizer
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_ODD = re.compile("[\0\x1c-\x1f\x85\xa0\u0100-\U0010ffff]")  # beyond Latin-1, or white space to some readers only
+_END = "\0"  # stands for the end of a piece
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long"
 _OUT = _PIECE + ", sequence_id long, offset long"
 
 
 class Encoder:
-    """Token ids as little-endian bytes, remembered word by word.
+    """Token ids as little-endian bytes, from the distinct words of a chunk of texts.
 
     Holds for tokenizers that drop white space and never join across it, such as
     ``word_bpe_49k.json``; a text is the ids of its words, one after the other.
-    Latin-1 texts may be lower-cased first, as their tokenizer does.
+
+    Texts in Latin-1 are lower-cased as their tokenizer does, cut into its pieces,
+    and merged by a faster library from the same vocabulary, each piece with a mark
+    at its end. Other texts, and those in which lower-casing could make a special
+    token, are encoded by the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ask(self, parts: set[str], into: dict[str, bytes]) -> None:
-        """Ids of ``parts`` from the tokenizer."""
-
-        rest = list(parts)
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            for part, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                into[part] = np.array(code.ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str], into: dict[str, bytes]) -> None:
-        """Ids of ``words``. Letters before ASCII marks are split off: the tokenizer splits there too."""
-
-        known, ask, joint = self.known, set(), []
-        for word in words:
-            stem = word.rstrip(_MARKS)
-            # Letters of Latin-1 join with no mark behind them.
-            if stem and len(stem) < len(word) and stem.isalpha() and max(stem) <= "ÿ":
-                joint.append((word, stem, word[len(stem) :]))
-                ask.update((stem, word[len(stem) :]))
-            else:
-                ask.add(word)
-        found: dict[str, bytes] = {}
-        self._ask(ask - known.keys(), found)
-        into.update(found)
-        for word, stem, tail in joint:
-            into[word] = (known.get(stem) or found[stem]) + (known.get(tail) or found[tail])
+        with open(path) as lines:
+            self.fast = self._merger(json.load(lines))
+
+    def _merger(self, held: dict):
+        """The vocabulary by rank, or None where ids don't rise with the merges."""
+
+        import tiktoken
+
+        symbols = byte_symbols()
+        vocabulary, special = held["model"]["vocab"], {x["content"] for x in held["added_tokens"]}
+        ranks: dict[bytes, int] = {}
+        for entry, rank in vocabulary.items():
+            if entry not in special:
+                plain = entry.removesuffix("</w>")
+                ranks[bytes(symbols[c] for c in plain) + (b"" if plain == entry else _END.encode())] = rank
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in held["model"]["merges"]]
+        pattern = next((x["pattern"]["Regex"] for x in held["pre_tokenizer"].get("pretokenizers", ()) if x["type"] == "Split"), None)
+        rises = made == sorted(made) and len(ranks) == len(vocabulary) - len(special & vocabulary.keys())
+        if not (rises and pattern and made[0] >= 512 and held["model"]["end_of_word_suffix"] == "</w>"):
+            return None
+        self.piece = regex.compile(pattern)
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for entry, rank in ranks.items():
+            self.length[rank] = len(entry)
+        return tiktoken.Encoding("pieces", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def _ask(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of ``words`` from the tokenizer."""
+
+        found = {}
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                found[word] = np.array(code.ids, "<u4").tobytes()
+        return found
+
+    def _merge(self, words: pa.Array) -> pa.ListArray:
+        """Ids of distinct Latin-1 words in lower case."""
+
+        cut = self.piece.findall
+        marked = [w + _END if w.isalpha() else "".join([x + _END for x in cut(w)]) for w in words.to_pylist()]
+        ends = np.cumsum(pc.binary_length(pa.array(marked, pa.string())).to_numpy())
+        parts = ["".join(marked[at : at + 4096]) for at in range(0, len(marked), 4096)]
+        ids = np.concatenate([self.fast.encode_to_numpy(x, disallowed_special=()) for x in parts]).astype(np.int32)
+        # A word's ids end where its bytes end; one without pieces has none.
+        cuts = np.searchsorted(np.cumsum(self.length[ids]), ends, side="right")
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]).astype(np.int32)), pa.array(ids))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = []
-        for raw in texts:
-            text = raw.decode()
-            try:
-                text.encode("latin-1")
-                # Lower-casing must not make a special token of what is none.
-                plain = _ODD.search(text) is None and "<|" not in text
-            except UnicodeEncodeError:
-                plain = False
-            split.append(text.lower().split() if plain else [w for w in re.split("[ \t\n\r]+", text) if w])
-        known, words = self.known, set().union(*split)
-        new = {w for w in words if w not in known}
-        # Full: the words met first are the frequent ones and stay; others serve this call only.
-        here = known if len(known) + len(new) <= MEMORY else {}
-        self._learn(new, here)
-        # The call's own words: far fewer, so that looking them up stays in the cache.
-        own = {w: known.get(w) or here[w] for w in words}
-        return [b"".join(map(own.__getitem__, words)) for words in split]
+        out: list[bytes] = [b""] * len(texts)
+        decoded = [raw.decode() for raw in texts]
+        plain = []
+        if self.fast is not None:
+            usual = (i for i, t in enumerate(decoded) if _ODD.search(t) is None and "<|" not in t)
+            plain = [i for i in usual if len(decoded[i]) < LONG_WORD or max(map(len, decoded[i].split()), default=0) < LONG_WORD]
+        if plain:
+            split = pc.ascii_split_whitespace(pa.array([decoded[i].lower() for i in plain], pa.string()))
+            coded = split.flatten().dictionary_encode()
+            if len(coded):
+                taken = self._merge(coded.dictionary).take(coded.indices)
+                ids, ends = taken.values.to_numpy(), taken.offsets.to_numpy()[split.offsets.to_numpy()]
+                for k, i in enumerate(plain):
+                    out[i] = ids[ends[k] : ends[k + 1]].tobytes()
+        rest = {i: [w for w in re.split("[ \t\n\r]+", decoded[i]) if w] for i in set(range(len(texts))).difference(plain)}
+        known = self._ask(list(set().union(*rest.values())))
+        for i, words in rest.items():
+            out[i] = b"".join(map(known.__getitem__, words))
+        return out
 
 
 @functools.cache
@@ -119,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_column: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            for rows, texts in chunks(batch, "t"):
+            for rows, texts in chunks(batch, "t", CHUNK_BYTES):
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for key, ids in zip(batch.column(0)[rows].to_pylist(), coder.encode(texts)):
                     ids += end
