@@ -32,6 +32,7 @@ REACH = 8  # the longest stretch of a subsequence
 PART = 32  # longer words are compared in overlapping parts
 FLOOR = 0.25  # smaller kernel values count as 0
 PENALTY = 1e-4
+WORDS_AT_ONCE = 5_000  # of which the kernel's tables are held
 MEMORY = 200_000  # words a Python worker remembers
 
 _LETTERS = 32  # a to z, then other characters
@@ -158,8 +159,8 @@ class Model:
         new = [w for w in words if w not in self.memory]
         # Full: the words met first are the frequent ones and stay; others serve this call only.
         here = self.memory if len(self.memory) + len(new) <= MEMORY else {}
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            some = new[at : at + WORDS_AT_ONCE]
             here.update(zip(some, (self.kernel.values(some) @ self.weights + self.bias).tolist()))
         own = {w: self.memory[w] if w in self.memory else here[w] for w in words}
         return np.array([max(map(own.__getitem__, words), default=self.bias) for words in split])
