@@ -255,6 +255,11 @@ ORACLES = {
         UNION ALL SELECT 'start_time: missing', count(*) FILTER (start_time IS NULL) FROM spans) WHERE spans > 0""", E),
     "tree_nodes": _sql("SELECT trace_id, span_id, parent_span_id, order_index, visit_index, depth, orphaned, coalesce(promoted, false) AS promoted FROM nodes", E, N),
     "tree_nodes_orders": _sql("SELECT trace_id, span_id, parent_span_id, order_index, visit_index, depth, orphaned, coalesce(promoted, false) AS promoted FROM nodes", O, N),
+    # A root is promoted when its spans lie on a cycle or below one.
+    "walked_places": _sql(
+        """SELECT n.trace_id, n.span_id, n.depth, r.span_id AS root_id, n.depth + 1 AS steps
+        FROM (SELECT *, max(CASE WHEN depth = 0 THEN order_index END) OVER (PARTITION BY trace_id ORDER BY order_index) AS root_at FROM nodes) n
+        JOIN nodes r ON r.trace_id = n.trace_id AND r.order_index = n.root_at WHERE NOT coalesce(r.promoted, false)""", E, N),
     "orphans_anti_join": _sql(
         """SELECT trace_id, span_id, parent_span_id FROM spans s WHERE span_id IS NOT NULL AND parent_span_id IS NOT NULL
         AND NOT EXISTS (SELECT 1 FROM spans q WHERE q.trace_id = s.trace_id AND q.span_id = s.parent_span_id)""", E),
@@ -268,6 +273,11 @@ ORACLES = {
     "cost_spikes": _sql(f"SELECT {_FINDING_ROW} FROM found WHERE rule_no = 3", E, N, S, F),
     "findings": _sql(f"SELECT {_FINDING_ROW} FROM found", E, N, S, F),
     "findings_orders": _sql(f"SELECT {_FINDING_ROW} FROM found", O, N, S, F),
+    "added_rule": _sql(
+        """SELECT trace_id, CAST(list_position(['runaway_loop', 'repeated_tool_failure', 'cost_spike'], rule) AS INTEGER) AS rule_no, rule, severity, first_visit,
+          CAST("count" AS BIGINT) AS "count" FROM found
+        UNION ALL SELECT trace_id, 4, 'many_errors', CASE WHEN count(*) > 4 THEN 'critical' ELSE 'warning' END, min(visit_index), count(*)
+        FROM nodes WHERE status = 'error' GROUP BY trace_id HAVING count(*) > 3""", E, N, S, F),
     "failed_tool_calls": _sql("SELECT trace_id, span_id, agent_name, name, error_message FROM spans WHERE step_type = 'tool_call' AND status = 'error'", E),
     "top_spans": _sql("SELECT trace_id, CAST(cost_rank AS INTEGER) AS cost_rank, span_id, cost_usd FROM tops", E, N, S, F, V),
     "evidence_spans": _sql("SELECT trace_id, rule, first_visit, visit_index, span_id, error_message, cost_usd FROM evidence", E, N, S, F, V),

@@ -16,9 +16,10 @@ from spanloom.functions.cost import base_model
 from spanloom.operators import detect, metrics, protocols, reports
 from spanloom.operators.assemble import assemble
 from spanloom.operators.dedupe import last_written_spans, latest_nodes
+from spanloom.operators.recursive import walked
 from spanloom.operators.summary import last_starts, orphan_ids, recent_runs, run_summaries
 from spanloom.plans.scoring import score
-from spanloom.schema import NODE_PAYLOAD
+from spanloom.schema import COST_DECIMAL, NODE_PAYLOAD
 from spanloom.session import Workspace
 from spanloom.sources import exports, messages, tables
 from spanloom.sources.tables import read_nodes, write_nodes
@@ -87,6 +88,13 @@ def tree_nodes_orders(spark, sf):
     return assemble(order_spans(spark, sf), carry=()).select(*_POSITION)
 
 
+def walked_places(spark, sf):
+    """Depth, root and path length by a recursive query: what a root or an orphan leads to."""
+
+    found = walked(event_spans(spark, sf))
+    return found.select("trace_id", "span_id", "depth", "root_id", F.size("path").alias("steps"))
+
+
 def orphans_anti_join(spark, sf):
     spans = event_spans(spark, sf).where("span_id IS NOT NULL")
     ids = spans.select("trace_id", F.col("span_id").alias("parent_span_id"))
@@ -161,6 +169,31 @@ def findings_orders(spark, sf):
     return _plain_findings(_found(spark, sf, order_spans).findings)
 
 
+def added_rule(spark, sf):
+    """Findings of a rule that a caller brings, beside the ones that are there."""
+
+    def find(nodes, summaries, limits):
+        errors = nodes.where("status = 'error'").groupBy("trace_id").agg(F.count("*").alias("count"), F.min("visit_index").alias("first_visit"))
+        none = lambda kind, *names: {n: F.lit(None).cast(kind) for n in names}
+        return errors.where("count > 3").withColumns(
+            {
+                "rule": F.lit("many_errors"),
+                "severity": detect.severity(F.col("count") > 4),
+                "summary": F.concat(F.col("count").cast("string"), F.lit(" steps failed")),
+                "threshold": F.lit(3.0),
+                "total_cost_usd": F.lit(None).cast(COST_DECIMAL),
+                **none("string", "agent_name", "step_type", "name"),
+            }
+        ).select("trace_id", "rule", "severity", "summary", "first_visit", "agent_name", "step_type", "name", "count", "threshold", "total_cost_usd")
+
+    def evidence(findings, nodes):
+        return nodes.where("status = 'error'").join(findings.select("trace_id", "rule", "first_visit", "count"), "trace_id")
+
+    rules = (*detect.RULES, detect.Rule("many_errors", find, evidence))
+    found = score(event_spans(spark, sf), carry=DETECT, rules=rules)
+    return found.findings.select("trace_id", "rule_no", "rule", "severity", "first_visit", F.col("count").cast("long").alias("count"))
+
+
 def failed_tool_calls(spark, sf):
     return detect.failed_tool_calls(event_spans(spark, sf)).select("trace_id", "span_id", "agent_name", "name", "error_message")
 
@@ -791,8 +824,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         span_view, run_summary, run_summary_orders, span_last_copy, contract_violations,
-        tree_nodes, tree_nodes_orders, orphans_anti_join, orphan_list, node_table_rows, node_latest_version,
-        runaway_loops, tool_failures, cost_spikes, findings, findings_orders, failed_tool_calls, top_spans,
+        tree_nodes, tree_nodes_orders, walked_places, orphans_anti_join, orphan_list, node_table_rows, node_latest_version,
+        runaway_loops, tool_failures, cost_spikes, findings, findings_orders, added_rule, failed_tool_calls, top_spans,
         evidence_spans, finding_documents, finding_json, finding_lines, one_shot_score,
         findings_by_severity, critical_findings, findings_over_time, runs_evaluated, cost_histogram,
         last_run_gauges, run_costs_over_time, alarm_levels,
