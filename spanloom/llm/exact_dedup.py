@@ -115,8 +115,9 @@ def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         .agg(F.min("id").alias("least"), F.count("*").alias("all"))
     )
 
-    dealt = keyed.select("id", "text", "row", _range_of(F.col("key"), cuts).alias("range"))
-    sorted_rows = dealt.repartition("range").withColumn("norm", norm)
+    dealt = keyed.select("id", "row", _range_of(F.col("key"), cuts).alias("range"))
+    whole = F.coalesce(F.col("row")[text_column], F.lit(""))
+    sorted_rows = dealt.repartition("range").withColumn("norm", normalised(whole))
     equal = Window.partitionBy("range", "norm")
     by_id = equal.orderBy(F.col("id").asc_nulls_last())
     found = (
