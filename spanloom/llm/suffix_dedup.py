@@ -13,11 +13,15 @@ only with positions whose name occurs again:
    several documents; positions whose name is unique leave here.
 3. Runs that remain are named as a whole and ranked by name: the least document
    of each (run) name is the first to have it, and every other one is a repeat.
-4. Where one 24-byte name has several runs, their windows are named one by one
-   at 50 bytes, past which nothing needs to be told apart, and ranked alike.
+4. Where one 24-byte name has several runs, their windows differ at some offset
+   from it. Each window holds the name with 13 more bytes before or behind it:
+   such halves of a run are ranked first, and windows of a half that no other
+   document has are unique and leave here.
+5. The windows left are named one by one at 50 bytes, past which nothing needs
+   to be told apart, and ranked alike.
 
-Names of a run or window are joined with the 24-byte name (48 bits), so about
-112 bits must agree by chance for a wrong match.
+Names of a run, half or window are joined with the 24-byte name (48 bits), so
+about 112 bits must agree by chance for a wrong match; a run has 76 bytes at most.
 
 Hot passages stay cheap: a task sends each name once, flagged if several of its
 documents have it, and ranks are minima with map-side aggregation. Texts are
@@ -40,6 +44,7 @@ from spanloom.session import Workspace
 
 LENGTH = 50
 NAME = 24  # bytes of the names that are ranked first
+MORE = (LENGTH - NAME) // 2  # bytes before or behind a name in a half
 CHUNK = 1 << 20  # bytes of text handled at once: a task's arrays take about a hundred times that
 SENT = 2 << 20  # the same where a chunk's names are sent; a larger one sends fewer names twice
 BUCKET = 8 << 20  # bytes of text a group of names stands for
@@ -229,21 +234,73 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c) for c in columns], names=["name", "run", "doc"])
 
 
+def _asked(part: pa.RecordBatch, texts: list[bytes], column: int) -> tuple:
+    """spans, and the runs that the document is asked for: text, first and last window, name, place of the name."""
+
+    data, _, owner, first, last, name = runs(texts)
+    spans = Spans(data)
+    keep = _among(spans.names(first, last + LENGTH, name), owner, *_flat(part.column(column)))
+    owner, first, last, name = (x[keep] for x in (owner, first, last, name))
+    each = _names(data) >> _SHORT if len(first) else None
+    # The name begins where the run ends, or behind it if a smaller one or the text's end cut the run.
+    place, open_ = last.copy(), np.arange(len(first))
+    for _ in range(LENGTH - NAME + 1):
+        open_ = open_[each[place[open_]] != name[open_]] if len(open_) else open_
+        place[open_] += 1
+    return spans, owner, first, last, name, place
+
+
+def _halves_of(spans: Spans, first: np.ndarray, last: np.ndarray, name: np.ndarray, place: np.ndarray) -> tuple:
+    """Names of the halves of each run, with the name at their end and start, and whether a window holds them.
+
+    Windows from ``place - MORE`` on hold the latter, earlier ones the former.
+    """
+
+    before, behind = first < place - MORE, last >= place - MORE
+    # Halves that no window holds may leave the text; they get a place inside, and no use.
+    a, b = np.where(before, place - MORE, place), np.where(behind, place + NAME + MORE, place + NAME)
+    former = spans.names(a, place + NAME, name + np.uint64(1 << 48))
+    return former, spans.names(place, b, name), before, behind
+
+
+def _once(part: pa.RecordBatch, key: np.ndarray, owner: np.ndarray, column: str) -> pa.RecordBatch:
+    """(key, doc), each once a text."""
+
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    columns = [key[new].view(np.int64), part.column(0).to_numpy()[owner[new]]]
+    return pa.record_batch([pa.array(c) for c in columns], names=[column, "doc"])
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(half, doc) of the halves of the runs that the document is asked for, each once a text."""
+
+    for part, texts in _parts(batches, "text"):
+        spans, owner, *run = _asked(part, texts, 2)
+        former, latter, before, behind = _halves_of(spans, *run)
+        half, owner = np.append(former[before], latter[behind]), np.append(owner[before], owner[behind])
+        yield _once(part, half, owner, "half")
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, window, doc) of all windows of the runs that the document is asked for."""
+    """(window, doc) of the windows in shared halves of the runs that the document is asked for, each once a text."""
 
     for part, texts in _parts(batches, "text"):
-        data, _, owner, first, last, name = runs(texts)
-        spans = Spans(data)
-        keep = _among(spans.names(first, last + LENGTH, name), owner, *_flat(part.column(2)))
-        owner, first, last, name = (x[keep] for x in (owner, first, last, name))
+        spans, owner, first, last, name, place = _asked(part, texts, 2)
+        former, latter, before, behind = _halves_of(spans, first, last, name, place)
+        shared = _flat(part.column(3))
+        before &= _among(former, owner, *shared)
+        behind &= _among(latter, owner, *shared)
+        middle = place - MORE
+        first, last = np.where(before, first, np.maximum(first, middle)), np.where(behind, last, np.minimum(last, middle - 1))
+        some = before | behind
+        first, last, owner, name = (x[some] for x in (first, last, owner, name))
         count = last - first + 1
         at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else first
         name, owner = np.repeat(name, count), np.repeat(owner, count)
-        window = spans.names(at, at + LENGTH, name)
-        yield pa.record_batch(
-            [pa.array(window.view(np.int64)), pa.array(part.column(0).to_numpy()[owner])], names=["window", "doc"]
-        )
+        yield _once(part, spans.names(at, at + LENGTH, name), owner, "window")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,6 +348,13 @@ def _listed(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("doc").agg(F.collect_list(column).alias(column))
 
 
+def _several(rows: DataFrame, column: str) -> DataFrame:
+    """The names that several documents have, with the least of these."""
+
+    found = rows.groupBy(column).agg(F.min("doc").alias("least"), F.max("doc").alias("greatest"))
+    return found.where("greatest > least").select(column, "least")
+
+
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", work: Workspace | None = None) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, kept_sha256) for each row.
 
@@ -324,10 +388,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     firsts = work.keep(ranked.groupBy("name", "run").agg(F.min("doc").alias("doc")), "runs")
     several = firsts.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     asked = _listed(firsts.join(several, "name").select("doc", "run"), "run")
-    windows = stored.select("doc", "text").join(asked, "doc").select("doc", "text", "run")
-    named = work.keep(windows.mapInArrow(_windows, "window long, doc long").distinct(), "windows")
-    least = named.groupBy("window").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
-    later = named.join(least, "window").where("doc > least").select("doc", "window")
+    texts = stored.select("doc", "text").join(work.keep(asked, "asked"), "doc").select("doc", "text", "run")
+    halves = work.keep(texts.mapInArrow(_halves, "half long, doc long"), "halves")
+    shared = _listed(halves.join(_several(halves, "half"), "half").select("doc", "half"), "half")
+    windows = texts.join(shared, "doc").select("doc", "text", "run", "half")
+    named = work.keep(windows.mapInArrow(_windows, "window long, doc long"), "windows")
+    later = named.join(_several(named, "window"), "window").where("doc > least").select("doc", "window")
 
     whole = (
         stored.join(names, "doc", "left")

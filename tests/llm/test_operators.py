@@ -143,6 +143,21 @@ def test_repeated_passages(docs_of, odd_texts):
     assert found_repeats(docs_of([])) == []
 
 
+def test_repeated_passages_that_share_one_side(docs_of):
+    """Parts of one passage, cut anywhere around every name in it: many runs and halves of a name, few windows."""
+
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefg") for _ in range(n))
+    whole = letters(90)
+    rows = []
+    for i in range(400):
+        a = rng.randrange(60)
+        rows.append((i, letters(rng.randrange(30)) + whole[a : a + rng.randrange(24, 64)] + letters(rng.randrange(30))))
+    got = found_repeats(docs_of(rows))
+    assert got == removed(rows)
+    assert 50 < sum(n > 0 for _, _, n, _, _ in got) < 350
+
+
 def test_repeated_passages_of_sample(sample):
     rows = [(r.doc_id, r.text) for r in sample.collect()]
     assert found_repeats(sample) == removed(rows)
