@@ -21,8 +21,13 @@ def findings_by_severity(findings: DataFrame, rules=RULE_NAMES) -> DataFrame:
     show with the severities they have.
     """
 
-    spark = findings.sparkSession
-    counted = findings.groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    return on_grid(findings.groupBy("rule", "severity").agg(F.count("*").alias("n")), rules)
+
+
+def on_grid(counted: DataFrame, rules=RULE_NAMES) -> DataFrame:
+    """``rule, severity, n`` with the rows of ``rules`` that have none as 0."""
+
+    spark = counted.sparkSession
     # The grid has one row per rule and severity, whatever the data.
     names = [getattr(r, "name", r) for r in rules]
     grid = spark.createDataFrame([(r, s) for r in names for s in SEVERITIES], "rule string, severity string")
@@ -45,12 +50,18 @@ def cost_histogram(summaries: DataFrame) -> DataFrame:
     total = F.col("total_cost_usd")
     counts = [F.count_if(total <= F.lit(b).cast(COST_DECIMAL)).alias(f"b{i}") for i, b in enumerate(COST_BOUNDS)]
     totals = summaries.agg(*counts, F.count("*").alias("n"), F.sum(total).alias("s"))
-    buckets = [
+    return buckets(totals)
+
+
+def buckets(totals: DataFrame) -> DataFrame:
+    """One row of cumulative counts ``b0..``, count ``n`` and sum ``s`` as a row per bucket."""
+
+    shown = [
         F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("runs")) for i, b in enumerate(COST_BOUNDS)
     ]
-    buckets.append(F.struct(F.lit("+Inf").alias("le"), F.col("n").alias("runs")))
+    shown.append(F.struct(F.lit("+Inf").alias("le"), F.col("n").alias("runs")))
     return totals.select(
-        F.inline(F.array(*buckets)), F.col("n").alias("run_count"), F.col("s").cast("double").alias("cost_sum")
+        F.inline(F.array(*shown)), F.col("n").alias("run_count"), F.col("s").cast("double").alias("cost_sum")
     )
 
 
@@ -92,6 +103,12 @@ def findings_over_time(findings: DataFrame, seen: DataFrame, every: str = "1 day
     dated = timed.where("last_start IS NOT NULL").select("rule", step.alias("interval_start"))
     undated = timed.where("last_start IS NULL").select("rule", F.col("last_start").alias("interval_start"))
     counted = dated.unionByName(undated).groupBy("rule", "interval_start").agg(F.count("*").alias("findings"))
+    return running_findings(counted)
+
+
+def running_findings(counted: DataFrame) -> DataFrame:
+    """``rule, interval_start, findings`` with ``findings_total``, the sum up to the interval."""
+
     upto = Window.partitionBy("rule").orderBy("interval_start").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -411,6 +411,28 @@ ORACLES = {
         FROM (SELECT * FROM summaries WHERE trace_id IN (SELECT trace_id FROM settled))
         CROSS JOIN (VALUES ('0.01', 0.01), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0),
           ('2.0', 2.0), ('5.0', 5.0), ('10.0', 10.0), ('+Inf', 1e12)) b(le, bound) GROUP BY le""", E, S, _SETTLED),
+    "kept_findings_by_severity": _sql(
+        """SELECT r.rule, s.severity, count(f.trace_id) AS findings
+        FROM (VALUES ('runaway_loop'), ('repeated_tool_failure'), ('cost_spike')) r(rule) CROSS JOIN (VALUES ('warning'), ('critical')) s(severity)
+        LEFT JOIN (SELECT * FROM found WHERE trace_id IN (SELECT trace_id FROM settled)) f ON f.rule = r.rule AND f.severity = s.severity
+        GROUP BY r.rule, s.severity""", E, N, S, F, _SETTLED),
+    "kept_findings_over_time": _sql(
+        f"""SELECT rule, {_when('day', 'interval_start')}, findings, CAST(sum(findings) OVER (PARTITION BY rule ORDER BY day NULLS FIRST) AS BIGINT) AS findings_total
+        FROM (SELECT rule, date_trunc('day', last_start)::TIMESTAMP AS day, count(*) AS findings FROM found JOIN settled USING (trace_id)
+              LEFT JOIN starts USING (trace_id) GROUP BY ALL)""", E, N, S, F, _STARTS, _SETTLED),
+    "kept_cost_histogram": _sql(
+        """SELECT le, count(*) FILTER (total_cost <= bound) AS runs, count(*) AS run_count, round(CAST(sum(total_cost) AS DOUBLE), 6) AS cost_sum
+        FROM (SELECT * FROM summaries WHERE trace_id IN (SELECT trace_id FROM settled))
+        CROSS JOIN (VALUES ('0.01', 0.01), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0),
+          ('2.0', 2.0), ('5.0', 5.0), ('10.0', 10.0), ('+Inf', 1e12)) b(le, bound) GROUP BY le""", E, S, _SETTLED),
+    "kept_gauges": _sql(
+        """SELECT trace_id, CAST(total_cost AS DOUBLE) AS last_run_cost_usd,
+          coalesce((SELECT max("count") FROM found f WHERE f.rule_no = 1 AND f.trace_id = s.trace_id), 0) AS last_run_loops,
+          coalesce((SELECT max("count") FROM found f WHERE f.rule_no = 2 AND f.trace_id = s.trace_id), 0) AS last_run_tool_failures,
+          (SELECT count(*) FILTER (severity = 'critical') FROM found JOIN settled USING (trace_id)) AS critical_findings,
+          (SELECT count(*) FROM settled) AS runs_evaluated
+        FROM summaries s WHERE trace_id IN (SELECT trace_id FROM starts JOIN settled USING (trace_id) ORDER BY last_start DESC NULLS LAST, trace_id DESC LIMIT 1)""",
+        E, N, S, F, _STARTS, _SETTLED),
     "conversation_costs": _sql("SELECT trace_id, span_id, base_model, tokens_in, tokens_out, cost_usd FROM spans", C),
     "conversation_summary": _sql(f"SELECT {_SUMMARY_ROW} FROM summaries", C, S),
     "redacted_documents": f"""SELECT doc_id, sha256(CASE WHEN hit THEN '[REDACTED]' ELSE text END) AS text_hash, hit AS blanked

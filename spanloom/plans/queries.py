@@ -24,6 +24,7 @@ from spanloom.session import Workspace
 from spanloom.sources import exports, messages, tables
 from spanloom.sources.tables import read_nodes, write_nodes
 from spanloom.sources.views import conversation_spans, event_spans, order_spans
+from spanloom.streaming.counters import Counters
 from spanloom.streaming.ingest import start_ingest, without_repeats
 from spanloom.streaming.timers import scored_runs, start_timed_watch
 from spanloom.streaming.watch import ignore_existing, late_spans, read_scored, settled_runs, start_watch, unscored
@@ -609,12 +610,13 @@ def settled_sessions(spark, sf):
     return _show_times(settled_runs(event_spans(spark, sf), "20 minutes"))
 
 
-def _watch(spark, work, spans, arrivals):
+def _watch(spark, work, spans, arrivals, counter_path=None):
     """Drain a watch over ``arrivals``; the workspace then holds what it stored."""
 
     query = start_watch(
         arrivals, lambda since, until: spans, f"{work.root}/scored", f"{work.root}/nodes", f"{work.root}/found",
         f"{work.root}/check", quiet="20 minutes", once=True, summary_path=f"{work.root}/summaries",
+        counter_path=counter_path,
     )
     query.awaitTermination()
     if query.exception() is not None:
@@ -635,7 +637,7 @@ def stream_watch(spark, sf):
     return _watched_findings(spark, work)
 
 
-def _watched_in_batches(spark, sf):
+def _watched_in_batches(spark, sf, counted=False):
     """A watch over three files; later ones bring older arrivals too."""
 
     work = Workspace(spark, "watch")
@@ -644,7 +646,8 @@ def _watched_in_batches(spark, sf):
         part = spans.where(F.col("seq") % 3 == k).select("trace_id", "start_time", "ingested_at")
         part.coalesce(1).write.mode("append").parquet(f"{work.root}/arrivals")
     stream = spark.readStream.schema("trace_id string, start_time timestamp, ingested_at timestamp")
-    _watch(spark, work, spans, stream.option("maxFilesPerTrigger", 1).parquet(f"{work.root}/arrivals"))
+    stream = stream.option("maxFilesPerTrigger", 1).parquet(f"{work.root}/arrivals")
+    _watch(spark, work, spans, stream, f"{work.root}/counters" if counted else None)
     return work
 
 
@@ -662,6 +665,32 @@ def stored_run_costs(spark, sf):
     return metrics.cost_histogram(stored).withColumn("cost_sum", F.round("cost_sum", 6))
 
 
+def _counters(spark, sf):
+    return Counters(spark, f"{_watched_in_batches(spark, sf, counted=True).root}/counters")
+
+
+def kept_findings_by_severity(spark, sf):
+    """Findings per rule and severity, folded by the watch over three batches."""
+
+    return _counters(spark, sf).findings_by_severity()
+
+
+def kept_findings_over_time(spark, sf):
+    return _show_times(_counters(spark, sf).findings_over_time())
+
+
+def kept_cost_histogram(spark, sf):
+    return _counters(spark, sf).cost_histogram().withColumn("cost_sum", F.round("cost_sum", 6))
+
+
+def kept_gauges(spark, sf):
+    """The gauges of the newest settled run, with both totals, from the folded table."""
+
+    kept = _counters(spark, sf)
+    # One row each.
+    return kept.last_run_gauges().crossJoin(kept.critical_findings()).crossJoin(kept.runs_evaluated())
+
+
 def watch_timers(spark, sf):
     """Findings of all runs, each scored once when its own timer fired, over three files of arrivals."""
 
@@ -834,6 +863,7 @@ QUERIES = {
         arrivals, handoff_edges, tool_usage, stamped_handoffs, stamped_tool_calls,
         ingest_good, ingest_quarantine, stream_ingest, stream_quarantine, store_versions, stream_without_repeats, topic_messages, span_table_by_day, newest_run_spans,
         new_minus_scored, late_after_score, settled_sessions, stream_watch, stream_watch_batches, stored_run_costs,
+        kept_findings_by_severity, kept_findings_over_time, kept_cost_histogram, kept_gauges,
         watch_timers, watch_ignoring_existing, node_table_snapshots,
         conversation_costs, conversation_summary,
         redacted_documents, redacted_messages, sensitive_keys, redacted_map, redacted_nested_json, redacted_hard_json,

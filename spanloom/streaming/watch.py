@@ -24,9 +24,11 @@ from pyspark.sql.streaming import StreamingQuery
 from spanloom.config import Thresholds
 from spanloom.operators.detect import RULES, Rule
 from spanloom.operators.skew import fits_broadcast, keep_or_drop_keys
+from spanloom.operators.summary import last_starts
 from spanloom.plans.scoring import Scored, publish, score
 from spanloom.session import Workspace
 from spanloom.sources.tables import ensure_node_table
+from spanloom.streaming.counters import Counters
 
 QUIET = "3 seconds"
 SCORED_SCHEMA = "trace_id string, scored_at timestamp, batch long"
@@ -174,6 +176,7 @@ def start_watch(
     once: bool = False,
     rules: tuple[Rule, ...] = RULES,
     summary_path: str | None = None,
+    counter_path: str | None = None,
 ) -> StreamingQuery:
     """Score settled runs batch by batch, all runs of a batch in one plan.
 
@@ -182,7 +185,8 @@ def start_watch(
     gives the span table as it is now, between two days if they are not None, and
     spans without a start whatever the days.
     Summaries are stored at ``summary_path`` by batch, replaced on a retry, so
-    that counters and histograms need not go back to spans. ``on_scored``
+    that counters and histograms need not go back to spans; at ``counter_path``
+    counters are folded batch by batch (``streaming/counters``). ``on_scored``
     receives each batch's results.
     """
 
@@ -203,6 +207,8 @@ def start_watch(
         try:
             scored = score(spans, limits, rules=rules, work=work)
             publish(scored, node_path, finding_path, batch_id, rules, summary_path, stream="watch")
+            if counter_path is not None:
+                Counters(spark, counter_path).fold(scored, last_starts(spans), "watch", batch_id)
             if on_scored is not None:
                 on_scored(scored, batch_id)
         finally:
