@@ -23,6 +23,15 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix for helper columns that no input column begins with."""
+
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def seeded(rows: DataFrame, count: int, seed: int) -> DataFrame:
     """At most ``count`` of ``rows``, the first in the order of a seeded hash of all columns.
 

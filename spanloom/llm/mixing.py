@@ -13,7 +13,7 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanloom.llm.common import WORD, text_or_empty
+from spanloom.llm.common import WORD, free_prefix, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # 150 % of all words, as a fraction
@@ -126,12 +126,13 @@ def mix(
     """
 
     ours = ("sources", "size", "source_size", "target", "copies", "taken")
-    kept = [c for c in docs.columns if c not in ours]
+    kept = [c for c in docs.columns if c.lower() not in ours]
+    own = free_prefix(docs.columns)
     given = F.when(F.size(F.coalesce(membership, F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(membership)
     text = text_or_empty(text_column)
-    sized = docs.withColumn("_s", F.array_sort(F.array_distinct(given))).withColumn("_n", words_in(text)).drop(*ours)
-    found = sized.groupBy("_s").agg(F.sum("_n").alias("words"), F.count("*").alias("rows")).collect()
-    patterns = {tuple(r._s): r.words for r in found}
+    sized = docs.withColumn(f"{own}s", F.array_sort(F.array_distinct(given))).withColumn(f"{own}n", words_in(text)).drop(*ours)
+    found = sized.groupBy(f"{own}s").agg(F.sum(f"{own}n").alias("words"), F.count("*").alias("rows")).collect()
+    patterns = {tuple(r[0]): r.words for r in found}
     rows = sum(r.rows for r in found)
 
     names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s.encode() if s is not None else b""))
@@ -146,29 +147,29 @@ def mix(
         whole = min(most, int(takes // words)) if words else 0
         plan.append((list(p), sum(sizes[s] for s in p), sum(wanted[s] for s in p), whole, takes - whole * words))
     spark = docs.sparkSession
-    shares = spark.createDataFrame(plan, "_s array<string>, source_size long, target double, _whole int, _rest double")
+    shares = spark.createDataFrame(plan, f"{own}s array<string>, source_size long, target double, {own}whole int, {own}rest double")
 
     # Running sums in the seeded order: bins of the hash, then rows within a bin.
     bits = min(4 * _HEX, max(0, (rows // ROWS_A_BIN).bit_length()))
     order = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))), "utf-8"))
-    bin_of = F.shiftright(F.conv(F.substring("_o", 1, _HEX), 16, 10).cast("long"), 4 * _HEX - bits)
+    bin_of = F.shiftright(F.conv(F.substring(f"{own}o", 1, _HEX), 16, 10).cast("long"), 4 * _HEX - bits)
     # The pattern's place in the plan stands for the array: a smaller key.
-    slim = F.array_position(F.array(*[_names(p) for p, *_ in plan]), F.col("_s")) if plan else F.lit(0)
-    placed = sized.withColumn("_p", slim).withColumn("_o", order).withColumn("_bin", bin_of)
-    bins = placed.groupBy("_p", "_bin").agg(F.sum("_n").alias("_sum"))
-    before = Window.partitionBy("_p").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("_p", "_bin", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    slim = F.array_position(F.array(*[_names(p) for p, *_ in plan]), F.col(f"{own}s")) if plan else F.lit(0)
+    placed = sized.withColumn(f"{own}p", slim).withColumn(f"{own}o", order).withColumn(f"{own}bin", bin_of)
+    bins = placed.groupBy(f"{own}p", f"{own}bin").agg(F.sum(f"{own}n").alias(f"{own}sum"))
+    before = Window.partitionBy(f"{own}p").orderBy(f"{own}bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(f"{own}p", f"{own}bin", F.coalesce(F.sum(f"{own}sum").over(before), F.lit(0)).alias(f"{own}before"))
     tie = F.xxhash64(text)
-    inside = Window.partitionBy("_p", "_bin").orderBy("_o", id_column, "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("_tie", tie).withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    once_more = 2 * (F.col("_before") + F.col("_in")) + F.col("_n") <= 2 * F.col("_rest")
-    copies = F.when(F.col("_n") == 0, 0).otherwise(F.least(F.col("_whole") + once_more.cast("int"), F.lit(most)))
-    numbered = shares.withColumn("_p", slim).drop("_s")
+    inside = Window.partitionBy(f"{own}p", f"{own}bin").orderBy(f"{own}o", id_column, f"{own}tie").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn(f"{own}tie", tie).withColumn(f"{own}in", F.coalesce(F.sum(f"{own}n").over(inside), F.lit(0)))
+    once_more = 2 * (F.col(f"{own}before") + F.col(f"{own}in")) + F.col(f"{own}n") <= 2 * F.col(f"{own}rest")
+    copies = F.when(F.col(f"{own}n") == 0, 0).otherwise(F.least(F.col(f"{own}whole") + once_more.cast("int"), F.lit(most)))
+    numbered = shares.withColumn(f"{own}p", slim).drop(f"{own}s")
     return (
-        summed.join(bins, ["_p", "_bin"])
-        .join(F.broadcast(numbered), "_p")
+        summed.join(bins, [f"{own}p", f"{own}bin"])
+        .join(F.broadcast(numbered), f"{own}p")
         .withColumn("copies", copies)
-        .select(*kept, F.col("_s").alias("sources"), F.col("_n").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_n")).alias("taken"))
+        .select(*kept, F.col(f"{own}s").alias("sources"), F.col(f"{own}n").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col(f"{own}n")).alias("taken"))
     )
 
 
@@ -179,4 +180,5 @@ def _names(pattern: list) -> Column:
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row of the mix as often as it is taken, with ``columns`` only."""
 
-    return mixed.where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    again = free_prefix(mixed.columns) + "c"
+    return mixed.where("copies > 0").withColumn(again, F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)

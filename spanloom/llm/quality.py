@@ -2,14 +2,16 @@
 
 The classifier is a logistic regression on hashed words and hashed character
 n-grams, fitted on a bounded sample of labelled rows and calibrated on rows it
-was not fitted on. Texts are scored in Arrow batches with vectorised hashing:
-no loop over words.
+was not fitted on. Texts are scored in Arrow batches with vectorised hashing;
+only lines and windows whose hash occurs twice in a text are looked at singly.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ MIN_WORDS = 10
 WINDOW = 5  # words
 MAX_REPEATED = (20, 100)  # repeated words, as a share of all words
 SYMBOLS = b"#*$%&|<>"
+_LONG = 64  # bytes; of longer lines and windows a digest is compared
 
 _random = np.random.default_rng(SEED)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -91,17 +94,20 @@ class Parsed:
         return _mix((self._prefix[end] - self._prefix[begin]) * self._back[begin] + length)
 
 
-def _again(keys: np.ndarray, every: bool) -> np.ndarray:
-    """Which keys occur before (or, for ``every``, anywhere else too)."""
+def _again(keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that occur more than once, in order."""
 
     order = np.argsort(keys, kind="stable")
     held = keys[order]
     same = held[1:] == held[:-1]
     out = np.zeros(len(keys), bool)
     out[order[1:]] = same
-    if every:
-        out[order[:-1]] |= same
-    return out
+    out[order[:-1]] |= same
+    return np.flatnonzero(out)
+
+
+def _short(key: bytes) -> bytes:
+    return key if len(key) <= _LONG else blake2b(key, digest_size=16).digest()
 
 
 def counts(texts: list[bytes], parsed: Parsed | None = None) -> dict[str, np.ndarray]:
@@ -119,7 +125,14 @@ def counts(texts: list[bytes], parsed: Parsed | None = None) -> dict[str, np.nda
     line_from, feeds = line_from[has_word], feeds[has_word]
     line_text = np.searchsorted(at, line_from, "right") - 1
     salt = _mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE)
-    doubled = _again(p.spans(line_from, feeds) ^ salt[line_text], every=False)
+    # Hashes only choose what is compared: equal ones can belong to different lines.
+    raw = p.data.tobytes()
+    seen, doubled = set(), []
+    for i in _again(p.spans(line_from, feeds) ^ salt[line_text]).tolist():
+        line = int(line_text[i]), _short(raw[line_from[i] : feeds[i]])
+        if line in seen:
+            doubled.append(i)
+        seen.add(line)
 
     repeated = np.zeros(n, np.int64)
     m = len(p.word_hash) - WINDOW + 1
@@ -128,7 +141,13 @@ def counts(texts: list[bytes], parsed: Parsed | None = None) -> dict[str, np.nda
         for k in range(WINDOW):
             key += p.word_hash[k : k + m] * _ODDS[k]
         inside = np.flatnonzero(p.word_text[:m] == p.word_text[WINDOW - 1 :])
-        twice = inside[_again(_mix(key[inside]), every=True)]
+        maybe = inside[_again(_mix(key[inside]))]
+        ends = p.word_to[maybe + WINDOW - 1].tolist()
+        # bytes.split knows the same white space as the contract.
+        held = [_short(b" ".join(raw[b:e].split())) for b, e in zip(p.word_from[maybe].tolist(), ends)]
+        held = list(zip(p.word_text[maybe].tolist(), held))
+        times = Counter(held)
+        twice = maybe[np.array([times[x] > 1 for x in held], bool)]
         covered = np.zeros(len(p.word_hash) + 1, np.int64)
         np.add.at(covered, twice, 1)
         np.add.at(covered, twice + WINDOW, -1)
@@ -137,7 +156,7 @@ def counts(texts: list[bytes], parsed: Parsed | None = None) -> dict[str, np.nda
         "n_words": words,
         "word_chars": _sums(chars, at[:-1], at[1:]),
         "n_symbols": _sums(symbols, at[:-1], at[1:]),
-        "n_dup_lines": np.bincount(line_text[doubled], minlength=n),
+        "n_dup_lines": np.bincount(line_text[np.array(doubled, np.int64)], minlength=n),
         "n_repeat_words": repeated,
     }
 
@@ -287,8 +306,10 @@ def judge(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
     A text fails the base rules with fewer than ``MIN_WORDS`` words or too many
     words in repeated windows; else it is kept if its probability of good
-    quality is at least ``threshold``. A null text has no words. Repeated rows
-    come back each; null ids stay null; other columns play no part.
+    quality is at least ``threshold``. A null text has no words. A long text is
+    read whole, alone in its chunk. Repeated rows come back each; null ids stay
+    null; other columns, whatever their names, play no part. An empty table
+    gives an empty result.
     """
 
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 * BUCKETS weights

@@ -3,7 +3,7 @@
 Two first-order models of characters, one of random strings and one of ordinary
 identifiers, are counted by Spark from labelled samples: the values that the
 fixed forms find, and the other words of the same bounded set of documents. A
-long unbroken token is a secret if the log-likelihood ratio of the two models
+unbroken token of 16 or more characters is a secret if the log-likelihood ratio of the two models
 over its characters reaches a fixed value.
 
 Everything is a DataFrame or SQL function; no Python runs on the executors. The
@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanloom.llm.common import seeded, text_or_empty
+from spanloom.llm.common import free_prefix, seeded, text_or_empty
 from spanloom.operators.skew import let
 
 # Documents to learn from, at most so many with a fixed form and so many others.
@@ -31,10 +31,9 @@ FORMS = (
 # The same spans as "hex" where a run is long enough, found without the many short runs.
 _LONG_HEX = r"([0-9a-f]{24,})"
 RANDOM = "random"
-TOKEN = r"([A-Za-z0-9+/_=-]{20,})"
+TOKEN = r"([A-Za-z0-9+/_=-]{16,})"
 ORDINARY = r"[A-Za-z0-9+/_=-]{4,}"
-LONGEST_ORDINARY = 20
-LEAST_VALUE = 16  # characters of a value that counts as random
+LEAST_VALUE = 16  # characters of a value that counts as random, and of a token that is judged
 LEAST_RATIO = 8.0  # natural logarithm
 PRIOR = 4.0  # weight of a character's overall share in its pairs' shares
 _BLOCK = 256
@@ -85,15 +84,16 @@ def _places(pattern: str, group: int) -> str:
 def base_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with ``t`` (its text, null: empty) and ``base``: (s, k, e, kind, v) by place, then form."""
 
+    own = free_prefix(docs.columns)
     out = docs.withColumn("t", text_or_empty(text_column))
     parts = []
     for k, (kind, pattern, group, least) in enumerate(FORMS):
-        out = out.withColumn(f"_{kind}", F.expr(_places(_LONG_HEX if kind == "hex" else pattern, group)))
+        out = out.withColumn(f"{own}{kind}", F.expr(_places(_LONG_HEX if kind == "hex" else pattern, group)))
         parts.append(
-            f"transform(filter(_{kind}, x -> length(x.v) >= {least}), "
+            f"transform(filter({own}{kind}, x -> length(x.v) >= {least}), "
             f"x -> struct(x.s as s, {k} as k, x.e as e, '{kind}' as kind, x.v as v))"
         )
-    return out.withColumn("base", F.expr(f"array_sort(concat({', '.join(parts)}))")).drop(*[f"_{kind}" for kind, *_ in FORMS])
+    return out.withColumn("base", F.expr(f"array_sort(concat({', '.join(parts)}))")).drop(*[f"{own}{kind}" for kind, *_ in FORMS])
 
 
 def _samples(docs: DataFrame, id_column: str, text_column: str, rows: int) -> DataFrame:
@@ -107,7 +107,7 @@ def _samples(docs: DataFrame, id_column: str, text_column: str, rows: int) -> Da
     values = found.select(F.explode("base.v").alias("v")).distinct().where(F.length("v") >= LEAST_VALUE)
     tokens = found.select(F.explode(F.expr(f"regexp_extract_all(t, {_quoted(ORDINARY)}, 0)")).alias("v"))
     # A token long enough to be judged is not its own example of an ordinary one.
-    tokens = tokens.where(F.length("v") < LONGEST_ORDINARY)
+    tokens = tokens.where(F.length("v") < LEAST_VALUE)
     others = tokens.distinct().join(values, "v", "left_anti")
     return values.select(F.lit(1).alias("label"), "v").unionByName(others.select(F.lit(0).alias("label"), "v"))
 
@@ -138,29 +138,40 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def find(docs: DataFrame, ratios: list[float], text_column: str = "text", least: float = LEAST_RATIO) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (s, k, e, kind, v), by place and kind.
 
-    ``spans`` holds all of ``base`` and the tokens that the models call random,
-    as far as these overlap no base span. A null or empty text has none. Every
-    input row comes back, repeated ones too; input columns named t, base or
-    spans are replaced. An empty table gives an empty result.
+    ``spans`` holds all of ``base`` and the tokens that the models call random.
+    Base spans cut a token into parts, which are judged one by one. A null or
+    empty text has no spans. Every input row comes back, repeated ones too; input columns
+    named t, base or spans are replaced. An empty table gives an empty result.
     """
 
+    own = free_prefix(docs.columns)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    found = base_spans(docs, text_column).withColumn("_tokens", F.expr(_places(TOKEN, 1)))
+    found = base_spans(docs, text_column).withColumn(f"{own}tokens", F.expr(_places(TOKEN, 1)))
 
     def ratio(token: Column) -> Column:
         codes = F.transform(F.split(token["v"], ""), F.ascii)
         pairs = F.zip_with(F.concat(F.array(F.lit(0)), codes), codes, lambda a, b: F.when(b.isNotNull(), F.get(table, 128 * a + b)))
         return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
-    random = F.filter(F.col("_tokens"), lambda x: ratio(x) >= least)
-    shaped = F.transform(
-        random,
+    cut = f"{own}tokens"
+    for k in range(len(FORMS)):
+        cut = _outside(cut, k)
+    found = found.withColumn(f"{own}parts", F.expr(f"if(size({own}tokens) > 0 and size(base) > 0, {cut}, {own}tokens)"))
+    random = F.transform(
+        F.filter(f"{own}parts", lambda x: ratio(x) >= least),
         lambda x: F.struct(x["s"].alias("s"), F.lit(len(FORMS)).alias("k"), x["e"].alias("e"), F.lit(RANDOM).alias("kind"), x["v"].alias("v")),
     )
-    found = found.withColumn("_random", F.when(F.size("_tokens") > 0, shaped).otherwise(F.array().cast(_KIND)))
-    free = F.expr("filter(_random, x -> not exists(base, b -> b.s < x.e and x.s < b.e))")
-    return found.withColumn("spans", F.array_sort(F.concat("base", free))).drop("_tokens", "_random", "t")
+    extra = F.when(F.size(f"{own}parts") > 0, random).otherwise(F.array().cast(_KIND))
+    return found.withColumn("spans", F.array_sort(F.concat("base", extra))).drop(f"{own}tokens", f"{own}parts", "t")
 
 
-_KIND = "array<struct<s:int,k:int,e:int,kind:string,v:string>>"
+def _outside(parts: str, k: int) -> str:
+    """SQL: what the base spans of form ``k``, which never overlap each other, leave of ``parts``."""
+
+    start, end = "if(i = 0, x.s, hit[i - 1].e)", "if(i = size(hit), x.e, hit[i].s)"
+    piece = f"struct({start} as s, {end} as e, substring(x.v, {start} - x.s + 1, {end} - {start}) as v)"
+    between = let("hit", f"filter(base, b -> b.k = {k} and b.s < x.e and x.s < b.e)", f"transform(sequence(0, size(hit)), i -> {piece})")
+    return f"filter(flatten(transform({parts}, x -> {between})), x -> x.s < x.e)"
 
+
+_KIND = "array<struct<s:int,k:int,e:int,kind:string,v:string>>"

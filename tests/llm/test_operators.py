@@ -223,8 +223,12 @@ def test_kernel_by_definition():
 def test_mixing(docs_of, odd_texts):
     texts = [t for t in odd_texts] + ["one two three"] * 40
     rows = [(i, t, [None, "b", "a", "Z"][i % 4]) for i, t in enumerate(texts)]
-    docs = docs_of(rows, "size", "target")
-    got = mixing.mix(docs, F.array("source")).collect()
+    docs = docs_of(rows, "size", "target", "_s", "_n", "_p", "_in", "_before", "_rest", "_c", "__sum", "Copies")
+    mixed = mixing.mix(docs, F.array("source"))
+    got = mixed.collect()
+    assert all(r[c] == "x" for r in got for c in ("_s", "_n", "_p", "_in", "_before", "_rest", "_c", "__sum"))
+    again = mixing.repeat(mixed, ["doc_id", "_c"]).collect()
+    assert Counter(r.doc_id for r in again) == +Counter({r.doc_id: r.copies for r in got}) and {r._c for r in again} == {"x"}
     size = {i: len(WORDS.findall(t or "")) for i, t, _ in rows}
     assert len(got) == len(rows)
     total, taken, goal, largest = Counter(), Counter(), {}, Counter()
@@ -466,6 +470,11 @@ def test_quality(spark, docs_of, odd_texts, sample):
     found = quality.counts([t.encode() for t in texts])
     for i, text in enumerate(texts):
         assert tuple(int(found[c][i]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == literal_counts(text)
+    # Lines and words that are alike to a polynomial modulo 2^64.
+    turn = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    other = turn.translate(str.maketrans("ab", "ba"))
+    for text in (f"{turn}\n{other}\n{turn}", f"a b c d {turn} a b c d {other}", f"{turn} b c d e\t{turn}  b c d e"):
+        assert [int(v[0]) for v in quality.counts([text.encode()]).values()] == list(literal_counts(text))
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     learn, held = labels.where("doc_id % 3 > 0"), labels.where("doc_id % 3 = 0")
@@ -506,7 +515,9 @@ def test_secrets(docs_of, odd_texts):
     token = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
     texts = list(odd_texts) + [f"é line {i} api_key = '{token(30)}' and some ordinary words follow" for i in range(40)]
     texts += ["secret=token:abcdefgh", "AKIA" * 9, "f" * 23 + " " + "a1" * 20, f"see {token(40)} here", "token: x", "password=abcdef " * 700]
-    docs = docs_of(rows_with_ids(texts), "t", "base", "spans", "kind")
+    inner, short = "d0" * 14, token(18)
+    texts += [f"mixed {token(20)}G{inner}H{token(20)} here", f"short {short} here", f"my_password={token(24)} end"]
+    docs = docs_of(rows_with_ids(texts), "t", "base", "spans", "kind", "_assign", "_tokens", "_random", "__hex")
     found = secrets.find(docs, secrets.learn(docs)).collect()
     assert len(found) == docs.count()
     for r in found:
@@ -515,6 +526,13 @@ def test_secrets(docs_of, odd_texts):
         assert set(base) <= {(s.kind, s.s, s.e) for s in r.spans}
     extra = [r for r in found if (r.text or "").startswith("see ")]
     assert [s.kind for s in extra[0].spans] == [secrets.RANDOM]
+    assert all((r._assign, r._tokens, r._random, r["__hex"]) == ("x",) * 4 for r in found)
+    # The parts of a random token around a base span, short tokens, and no mark on a name before a value.
+    begins = lambda x: next([(s.kind, r.text[s.s : s.e]) for s in r.spans] for r in found if (r.text or "").startswith(x))
+    (_, left), middle, (_, right) = begins("mixed ")
+    assert middle == ("hex", inner) and len(left) == len(right) == 21
+    assert begins("short ") == [(secrets.RANDOM, short)]
+    assert [k for k, _ in begins("my_password")] == ["assign"]
     assert secrets.find(docs_of([]), [0.0] * 128 * 128).count() == 0
 
 
