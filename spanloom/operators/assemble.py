@@ -47,6 +47,7 @@ MAX_ROWS = 2_000
 MAX_BYTES = 16 * 1024 * 1024
 
 _DIGITS = 3  # hex digits of a path step; 16**3 exceeds MAX_ROWS
+_FEW = 48  # spans, up to which a look through all ids is the fastest
 _FAR = 1 << 30  # beyond every array position
 _OFF_CYCLE, _ON_CYCLE = 1, 2
 
@@ -108,11 +109,10 @@ def _assemble_small(spans: DataFrame, carry) -> DataFrame:
     )
 
     # Parents as 1-based positions in the sorted array; 0 for roots and orphans.
-    parents = "transform(run, s -> int(coalesce(array_position(ids, s.up), 0)))"
     runs = runs.selectExpr(
         "trace_id",
         "run",
-        let("ids", "run.id", parents) + " AS parent",
+        f"if(size(run) <= {_FEW}, {let('ids', 'run.id', _LOOKED_THROUGH)}, {let('known', _BY_ID, _SEARCHED)}) AS parent",
         "int(ceil(log2(size(run) + 1))) AS rounds",
     )
     runs = runs.selectExpr("*", f"{_LIFT} AS lift")
@@ -165,6 +165,18 @@ _NODE_PLACE = (
     "promoted",
 )
 
+# Parents of few spans are looked through one by one; those of more are searched
+# for by halving steps among the ids in order, so that a run costs no square.
+_LOOKED_THROUGH = "transform(run, s -> int(coalesce(array_position(ids, s.up), 0)))"
+_BY_ID = "array_sort(transform(run, (s, i) -> struct(s.id AS id, i + 1 AS pos)))"
+_STEPS = f"array({', '.join(str(1 << k) for k in reversed(range(4 * _DIGITS)))})"
+_LAST_UP_TO = f"aggregate({_STEPS}, 0, (at, step) -> if(get(ids, at + step) <= s.up, at + step, at))"
+_SEARCHED = let(
+    "ids",
+    "known.id",
+    f"transform(run, s -> {let('at', _LAST_UP_TO, 'if(ids[at] = s.up, int(known[at].pos), 0)')})",
+)
+
 # One round of pointer doubling: every span adopts the pointer of the span it
 # points to (0 stays 0).
 _HOP = "transform(s.up, p -> if(p = 0, 0, s.up[p - 1]))"

@@ -98,6 +98,12 @@ def runs():
     made = {f"t{i:03d}": random_run(rng, f"t{i:03d}") for i in range(400)}
     made["chain"] = [span("chain", f"c{i}", f"c{i - 1}" if i else None, i) for i in range(300)]
     made["flat"] = [span("flat", "root", None, 0)] + [span("flat", f"k{i}", "root", i % 7, seq=i) for i in range(300)]
+    # Enough spans for a search among sorted ids: circles, orphans, empty and missing parents, one id a prefix of others.
+    many = [f"s{i}" for i in range(200)]
+    made["many"] = [
+        span("many", s, rng.choice([None, "", "ghost", "s", "zz", *many[: i + 1], *rng.sample(many, 9)]), rng.choice([None, *range(40)]), seq=i)
+        for i, s in enumerate(many)
+    ]
     made["bad"] = misbehaving_run()
     made["self"] = [span("self", "a", "a", 0), span("self", "b", "a", -1)]
     # Tails of a two-cycle that start before and after it.
