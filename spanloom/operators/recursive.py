@@ -12,26 +12,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from spanloom.operators.dedupe import last_written_spans
+from spanloom.session import Workspace
 
 MAX_LEVELS = 100
 
 
-def walked(spans: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
+def walked(spans: DataFrame, levels: int = MAX_LEVELS, work: Workspace | None = None) -> DataFrame:
     """(trace_id, span_id, depth, root_id, path) of the spans that a root or an orphan leads to.
 
     ``path`` has the ids from the root down to the span. Spans of a parent cycle
     and below it lead to no root and are left out. A run with more than ``levels``
     levels below its roots is an error, not a shorter result.
+
+    The walk is stored before this returns: Spark reads its limit on rows when the
+    query runs, so the setting has to hold until then. The nodes are stored too,
+    as each level reads them.
     """
 
     spark = spans.sparkSession
-    nodes = last_written_spans(spans).select("trace_id", "span_id", "parent_span_id")
+    work = work or Workspace(spark, "walk")
+    nodes = work.keep(last_written_spans(spans).select("trace_id", "span_id", "parent_span_id"), "nodes")
     row_limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(row_limit)
     # The limit is on rows of all runs together; here only depth is bounded.
     spark.conf.set(row_limit, "-1")
     try:
-        return spark.sql(
+        found = spark.sql(
             f"""
             WITH RECURSIVE nodes AS (SELECT * FROM {{nodes}}),
             roots AS (
@@ -46,5 +52,6 @@ def walked(spans: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
             """,
             nodes=nodes,
         )
+        return work.keep(found, "walk")
     finally:
         spark.conf.set(row_limit, before)

@@ -7,6 +7,7 @@ import pytest
 from spans import frame, misbehaving_run, span
 from spanloom.operators import large_runs
 from spanloom.operators.assemble import assemble
+from spanloom.operators.recursive import walked
 from spanloom.session import Workspace
 
 PLACES = ("order_index", "visit_index", "depth", "orphaned", "promoted")
@@ -228,3 +229,17 @@ def test_rows_are_numbered_without_gaps(spark):
     df = spark.range(5000).selectExpr("(id * 7919) % 5000 AS v").repartition(7)
     got = number_rows(df, [F.col("v")], Workspace(spark)).collect()
     assert sorted((r["v"], r["pos"]) for r in got) == [(i, i + 1) for i in range(5000)]
+
+
+def test_a_walk_of_more_rows_than_the_sessions_limit(spark):
+    """The limit on rows is lifted until the walk has run, and then as before."""
+
+    key = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        got = walked(frame(spark, [span(t, str(i), str(i - 1) if i else None, i) for t in "ab" for i in range(5)])).collect()
+        assert spark.conf.get(key) == "3"
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.trace_id, r.span_id, r.depth, len(r.path)) for r in got) == [(t, str(i), i, i + 1) for t in "ab" for i in range(5)]
