@@ -171,6 +171,20 @@ def scored_runs(spark: SparkSession, checkpoint: str) -> DataFrame:
     return _state(spark, checkpoint, "mark").select("trace_id", "scored_at", "late")
 
 
+def wait_until_scored(query: StreamingQuery, spark: SparkSession, checkpoint: str, runs: int, batches: int) -> None:
+    """Return when ``runs`` runs are scored and stored, ``batches`` batches of input taken; raise if the query fails.
+
+    The state is that of the last finished batch, whose findings are stored, so a
+    batch under way needs no waiting for: timers make batches follow each other
+    without a pause. What the caller's stop breaks off then has nothing to store.
+    """
+
+    while not query.awaitTermination(1):
+        if query.lastProgress and query.lastProgress["batchId"] >= batches and scored_runs(spark, checkpoint).count() >= runs:
+            return
+    raise RuntimeError(f"{query.name} was stopped before {runs} runs were scored")
+
+
 def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
     state = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
     # With an expiry the value is wrapped once more.

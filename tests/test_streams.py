@@ -12,6 +12,7 @@ from spanloom.operators.metrics import runs_evaluated
 from spanloom.schema import SPAN_SCHEMA
 from spanloom.sources import tables
 from spanloom.sources.messages import decode
+from spanloom.streaming import timers
 from spanloom.streaming.ingest import start_ingest, without_repeats
 from spanloom.streaming.timers import open_runs, scored_runs, settled_by_timer, start_timed_watch, use_rocksdb
 from spanloom.streaming.watch import (
@@ -327,3 +328,25 @@ def test_marks_may_expire(spark, tmp_path, rocksdb):
         assert [(r.trace_id, r.spans, str(r.first_day)) for r in spark.table("expiring").collect()] == [("demo", 1, "2025-03-14")] * 2
     finally:
         query.stop()
+
+
+def test_waiting_for_timers_needs_no_pause_between_batches(spark, monkeypatch):
+    """All runs are scored while batches follow each other without a pause."""
+
+    class Busy:
+        name, status = "busy", {"isTriggerActive": True}
+        polls = 0
+
+        @property
+        def lastProgress(self):  # noqa: N802
+            return {"batchId": self.polls} if self.polls else None
+
+        def awaitTermination(self, seconds):  # noqa: N802
+            self.polls += 1
+            assert self.polls < 10
+            return False
+
+    query = Busy()
+    monkeypatch.setattr(timers, "scored_runs", lambda *_: spark.range(query.polls - 1))
+    timers.wait_until_scored(query, spark, "none", 4, batches=3)
+    assert query.polls == 5
