@@ -11,7 +11,8 @@ from spanloom.operators.assemble import assemble
 from spanloom.operators.summary import run_summaries
 from spanloom.plans.scoring import score
 from spanloom.sources import exports, messages, tables
-from spanloom.sources.versions import Part, Version, VersionedTable, small_groups
+from spanloom.sources.tables import SpanStore
+from spanloom.sources.versions import Part, Version, VersionedTable, merge_groups, small_groups
 
 GOOD = {
     "trace_id": "run-7",
@@ -215,6 +216,22 @@ def test_small_parts_are_grouped_by_size():
     assert part("a", 1, "2026-01-05").may_hold("2026-01-05", None) and not part("a", 1, "2026-01-05").may_hold(None, "2026-01-04")
 
 
+def test_large_parts_of_the_same_days_are_merged_once(spark, tmp_path):
+    """Batches above the target's size still become one part, and that part stays as it is."""
+
+    store = SpanStore(spark, str(tmp_path / "store"), target_bytes=1)
+    for batch in range(3):
+        rows = [span("t", f"{batch}{i}", None, i, seq=i, ingested_at=at(0)) for i in range(4)]
+        store.append(frame(spark, rows).selectExpr("*", "cast(null AS string) AS value", "cast(null AS string) AS reason"), "s", batch)
+    assert len(store.table.version().parts) == 3
+    assert len(store.compact()) == 1 and len(store.table.version().parts) == 1
+    assert store.spans().count() == 12 and store.compact() == []
+
+    part = lambda name, size, first, last, merged=False: Part(name, 1, size, 1, first, last, merged=merged)
+    apart = (part("a", 80, "01", "02"), part("b", 90, "02", "03"), part("c", 200, "05", "05"), part("d", 30, "06", "06"), part("e", 40, "08", "08"), part("f", 150, "01", "09", True))
+    assert [[p.folder for p in g] for g in merge_groups(apart, 100)] == [["a", "b"], ["d", "e"]]
+
+
 def nested(nodes):
     """The tree as nested dicts, from flat rows."""
 
