@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spans import at, frame, span
 from spanloom.operators.metrics import runs_evaluated
+from spanloom.plans import queries
 from spanloom.schema import SPAN_SCHEMA
 from spanloom.sources import tables
 from spanloom.sources.messages import decode
@@ -350,3 +351,21 @@ def test_waiting_for_timers_needs_no_pause_between_batches(spark, monkeypatch):
     monkeypatch.setattr(timers, "scored_runs", lambda *_: spark.range(query.polls - 1))
     timers.wait_until_scored(query, spark, "none", 4, batches=3)
     assert query.polls == 5
+
+
+def test_a_batch_takes_files_as_its_rows_ask(spark, tmp_path, monkeypatch):
+    """Batches of many rows are written and read as several files, no task having them all."""
+
+    monkeypatch.setattr(queries, "_FILE_ROWS", 100)
+    rows = spark.range(0, 2000, 1, 4)
+    files = queries._files_a_batch(rows, 4)
+    assert files == 5 and queries._files_a_batch(rows.limit(0), 4) == 1
+    for k in range(4):
+        queries._land(rows.where(F.col("id") % 4 == k), files, str(tmp_path / "topic"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "topic"))
+    seen = []
+    drain(
+        stream.writeStream.foreachBatch(lambda b, i: seen.append(b.agg(F.count("*"), F.min(F.col("id") % 4), F.max(F.col("id") % 4)).first()))
+        .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    )
+    assert [tuple(r) for r in seen] == [(500, k, k) for k in range(4)]
