@@ -31,6 +31,7 @@ to them without moving texts again.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,7 @@ from spanloom.session import Workspace
 LENGTH = 50
 NAME = 24  # bytes of the names that are ranked first
 MORE = (LENGTH - NAME) // 2  # bytes before or behind a name in a half
+BLOCK = 1 << 14  # positions named at once, so that the arrays stay in a core's cache
 CHUNK = 1 << 20  # bytes of text handled at once: a task's arrays take about a hundred times that
 SENT = 2 << 20  # the same where a chunk's names are sent; a larger one sends fewer names twice
 BUCKET = 8 << 20  # bytes of text a group of names stands for
@@ -92,32 +94,63 @@ def _least(name: np.ndarray, width: int) -> np.ndarray:
 def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """data, ends, and for each run of windows: text, first and last window, 48-bit name."""
 
-    data, ends = joined(texts)
+    return _runs(*joined(texts))
+
+
+def _runs(data: np.ndarray, ends: np.ndarray, each: np.ndarray | None = None) -> tuple:
+    """``runs`` of joined texts; ``each`` gets the names of all positions."""
+
     n = len(data) - LENGTH + 1
     none = np.empty(0, np.int64)
     if n <= 0:
         return data, ends, none, none, none, np.empty(0, np.uint64)
-    name = _names(data)
-    least = _least(name, LENGTH - NAME + 1)
-    owner = np.repeat(np.arange(len(texts)), np.diff(ends))[:n]
-    inside = np.arange(n) + LENGTH <= ends[owner + 1]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | (owner[1:] != owner[:-1]) | (least[1:] != least[:-1]) | (name[: n - 1] == least[:-1])
+    least, begins = np.empty(n, np.uint64), np.ones(n, bool)
+    for at in range(0, n, BLOCK):
+        # The window before the block is named again, to compare with.
+        back, to = max(at - 1, 0), min(at + BLOCK, n)
+        name = _names(data[back : to + LENGTH - 1])
+        if each is not None:
+            each[back : back + len(name)] = name
+        held = _least(name, LENGTH - NAME + 1)
+        least[back:to] = held
+        begins[back + 1 : to] = (held[1:] != held[:-1]) | (name[: len(held) - 1] == held[:-1])
+    # Windows across the end of a text are none; the next text's first one begins a run.
+    starts = ends[:-1]
+    begins[starts[starts < n]] = True
+    for end in ends[1:].tolist():
+        begins[max(end - LENGTH + 1, 0) : end] = False
     first = np.flatnonzero(begins)
+    owner = np.searchsorted(ends, first, side="right") - 1
     # A run ends before the next one, or with the last window inside its text.
-    last = np.minimum(np.append(first[1:], n) - 1, ends[owner[first] + 1] - LENGTH)
-    return data, ends, owner[first], first, last, least[first] >> _SHORT
+    last = np.minimum(np.append(first[1:], n) - 1, ends[owner + 1] - LENGTH)
+    return data, ends, owner, first, last, least[first] >> _SHORT
+
+
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base from 0 to ``count``, and of its inverse."""
+
+    up, down = np.full(count + 1, _BASE), np.full(count + 1, _BACK)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+_usual_powers = functools.cache(_powers)
 
 
 class Spans:
     """64-bit names of any spans of one array of bytes, from prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        up, down = np.full(len(data) + 1, _BASE), np.full(len(data) + 1, _BACK)
-        up[0] = down[0] = 1
-        self.back = np.multiply.accumulate(down)
-        powers = np.multiply.accumulate(up)[:-1]
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers, dtype=np.uint64)])
+        # Powers for a chunk are kept; those for a larger text only as long as it.
+        powers, self.back = _usual_powers(2 * CHUNK) if len(data) <= 2 * CHUNK else _powers(len(data))
+        self.prefix = np.empty(len(data) + 1, np.uint64)
+        self.prefix[0] = held = np.uint64(0)
+        for at in range(0, len(data), BLOCK):
+            block = data[at : at + BLOCK]
+            sums = self.prefix[at + 1 : at + 1 + len(block)]
+            np.cumsum(_BYTE[block] * powers[at : at + len(block)], out=sums)
+            sums += held
+            held = sums[-1]
 
     def names(self, begin: np.ndarray, end: np.ndarray, with_name: np.ndarray) -> np.ndarray:
         whole = (self.prefix[end] - self.prefix[begin]) * self.back[begin]
@@ -152,7 +185,8 @@ def _among(keys: np.ndarray, rows: np.ndarray, held: np.ndarray, held_rows: np.n
     if not len(held):
         return np.zeros(len(keys), bool)
     salt = _mix(np.arange(1, 1 + max(rows.max(initial=0), held_rows.max(initial=0)) + 1, dtype=np.uint64))
-    return np.isin(keys ^ salt[rows], held.view(np.uint64) ^ salt[held_rows])
+    known, asked = np.sort(held.view(np.uint64) ^ salt[held_rows]), keys ^ salt[rows]
+    return known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
 
 
 def _send(buckets: int):
@@ -162,9 +196,10 @@ def _send(buckets: int):
         for part, texts in _parts(batches, "text", SENT):
             ids = part.column(0).to_numpy()
             _, _, owner, _, _, name = runs(texts)
-            entry = np.unique((name << _SHORT) | owner.astype(np.uint64))
-            if not len(entry):
+            if not len(name):
                 continue
+            entry = np.sort((name << _SHORT) | owner.astype(np.uint64))
+            entry = entry[np.append(True, entry[1:] != entry[:-1])]
             name = entry >> _SHORT
             start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
             several = np.diff(np.append(start, len(name))) > 1
@@ -237,15 +272,16 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _asked(part: pa.RecordBatch, texts: list[bytes], column: int) -> tuple:
     """spans, and the runs that the document is asked for: text, first and last window, name, place of the name."""
 
-    data, _, owner, first, last, name = runs(texts)
+    data, ends = joined(texts)
+    each = np.empty(max(len(data) - NAME + 1, 0), np.uint64)
+    _, _, owner, first, last, name = _runs(data, ends, each)
     spans = Spans(data)
     keep = _among(spans.names(first, last + LENGTH, name), owner, *_flat(part.column(column)))
     owner, first, last, name = (x[keep] for x in (owner, first, last, name))
-    each = _names(data) >> _SHORT if len(first) else None
     # The name begins where the run ends, or behind it if a smaller one or the text's end cut the run.
     place, open_ = last.copy(), np.arange(len(first))
     for _ in range(LENGTH - NAME + 1):
-        open_ = open_[each[place[open_]] != name[open_]] if len(open_) else open_
+        open_ = open_[each[place[open_]] >> _SHORT != name[open_]] if len(open_) else open_
         place[open_] += 1
     return spans, owner, first, last, name, place
 

@@ -622,3 +622,18 @@ def test_ids_of_words_as_the_tokenizer_gives_them():
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
     for text, ids in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_repeats_name_alike_in_blocks_of_any_size(monkeypatch):
+    """Names, runs and sums of spans do not depend on how many positions are named at once."""
+
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in (0, 49, 50, 300, 0, 51, 700, 1)]
+
+    def made(block):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        data, ends, owner, first, last, name = suffix_dedup.runs(texts)
+        return [*map(list, (ends, owner, first, last, name)), list(suffix_dedup.Spans(data).names(first, last + 50, name))]
+
+    whole = made(1 << 20)
+    assert whole[1] and all(made(block) == whole for block in (1, 7, 64, 500))
