@@ -2,15 +2,20 @@
 
 import json
 import time
+from collections import Counter
 from datetime import timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spans import at, frame, span
+from spanloom.operators import skew
 from spanloom.operators.metrics import runs_evaluated
 from spanloom.plans import queries
 from spanloom.schema import SPAN_SCHEMA
+from spanloom.session import Workspace
 from spanloom.sources import tables
 from spanloom.sources.messages import decode
 from spanloom.streaming import timers
@@ -307,6 +312,87 @@ def test_timers_settle_runs_once(spark, tmp_path, rocksdb):
     assert ("demo", "runaway_loop") in found
 
 
+def test_runs_of_a_bucket_share_calls_to_the_state(monkeypatch):
+    """However many runs come and settle, the state is called a few times a bucket and its slots."""
+
+    calls = Counter()
+
+    class Value:
+        kept = None
+
+        def get(self):
+            calls["run"] += 1
+            return self.kept
+
+        def update(self, value):
+            calls["run"] += 1
+            self.kept = value
+
+        def clear(self):
+            self.update(None)
+
+    class Map(dict):
+        def exists(self):
+            return bool(self)
+
+        def getValue(self, key):  # noqa: N802
+            calls["mark"] += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls["mark"] += 1
+            self[key] = value
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, *_, **__):  # noqa: N802
+            return Value()
+
+        def getMapState(self, *_, **__):  # noqa: N802
+            return Map()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls["timer"] += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls["timer"] += 1
+            self.timers.remove(at)
+
+    clock = lambda at: SimpleNamespace(getCurrentProcessingTimeInMs=lambda: at, getExpiryTimeInMs=lambda: at)
+    came = lambda runs: pd.DataFrame([(1, i % 4, f"r{i}", 50 + i, timers._NO_DAY if i % 2 else i) for i in runs], columns=["bucket", "slot", "trace_id", "last_arrival", "day"])
+    settle = timers.SettleRuns(100)
+    settle.init(handle := Handle())
+    assert not [*settle.handleInputRows((1,), iter([came(range(3000)), came(range(10))]), clock(1000))]
+    assert not [*settle.handleInputRows((1,), iter([came(range(2000))]), clock(1050))]
+    assert handle.timers == {1100, 1150}
+    first = pd.concat(settle.handleExpiredTimer((1,), clock(1100), clock(1100)))
+    assert first["trace_id"].tolist() == [f"r{i}" for i in range(2000, 3000)] and set(first["spans"]) == {1}
+    then = pd.concat(settle.handleExpiredTimer((1,), clock(1160), clock(1150)))
+    assert then["spans"].tolist() == [3] * 10 + [2] * 1990
+    assert [*then.iloc[7, 2:]] == [57, None, None] and [*then.iloc[8, 2:]] == [58, 8, 8]
+    # Stragglers count as late and do not wait again.
+    assert not [*settle.handleInputRows((1,), iter([came(range(100))]), clock(2000))] and settle.run.get() is None
+    assert sum(late for _, _, lates, _ in settle.mark.values() for late in lates) == 100
+    assert calls["timer"] == 2 and calls["run"] + calls["mark"] < 50
+
+
+def test_spans_of_many_settled_runs_are_chosen_once(spark, monkeypatch):
+    """A list of runs too long to broadcast is not repeated, and its spans are stored for all that scoring asks."""
+
+    work = Workspace(spark, "due")
+    spans = frame(spark, [span(t, f"{t}{i}") for t in ("a", "b", "c") for i in range(3)] + [span(None, "x")])
+    due = work.keep(spark.createDataFrame([("a",), ("c",), ("gone",)], "trace_id string"), "due")
+    rows = lambda found: sorted((r.trace_id, r.span_id) for r in found.collect())
+    few = timers._spans_of(due, spans, work)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    many = timers._spans_of(due, spans, work)
+    assert rows(few) == rows(many) == [(t, f"{t}{i}") for t in "ac" for i in range(3)]
+    assert len(many.inputFiles()) >= 1 and all(work.root in f for f in many.inputFiles())
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
 def test_marks_may_expire(spark, tmp_path, rocksdb):
     """With an expiry a run that comes back much later is scored once more."""
 
